@@ -43,7 +43,7 @@ def asof(
         steps.append(Last("backward", F.col("_found")))
     if "forward" in directions:
         steps.append(Last("forward", F.col("_found"), reverse=True))
-    out = scan(rows, keys, [time, SIDE, *extra], block_of(time, span), steps)
+    out = scan(rows, keys, [time, SIDE], block_of(time, span), steps)
     return out.where(F.col(SIDE) == 1).select(*keys, time, *extra, *[s.out for s in steps])
 
 
