@@ -114,3 +114,47 @@ def as_plays(spine: DataFrame) -> DataFrame:
         .withColumn("isFieldGoal", action.isin("2pt", "3pt").cast("int"))
         .withColumn("actionType", F.when(action == "timeout", F.lit("freethrow")).when(action == "stoppage", dead).otherwise(action))
     )
+
+
+def as_older_feed(spine: DataFrame) -> DataFrame:
+    """The rows under the vocabulary of the older feed: its own action and
+    sub-type labels, seasons around the rule change, rows charged to nobody."""
+    timeout, order = F.col("actionType") == "timeout", F.col("orderNumber")
+    label = (
+        F.when(order % 4 == 0, F.lit("Official TV"))
+        .when(F.col("subType") == "challenge", F.lit("Coach Challenge"))
+        .when(F.col("k") % 3 == 0, F.lit("Short"))
+        .otherwise(F.lit("Regular"))
+    )
+    return (
+        spine.withColumn("subType", F.when(timeout, label))
+        .withColumn("actionType", F.when(timeout, F.lit("Timeout")).otherwise(F.col("actionType")))
+        .withColumn("personId", order % 4)
+        .withColumn("season", F.lit(2013) + F.col("gameId") % 6)
+    )
+
+
+def iso_clock(remaining: Column) -> Column:
+    """Seconds as the feed writes them: ``PT04M56.00S``."""
+    minutes, seconds = F.floor(remaining / 60), remaining % 60
+    return F.concat(F.lit("PT"), F.lpad(minutes.cast("string"), 2, "0"), F.lit("M"), F.lpad(seconds.cast("string"), 2, "0"), F.lit(".00S"))
+
+
+def as_raw_feed(spine: DataFrame) -> DataFrame:
+    """The spine as a raw feed ships it: padded strings, text clocks and times,
+    scores as doubles that sometimes fall back or are missing."""
+    order = F.col("orderNumber")
+    dip = F.when(order % 13 == 0, F.lit(1)).otherwise(F.lit(0))
+    return spine.select(
+        "gameId",
+        "orderNumber",
+        "period",
+        F.concat(F.lit("  "), "actionType", F.lit(" ")).alias("actionType"),
+        iso_clock(F.col("seconds_remaining")).alias("clock"),
+        F.when(order % 17 != 0, F.date_format("timeActual", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("timeActual"),
+        F.col("teamId").cast("double").alias("teamId"),
+        F.col("personId").cast("double").alias("personId"),
+        (F.col("scoreHome") - dip).cast("double").alias("scoreHome"),
+        F.when(order % 7 != 0, F.col("scoreAway").cast("double")).alias("scoreAway"),
+        "season",
+    )
