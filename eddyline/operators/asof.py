@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from eddyline.config import block_of
 from eddyline.operators.scan import Last, scan
 
-SIDE = "_side"
+SIDE = "_asof_side"
 
 
 def asof(

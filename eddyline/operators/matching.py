@@ -75,12 +75,12 @@ def matched_twins(
     asked = asked.join(lookup.select(*keys).distinct(), keys, "left_semi")
 
     clock = F.col(rule.clock)
-    sides = F.array(F.struct(F.lit(-1).alias("side"), (clock - rule.nearest).alias("t")), F.struct(F.lit(1).alias("side"), (clock + rule.nearest).alias("t")))
-    asked = asked.withColumn("_p", F.explode(sides)).withColumn("_side", F.col("_p")["side"]).withColumn("_t", F.col("_p")["t"]).drop("_p")
+    sides = F.array(F.struct(F.lit(-1).alias("way"), (clock - rule.nearest).alias("t")), F.struct(F.lit(1).alias("way"), (clock + rule.nearest).alias("t")))
+    asked = asked.withColumn("_p", F.explode(sides)).withColumn("_way", F.col("_p")["way"]).withColumn("_t", F.col("_p")["t"]).drop("_p")
     found = asof(lookup, asked, keys, "_t", ["_ctl"], s.clock_span)
     # an exact match of the probe time is always reported as ``backward``
     exact_hit = F.col("backward")["_t"] == F.col("_t")
-    hit = F.when((F.col("_side") < 0) | exact_hit, F.col("backward")).otherwise(F.col("forward"))
+    hit = F.when((F.col("_way") < 0) | exact_hit, F.col("backward")).otherwise(F.col("forward"))
     gap = F.abs(hit["_t"] - clock)
     dist = (
         F.abs("_ds") * rule.streak_weight

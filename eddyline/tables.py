@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from eddyline.config import SPINE
-from eddyline.plans import classify, state
+from eddyline.plans import classify, impact, state
 from eddyline.session import prepare, stage
 from eddyline.sources import adapter, side_tables
 
@@ -15,11 +15,11 @@ _OPEN: dict[tuple[str, str], "Tables"] = {}
 
 
 class Tables:
-    """Raw tables by name, and the two staged choke points.
+    """Raw tables by name, and the staged choke points.
 
-    ``spine`` is the adapter's output and ``enriched`` the ETL result; both are
-    written once as Parquet in the shared folder, and every later plan prunes the
-    columns it needs from them.
+    ``spine`` is the adapter's output, ``enriched`` the ETL result, ``impact`` and
+    ``rich`` the analysis frames. Each is written once as Parquet in the shared
+    folder, and every later plan prunes the columns it needs from it.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -48,6 +48,16 @@ class Tables:
     def enriched(self) -> DataFrame:
         return stage(state.enrich(self.spine, self.labels), "enriched", (SPINE.season, SPINE.season_type))
 
+    @cached_property
+    def impact(self) -> DataFrame:
+        """Run-impact frame of the base experiment: runs of 6, three minutes."""
+        return stage(impact.run_impact(self.enriched), "impact")
+
+    @cached_property
+    def rich(self) -> DataFrame:
+        """The same with challenges as a group of their own."""
+        return stage(impact.run_impact(self.enriched, challenge_apart=True), "rich")
+
     @cached_property
     def plays(self) -> DataFrame:
         return adapter.as_plays(self.enriched)
