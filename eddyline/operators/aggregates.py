@@ -79,20 +79,25 @@ def share_by_key(df: DataFrame, key: str, where: Column) -> DataFrame:
     ).orderBy(F.desc("share"), key)
 
 
-def range_blocks(df: DataFrame, column: str, parts: int = 64) -> Column:
-    """Block number of a value, from ``parts`` approximate quantiles of the column.
+ROWS_PER_BLOCK = 1_000_000
 
-    Only the cut points reach the driver. Blocks are ordered like the values.
+
+def range_blocks(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
+    """Block number of a value; blocks are ordered like the values.
+
+    A table within one block's size needs no cut. Otherwise approximate quantiles
+    give blocks of about ``rows_per_block`` rows; only the cut points (at most
+    4,095 numbers) reach the driver.
     """
-    at = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.percentile_approx(column, at, 10 * parts).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
+    parts = min(4096, -(-df.count() // rows_per_block))
+    if parts <= 1:
         return F.lit(0).cast("long")
+    at = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(df.agg(F.percentile_approx(column, at, 10 * parts).alias("c")).first()["c"]))
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))).cast("long")
 
 
-def value_prefix(df: DataFrame, by: Sequence[str], value: str, measures: Mapping[str, Column], parts: int = 64) -> DataFrame:
+def value_prefix(df: DataFrame, by: Sequence[str], value: str, measures: Mapping[str, Column], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Counts per distinct value with running totals in value order.
 
     ``measures`` are aggregates per value; each gets ``cum_<name>`` (including the
@@ -103,7 +108,7 @@ def value_prefix(df: DataFrame, by: Sequence[str], value: str, measures: Mapping
     if not by:
         counts = counts.withColumn("_all", F.lit(1))
     steps = [Sum(f"cum_{n}", F.col(n)) for n in measures] + [Total(f"all_{n}", F.col(n)) for n in measures]
-    out = scan(counts, keys, [value], range_blocks(counts, value, parts), steps)
+    out = scan(counts, keys, [value], range_blocks(counts, value, rows_per_block), steps)
     return out if by else out.drop("_all")
 
 

@@ -291,14 +291,78 @@ class Total(Step):
         return [self.out]
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, steps: Sequence[Step]) -> DataFrame:
+@dataclass
+class SegmentTotal(Step):
+    """Sum of ``value`` over all rows of the row's segment, null outside segments.
+
+    ``segment`` does not decrease along the order, so only the first and the last
+    segment of a block can reach into another block; their parts are added up on
+    the block summaries.
+    """
+
+    out: str
+    segment: str
+    value: Column
+
+    keys: Sequence[str]
+
+    def local(self, df, w):
+        o = self.out
+        own = Window.partitionBy(*self.keys, BLOCK, self.segment)
+        part = F.when(F.col(self.segment).isNotNull(), F.sum(self.value).over(own))
+        return df.withColumn(f"_{o}_l", part)
+
+    def totals(self, rank):
+        o, seg = self.out, F.col(self.segment)
+        pair = F.struct(seg.alias("seg"), F.col(f"_{o}_l").alias("part"))
+        return [
+            _earliest(pair, rank, False, seg.isNotNull()).alias(f"_{o}_first"),
+            _latest(pair, rank, False, seg.isNotNull()).alias(f"_{o}_last"),
+        ]
+
+    def carry(self, blocks, w):
+        o, keys = self.out, list(self.keys)
+        edges = F.array_distinct(F.array_compact(F.array(f"_{o}_first", f"_{o}_last")))
+        parts = blocks.select(*keys, F.explode(edges).alias("e")).select(*keys, "e.seg", "e.part")
+        sums = parts.groupBy(*keys, "seg").agg(F.sum("part").alias("sum"))
+        for end in ("first", "last"):
+            found = sums.select(*keys, F.col("seg").alias(f"_{o}_{end}_seg"), F.col("sum").alias(f"_{o}_{end}_sum"))
+            blocks = blocks.withColumn(f"_{o}_{end}_seg", F.col(f"_{o}_{end}")["seg"])
+            blocks = blocks.join(found, [*keys, f"_{o}_{end}_seg"], "left")
+        return blocks
+
+    def carried(self):
+        return [f"_{self.out}_{end}_{part}" for end in ("first", "last") for part in ("seg", "sum")]
+
+    def finish(self, df):
+        o, seg = self.out, F.col(self.segment)
+        value = (
+            F.when(seg == F.col(f"_{o}_first_seg"), F.col(f"_{o}_first_sum"))
+            .when(seg == F.col(f"_{o}_last_seg"), F.col(f"_{o}_last_sum"))
+            .otherwise(F.col(f"_{o}_l"))
+        )
+        return df.withColumn(o, value)
+
+
+def scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    steps: Sequence[Step],
+    attach: DataFrame | None = None,
+    keep_block: bool = False,
+) -> DataFrame:
     """Add the running quantities of ``steps`` to every row of ``df``.
 
     ``order`` is ascending and unique inside a key; ``block`` must not decrease
-    along it. Reverse steps read the rows from the far end.
+    along it. Reverse steps read the rows from the far end. ``attach`` holds at most
+    one row per key; its columns ride on the block summaries, so joining it costs
+    no shuffle of the rows and a hot key stays split. ``keep_block`` leaves the
+    block number on the rows, for joins that reuse the layout.
     """
     keys, order = list(keys), list(order)
-    wanted = list(df.columns) + [s.out for s in steps]
+    wanted = [c for c in df.columns if c != BLOCK] + [s.out for s in steps]
     rank = F.struct(*order)
     ahead = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     back = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in order])
@@ -311,6 +375,12 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column
     blocks_back = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc())
     blocks = reduce(lambda d, s: s.carry(d, blocks_back if s.reverse else blocks_ahead), steps, blocks)
     carried = [c for s in steps for c in s.carried()]
+    if attach is not None:
+        extra = [c for c in attach.columns if c not in keys]
+        blocks = blocks.join(attach, keys, "left")
+        carried, wanted = carried + extra, wanted + extra
+    if keep_block:
+        wanted = wanted + [BLOCK]
 
     joined = local.join(blocks.select(*keys, BLOCK, *carried), [*keys, BLOCK], "inner")
     return reduce(lambda d, s: s.finish(d), steps, joined).select(*wanted)

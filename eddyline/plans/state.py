@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
-from eddyline.operators.scan import Changes, Lag, Streak, Sum, scan
+from eddyline.operators.scan import BLOCK, Changes, Lag, SegmentTotal, Streak, Sum, scan
 
 def net_points(s: Spine = SPINE) -> Column:
     """Score gained by home minus away against the previous row, 0 at the start."""
@@ -216,7 +216,9 @@ def running_ppp(poss: DataFrame, s: Spine = SPINE) -> DataFrame:
 def enrich(spine: DataFrame, labels: DataFrame, s: Spine = SPINE) -> DataFrame:
     """The enriched spine: one shuffle of the log by (entity, block).
 
-    ``labels`` holds role and cause of the sparse intervention rows.
+    Both scans, the possession totals and the entity's teams work in that layout;
+    ``labels`` (role and cause of the sparse intervention rows) is joined on it too,
+    when the write runs inside ``session.reuse_layout``.
     """
     block = s.order_block()
     rows = scan(
@@ -232,15 +234,25 @@ def enrich(spine: DataFrame, labels: DataFrame, s: Spine = SPINE) -> DataFrame:
         ],
     )
     rows = rows.withColumn("_net", net_points(s)).withColumn("possession_id", live_possession(s))
-    rows = scan(rows, [s.entity], [s.order], block, [Streak("streak", F.col("_net"))])
+    sides = home_team(spine, s).join(away_team(spine, s), s.entity, "left")
+    rows = scan(
+        rows,
+        [s.entity],
+        [s.order],
+        block,
+        [
+            Streak("streak", F.col("_net")),
+            SegmentTotal("possession_points", "possession_id", F.col(s.points), [s.entity]),
+        ],
+        attach=sides,
+        keep_block=True,
+    )
     rows = rows.drop("_ph", "_pa", "_pid", "_net")
     margin = F.col(s.home) - F.col(s.away)
     rows = rows.withColumn("score_margin", margin).withColumn(
         "is_clutch", (F.abs(margin) <= 5) & (F.col(s.clock) >= 2400)
     )
-    rows = with_possession_points(rows, s)
-    sides = home_team(spine, s).join(away_team(spine, s), s.entity, "left")
-    rows = rows.join(sides, s.entity, "left").join(labels, [s.entity, s.order], "left")
+    rows = rows.join(labels.withColumn(BLOCK, block), [s.entity, BLOCK, s.order], "left").drop(BLOCK)
     return rows.withColumn("timeout_role", F.coalesce("timeout_role", F.lit(""))).withColumn(
         "timeout_cause", F.coalesce("timeout_cause", F.lit(""))
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
 from eddyline.functions import distributions as D
-from eddyline.operators.aggregates import value_prefix
+from eddyline.operators.aggregates import ROWS_PER_BLOCK, value_prefix
 from eddyline.operators.scan import Sum, scan
 
 EPS = 1e-15
@@ -165,21 +165,21 @@ def chi2_independence(df: DataFrame, by: Sequence[str], category: str, sample: s
     )
 
 
-def two_sample_values(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", parts: int = 64) -> DataFrame:
+def two_sample_values(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     return value_prefix(
-        df, by, value, {"na": F.count_if(F.col(sample) == "a"), "nb": F.count_if(F.col(sample) == "b")}, parts
+        df, by, value, {"na": F.count_if(F.col(sample) == "a"), "nb": F.count_if(F.col(sample) == "b")}, rows_per_block
     )
 
 
-def rank_avg(df: DataFrame, by: Sequence[str], value: str, parts: int = 64) -> DataFrame:
+def rank_avg(df: DataFrame, by: Sequence[str], value: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Average rank of each distinct value among all rows of the group."""
-    rows = value_prefix(df, by, value, {"n": F.count("*")}, parts)
+    rows = value_prefix(df, by, value, {"n": F.count("*")}, rows_per_block)
     return rows.select(*by, value, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("avg_rank"))
 
 
-def mann_whitney(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", parts: int = 64) -> DataFrame:
+def mann_whitney(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """U of sample a with the tie-corrected, continuity-corrected normal z."""
-    rows = two_sample_values(df, by, value, sample, parts)
+    rows = two_sample_values(df, by, value, sample, rows_per_block)
     t = (F.col("na") + F.col("nb")).cast("double")
     rank = F.col("cum_na") + F.col("cum_nb") - t + (t + 1) / 2
     out = rows.groupBy(*by).agg(
@@ -197,8 +197,8 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, sample: str = "sa
     return out.withColumn("u_stat", u).withColumn("z_stat", z).select(*by, "n_a", "n_b", "u_stat", "z_stat")
 
 
-def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", parts: int = 64) -> DataFrame:
-    rows = two_sample_values(df, by, value, sample, parts)
+def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    rows = two_sample_values(df, by, value, sample, rows_per_block)
     gap = F.abs(F.col("cum_na") / _nz(F.col("all_na")) - F.col("cum_nb") / _nz(F.col("all_nb")))
     return rows.groupBy(*by).agg(
         F.max(gap).alias("d_stat"), F.max("all_na").alias("n_a"), F.max("all_nb").alias("n_b")
@@ -314,6 +314,7 @@ def joint_detect_estimate(m: DataFrame, alpha: float = 0.05, dof: int = 2) -> Da
 # that fall into a replicate is one binomial or Poisson draw. Draws are seeded by
 # the value, so a retried task repeats them. Tasks emit partial sums.
 
+VALUES_PER_TASK = 2000
 REPLICATE_SUMS = "replicate int, n_a double, s_a double, n_b double, s_b double"
 
 
@@ -333,7 +334,8 @@ def _replicate_sums(counts: DataFrame, replicates: int, draw) -> DataFrame:
             {"replicate": np.arange(replicates, dtype=np.int32), "n_a": total[0], "s_a": total[1], "n_b": total[2], "s_b": total[3]}
         )
 
-    sums = counts.mapInPandas(partial, REPLICATE_SUMS)
+    tasks = max(1, -(-counts.count() // VALUES_PER_TASK))
+    sums = counts.repartition(tasks, "value").mapInPandas(partial, REPLICATE_SUMS)
     out = sums.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n_a", "s_a", "n_b", "s_b")])
     diff = F.col("s_a") / _nz(F.col("n_a")) - F.col("s_b") / _nz(F.col("n_b"))
     return out.withColumn("diff", diff)

@@ -34,9 +34,8 @@ def number_stints(rows: DataFrame, s: Spine = SPINE) -> DataFrame:
     )
 
 
-def rotations(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
+def rotations(base: DataFrame, s: Spine = SPINE) -> DataFrame:
     """Raw intervals in tenths of a second; one in ten is stretched past a break."""
-    base = stints(spine, s)
     stretch = F.when(F.col(s.order) % 10 == 0, F.lit(15000)).otherwise(F.lit(0))
     return base.select(
         s.entity,

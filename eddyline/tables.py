@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eddyline.config import SPINE
 from eddyline.plans import classify, impact, state
-from eddyline.session import prepare, stage
+from eddyline.session import prepare, reuse_layout, stage
 from eddyline.sources import adapter, side_tables
 
 _OPEN: dict[tuple[str, str], "Tables"] = {}
@@ -46,7 +46,9 @@ class Tables:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return stage(state.enrich(self.spine, self.labels), "enriched", (SPINE.season, SPINE.season_type))
+        with reuse_layout(self.spark):
+            rows = state.enrich(self.spine, self.labels)
+            return stage(rows, "enriched", (SPINE.season, SPINE.season_type))
 
     @cached_property
     def impact(self) -> DataFrame:
@@ -68,11 +70,11 @@ class Tables:
 
     @cached_property
     def stints(self) -> DataFrame:
-        return side_tables.stints(self.spine)
+        return stage(side_tables.stints(self.spine), "stints")
 
     @cached_property
     def rotations(self) -> DataFrame:
-        return side_tables.rotations(self.spine)
+        return side_tables.rotations(self.stints)
 
     @cached_property
     def player_advanced(self) -> DataFrame:

@@ -69,6 +69,18 @@ def duck(folder):
     return con
 
 
+EXACT = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def type_notes(con, sql, df) -> str:
+    """Columns whose types differ between the two engines."""
+    cur = con.execute(sql)
+    theirs = {d[0]: str(d[1]) for d in cur.description}
+    ours = dict(df.dtypes)
+    bad = [f"{c}: {ours[c]}/{theirs.get(c)}" for c in ours if EXACT.get(ours[c]) != theirs.get(c)]
+    return " TYPES " + ", ".join(bad) if bad else ""
+
+
 def sql_rows(con, sql):
     cur = con.execute(sql)
     return rows_of([d[0] for d in cur.description], cur.fetchall())
@@ -94,10 +106,13 @@ def main():
             continue
         start = time.time()
         try:
-            got = spark_rows(fn(spark, folder))
+            df = fn(spark, folder)
+            got = spark_rows(df)
             took = time.time() - start
             verdict = compare(got, sql_rows(con, oracles[name])) if name in oracles else f"rows only: {len(got[1])}"
             size = len(got[1])
+            if verdict == "ok":
+                verdict += type_notes(con, oracles[name], df)
         except Exception as error:  # noqa: BLE001
             took, verdict, size = time.time() - start, "ERROR " + str(error)[:600].replace("\n", " | "), 0
         if not verdict.startswith(("ok", "rows only")):
