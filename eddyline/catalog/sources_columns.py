@@ -296,8 +296,8 @@ def _(t):
 
 @register(
     "shot_value",
-    f"""SELECT {KEY}, CASE actionType WHEN '3pt' THEN 3 WHEN '2pt' THEN 2 WHEN 'freethrow' THEN 1 ELSE 0 END AS value,
-CASE WHEN shotResult = 'Made' THEN CASE actionType WHEN '3pt' THEN 3 WHEN '2pt' THEN 2 WHEN 'freethrow' THEN 1 ELSE 0 END ELSE 0 END AS points FROM plays""",
+    f"""SELECT {KEY}, CASE actionType WHEN '3pt' THEN 3 WHEN '2pt' THEN 2 WHEN 'freethrow' THEN 1 ELSE 0 END::BIGINT AS value,
+CASE WHEN shotResult = 'Made' THEN CASE actionType WHEN '3pt' THEN 3 WHEN '2pt' THEN 2 WHEN 'freethrow' THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS points FROM plays""",
 )
 def _(t):
     a = F.col("actionType")

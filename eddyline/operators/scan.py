@@ -370,7 +370,8 @@ def scan(
     local = reduce(lambda d, s: s.local(d, back if s.reverse else ahead), steps, local)
 
     aggregates = [a for s in steps for a in s.totals(rank)]
-    blocks = local.groupBy(*keys, BLOCK).agg(*aggregates)
+    grouped = local.groupBy(*keys, BLOCK)
+    blocks = grouped.agg(*aggregates) if aggregates else grouped.count()
     blocks_ahead = Window.partitionBy(*keys).orderBy(BLOCK)
     blocks_back = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc())
     blocks = reduce(lambda d, s: s.carry(d, blocks_back if s.reverse else blocks_ahead), steps, blocks)
