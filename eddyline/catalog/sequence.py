@@ -47,7 +47,7 @@ ENRICHED = ["streak", "possession_id", "possession_points", "score_margin", "pre
 
 @register("enrich", f"SELECT {KEY}, {', '.join(ENRICHED)} FROM en")
 def _(t):
-    return state.enrich(t.spine, t.labels).select(*key, *ENRICHED)
+    return state.enrich(t.spine, t.labels, t.sides).select(*key, *ENRICHED)
 
 
 # --- C3, C4 -------------------------------------------------------------------------

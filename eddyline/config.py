@@ -49,7 +49,8 @@ class Spine:
 
 
 def block_of(column: str, span: int) -> Column:
-    return F.floor(F.col(column) / F.lit(span)).cast("long")
+    """Whole-number division, so that ids beyond 2^53 keep their block."""
+    return F.expr(f"floor(`{column}`) div {int(span)}L")
 
 
 SPINE = Spine()

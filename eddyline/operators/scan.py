@@ -321,15 +321,23 @@ class SegmentTotal(Step):
         ]
 
     def carry(self, blocks, w):
+        # two edge rows per block, summed by segment and folded back; every window
+        # is partitioned by the key and more, so the summaries do not move again
         o, keys = self.out, list(self.keys)
-        edges = F.array_distinct(F.array_compact(F.array(f"_{o}_first", f"_{o}_last")))
-        parts = blocks.select(*keys, F.explode(edges).alias("e")).select(*keys, "e.seg", "e.part")
-        sums = parts.groupBy(*keys, "seg").agg(F.sum("part").alias("sum"))
+        first, last = F.col(f"_{o}_first"), F.col(f"_{o}_last")
+        tail = F.when(~last["seg"].eqNullSafe(first["seg"]), last["part"])
+        edges = F.array(
+            F.struct(F.lit("first").alias("end"), first["seg"].alias("seg"), first["part"].alias("part")),
+            F.struct(F.lit("last").alias("end"), last["seg"].alias("seg"), tail.alias("part")),
+        )
+        rows = blocks.withColumn("_e", F.explode(edges))
+        rows = rows.withColumn("_eseg", F.col("_e")["seg"]).withColumn("_epart", F.col("_e")["part"])
+        rows = rows.withColumn("_esum", F.sum("_epart").over(Window.partitionBy(*keys, "_eseg")))
+        own = Window.partitionBy(*keys, BLOCK)
         for end in ("first", "last"):
-            found = sums.select(*keys, F.col("seg").alias(f"_{o}_{end}_seg"), F.col("sum").alias(f"_{o}_{end}_sum"))
-            blocks = blocks.withColumn(f"_{o}_{end}_seg", F.col(f"_{o}_{end}")["seg"])
-            blocks = blocks.join(found, [*keys, f"_{o}_{end}_seg"], "left")
-        return blocks
+            total = F.max(F.when(F.col("_e")["end"] == end, F.col("_esum"))).over(own)
+            rows = rows.withColumn(f"_{o}_{end}_sum", total).withColumn(f"_{o}_{end}_seg", F.col(f"_{o}_{end}")["seg"])
+        return rows.where(F.col("_e")["end"] == "first").drop("_e", "_eseg", "_epart", "_esum")
 
     def carried(self):
         return [f"_{self.out}_{end}_{part}" for end in ("first", "last") for part in ("seg", "sum")]
@@ -348,7 +356,7 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     steps: Sequence[Step],
     attach: DataFrame | None = None,
     keep_block: bool = False,
@@ -359,14 +367,15 @@ def scan(
     along it. Reverse steps read the rows from the far end. ``attach`` holds at most
     one row per key; its columns ride on the block summaries, so joining it costs
     no shuffle of the rows and a hot key stays split. ``keep_block`` leaves the
-    block number on the rows, for joins that reuse the layout.
+    block number on the rows; a later scan with ``block`` None then works in the
+    layout of this one, without another shuffle.
     """
     keys, order = list(keys), list(order)
     wanted = [c for c in df.columns if c != BLOCK] + [s.out for s in steps]
     rank = F.struct(*order)
     ahead = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     back = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in order])
-    local = df.withColumn(BLOCK, block)
+    local = df if block is None else df.withColumn(BLOCK, block)
     local = reduce(lambda d, s: s.local(d, back if s.reverse else ahead), steps, local)
 
     aggregates = [a for s in steps for a in s.totals(rank)]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
 from eddyline.operators.asof import nearest_shifted
-from eddyline.operators.scan import Changes, scan
+from eddyline.operators.scan import Changes, Last, scan
+from eddyline.session import stage
 
 ENDOGENOUS = ["coach_discretionary", "mistagged_discretionary"]
 EXOGENOUS = ["tv_mandatory", "coach_absorb"]
@@ -85,19 +86,14 @@ def candidate_rows(
     sizes = F.array(*[F.lit(n) for n in run_sizes])
     rows = rows.withColumn("run_size", F.explode(sizes)).where(F.abs("streak") >= F.col("run_size"))
     rows = rows.withColumn("group", coarse_group(challenge_apart, s)).withColumn("subtype_fine", fine_subtype(s))
-    sign = F.signum("streak")
-    rows = scan(
-        rows, [s.entity, "run_size"], [s.order], s.order_block(), [Changes("_seg", sign, F.lit(True))]
-    )
+    key = [s.entity, "run_size"]
+    segment = Changes("_seg", F.signum("streak"), F.lit(True))
+    rows = scan(rows, key, [s.order], s.order_block(), [segment], keep_block=True)
     control = F.col("group") == "control"
-    columns = [c for c in rows.columns if c != "_seg"]
-    first = (
-        rows.where(control)
-        .groupBy(s.entity, "run_size", "_seg")
-        .agg(F.min_by(F.struct(*columns), s.order).alias("_row"))
-        .select("_row.*")
-    )
-    return rows.where(~control).select(*columns).unionByName(first)
+    earlier = Last("_earlier", F.when(control, F.col("_seg")), inclusive=False)
+    rows = scan(rows, key, [s.order], None, [earlier])
+    opens = ~F.col("_earlier").eqNullSafe(F.col("_seg"))
+    return rows.where(~control | opens).drop("_seg", "_earlier")
 
 
 def run_impact(
@@ -112,7 +108,8 @@ def run_impact(
         s.entity, s.order, s.clock, s.remaining, s.period, s.action, s.sub, s.team, s.season, s.season_type,
         s.home, s.away, s.possession, "possession_id", "streak", "timeout_cause", "home_teamId", "away_teamId",
     ]
-    rows = candidate_rows(enriched.select(*need), run_sizes, challenge_apart, s)
+    # a few percent of the log, read once per horizon lookup and once for the join
+    rows = stage(candidate_rows(enriched.select(*need), run_sizes, challenge_apart, s), "candidates")
     rows = forward_scores(rows, enriched, minutes, s, keep_shift=True).where("lead_change is not null")
     sign = F.signum("streak").cast("long")
     lead = F.col(s.home) - F.col(s.away)

@@ -10,6 +10,7 @@ from eddyline.operators import joins
 from eddyline.operators.aggregates import heatmap_2d, threshold_crossings
 from eddyline.operators.scan import Changes, Sum, scan
 from eddyline.plans import state
+from eddyline.session import stage
 
 
 def per_possession(plays: DataFrame, s: Spine = SPINE) -> DataFrame:
@@ -106,6 +107,7 @@ def scoring_runs(rows: DataFrame, s: Spine = SPINE) -> DataFrame:
 
 
 def opponents(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
+    """The other team of each team, smallest id first."""
     pairs = state.team_pairs(spine, s)
     return pairs.groupBy(s.entity, F.col("teamA").alias("run_team")).agg(F.min("teamB").alias("opp_team"))
 
@@ -138,7 +140,8 @@ def run_timeout_situations(
         F.max(s.clock).alias(s.clock),
         F.sum(s.points).alias("run_points"),
     )
-    runs = runs.where((F.col("run_points") >= size) & (F.col(s.clock) <= 2700))
+    # one row per long run; the lookups below read it several times
+    runs = stage(runs.where((F.col("run_points") >= size) & (F.col(s.clock) <= 2700)), "runs")
     stops = rows.where(F.col(s.action).isin("timeout", breaks))
     runs = runs.join(stops.select(s.entity).distinct(), s.entity, "left_semi")
     runs = runs.join(opponents(enriched, s), [s.entity, "run_team"], "left")
@@ -151,7 +154,8 @@ def run_timeout_situations(
         .when(br.isNotNull(), F.lit("game_break"))
         .otherwise(F.lit("no_timeout"))
     )
-    runs = next_points(runs.withColumn("situation", situation), scoring, horizon, s).where("next_n > 0")
+    runs = stage(runs.withColumn("situation", situation), "situations")
+    runs = next_points(runs, scoring, horizon, s).where("next_n > 0")
     home = F.col("run_team") == F.col("home_teamId")
     mine = F.when(home, F.col("next_home")).otherwise(F.col("next_away"))
     theirs = F.when(home, F.col("next_away")).otherwise(F.col("next_home"))
@@ -166,11 +170,12 @@ def run_timeout_situations(
 
 
 def run_triggers(rows: DataFrame, size: int = 6, s: Spine = SPINE) -> DataFrame:
-    """The row at which each run first reaches ``size`` points."""
+    """The row at which each run first reaches ``size`` points, staged: it is sparse
+    and every question about it reads it more than once."""
     runs = scoring_runs(rows, s)
     key = [s.entity, "run_id"]
     runs = scan(runs, key, [s.order], s.order_block(), [Sum("run_points", F.col(s.points))])
-    return threshold_crossings(runs, key, s.order, "run_points", size)
+    return stage(threshold_crossings(runs, key, s.order, "run_points", size), "triggers")
 
 
 def run_trigger_categories(enriched: DataFrame, size: int = 6, within: int = 60, horizon: int = 180, s: Spine = SPINE) -> DataFrame:
@@ -194,7 +199,7 @@ def run_trigger_categories(enriched: DataFrame, size: int = 6, within: int = 60,
         .otherwise(F.lit("exogenous_break"))
     )
     start = F.coalesce(f"to_{s.clock}", s.clock)
-    rows = found.withColumn("category", category).withColumn(s.clock, start)
+    rows = stage(found.withColumn("category", category).withColumn(s.clock, start), "categories")
     rows = next_points(rows, scoring, horizon, s)
     home = F.col("run_team") == F.col("home_teamId")
     zero = F.lit(0).cast("long")
@@ -236,9 +241,11 @@ def with_defense(starts: DataFrame, spine: DataFrame, s: Spine = SPINE) -> DataF
 def floor_time_heatmap(rows: DataFrame, stints: DataFrame, min_count: int = 100, s: Spine = SPINE) -> DataFrame:
     """Mean points by average minutes since entering, offence against defence."""
     regular = rows.where(F.col(s.season_type) == "rg")
-    starts = with_defense(possession_starts(regular, s), rows, s)
+    starts = stage(with_defense(possession_starts(regular, s), rows, s), "starts")
     spans = stints.where(F.col(s.season_type) == "rg")
-    both = floor_time(floor_time(starts, spans, "offense", "off_s", s), spans, "defense", "def_s", s)
+    key = [s.entity, "possession_id", "defense"]
+    defenders = floor_time(starts, spans, "defense", "def_s", s).select(*key, "def_s")
+    both = floor_time(starts, spans, "offense", "off_s", s).join(defenders, key)
     both = both.where(F.col("off_s").between(0, 1200) & F.col("def_s").between(0, 1200))
     minute = lambda c: F.floor(F.col(c) / 60).cast("long")
     table = heatmap_2d(both, minute("off_s"), minute("def_s"), "possession_points", min_count)
@@ -250,7 +257,7 @@ def shooter_floor_time(rows: DataFrame, stints: DataFrame, season: int, min_coun
     of two minutes up to 14."""
     here = (F.col(s.season) == season) & (F.col(s.season_type) == "rg")
     regular, spans = rows.where(here), stints.where(here)
-    starts = with_defense(possession_starts(regular, s), rows, s)
+    starts = stage(with_defense(possession_starts(regular, s), rows, s), "starts")
     shots = regular.where(F.col(s.action).isin("2pt", "3pt") & F.col("possession_id").isNotNull())
     shooter = shots.groupBy(s.entity, "possession_id").agg(F.min_by(s.person, s.order).alias(s.person))
     entered = spans.groupBy(s.entity, s.person).agg(F.max("in_game_seconds").alias("_entered"))

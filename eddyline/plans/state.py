@@ -22,9 +22,9 @@ def previous_scores(s: Spine = SPINE) -> list[Lag]:
 
 def with_streak(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
     """Signed running net of the current scoring segment."""
-    block = s.order_block()
-    rows = scan(spine, [s.entity], [s.order], block, previous_scores(s)).withColumn("_net", net_points(s))
-    return scan(rows, [s.entity], [s.order], block, [Streak("streak", F.col("_net"))]).drop("_ph", "_pa", "_net")
+    rows = scan(spine, [s.entity], [s.order], s.order_block(), previous_scores(s), keep_block=True)
+    rows = rows.withColumn("_net", net_points(s))
+    return scan(rows, [s.entity], [s.order], None, [Streak("streak", F.col("_net"))]).drop("_ph", "_pa", "_net")
 
 
 def possession_step(s: Spine = SPINE) -> Changes:
@@ -213,12 +213,20 @@ def running_ppp(poss: DataFrame, s: Spine = SPINE) -> DataFrame:
     return rows.withColumn("team_cum_ppp", F.try_divide("cum_pts", "cum_poss"))
 
 
-def enrich(spine: DataFrame, labels: DataFrame, s: Spine = SPINE) -> DataFrame:
+def sides(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
+    """Home and away team, one row per entity."""
+    home = home_team(spine, s)
+    others = teams(spine, s).join(home, s.entity)
+    away = F.min(F.when(F.col(s.team) != F.col("home_teamId"), F.col(s.team)))
+    return others.groupBy(s.entity, "home_teamId").agg(away.alias("away_teamId"))
+
+
+def enrich(spine: DataFrame, labels: DataFrame, teams_of: DataFrame, s: Spine = SPINE) -> DataFrame:
     """The enriched spine: one shuffle of the log by (entity, block).
 
-    Both scans, the possession totals and the entity's teams work in that layout;
-    ``labels`` (role and cause of the sparse intervention rows) is joined on it too,
-    when the write runs inside ``session.reuse_layout``.
+    Both scans, the possession totals and the entity's teams (``teams_of``) work in
+    that layout; ``labels`` (role and cause of the sparse intervention rows) is
+    joined on it too, when the write runs inside ``session.reuse_layout``.
     """
     block = s.order_block()
     rows = scan(
@@ -232,19 +240,19 @@ def enrich(spine: DataFrame, labels: DataFrame, s: Spine = SPINE) -> DataFrame:
             Lag("prev_action_type", F.col(s.action)),
             Lag("prev_sub_type", F.col(s.sub)),
         ],
+        keep_block=True,
     )
     rows = rows.withColumn("_net", net_points(s)).withColumn("possession_id", live_possession(s))
-    sides = home_team(spine, s).join(away_team(spine, s), s.entity, "left")
     rows = scan(
         rows,
         [s.entity],
         [s.order],
-        block,
+        None,
         [
             Streak("streak", F.col("_net")),
             SegmentTotal("possession_points", "possession_id", F.col(s.points), [s.entity]),
         ],
-        attach=sides,
+        attach=teams_of,
         keep_block=True,
     )
     rows = rows.drop("_ph", "_pa", "_pid", "_net")

@@ -40,14 +40,20 @@ class Tables:
     def spine(self) -> DataFrame:
         return stage(adapter.spine_from_events(self.raw("events")), "spine")
 
+    @cached_property
+    def sides(self) -> DataFrame:
+        """Home and away team: one row per entity."""
+        return stage(state.sides(self.spine), "sides")
+
     @cached_property
     def labels(self) -> DataFrame:
-        return classify.classify_events(self.spine, state.home_team(self.spine))
+        """Role and cause of the intervention rows."""
+        return stage(classify.classify_events(self.spine, self.sides.drop("away_teamId")), "labels")
 
     @cached_property
     def enriched(self) -> DataFrame:
         with reuse_layout(self.spark):
-            rows = state.enrich(self.spine, self.labels)
+            rows = state.enrich(self.spine, self.labels, self.sides)
             return stage(rows, "enriched", (SPINE.season, SPINE.season_type))
 
     @cached_property

@@ -119,5 +119,5 @@ def test_halo_wider_than_block_is_refused(spark):
 @pytest.mark.parametrize("span", [37, 400])
 def test_enriched_spine_does_not_depend_on_block_width(tables, span):
     small = replace(SPINE, block_span=span, clock_span=50)
-    got = state.enrich(tables.spine, tables.labels, small)
+    got = state.enrich(tables.spine, tables.labels, tables.sides, small)
     assert same_rows(tables.enriched, got)
