@@ -31,8 +31,10 @@ class Step:
 
     reverse = False
 
-    def local(self, df: DataFrame, w: WindowSpec) -> DataFrame:
-        return df
+    def layers(self, w: WindowSpec) -> list[dict[str, Column]]:
+        """Columns of the local phase; a layer may use the ones before it. The same
+        layer of all steps is computed together, in one window operator."""
+        return []
 
     def totals(self, rank: Column) -> list[Column]:
         """Aggregates of a block; ``rank`` orders its rows in scan direction."""
@@ -66,9 +68,9 @@ class Sum(Step):
     expr: Column
     reverse: bool = False
 
-    def local(self, df, w):
+    def layers(self, w):
         value = F.coalesce(self.expr, F.lit(0))
-        return df.withColumn(f"_{self.out}_l", F.sum(value).over(w.rowsBetween(UNBOUNDED, 0)))
+        return [{f"_{self.out}_l": F.sum(value).over(w.rowsBetween(UNBOUNDED, 0))}]
 
     def totals(self, rank):
         return [F.sum(F.coalesce(self.expr, F.lit(0))).alias(f"_{self.out}_t")]
@@ -92,8 +94,8 @@ class Max(Step):
     expr: Column
     reverse: bool = False
 
-    def local(self, df, w):
-        return df.withColumn(f"_{self.out}_l", F.max(self.expr).over(w.rowsBetween(UNBOUNDED, 0)))
+    def layers(self, w):
+        return [{f"_{self.out}_l": F.max(self.expr).over(w.rowsBetween(UNBOUNDED, 0))}]
 
     def totals(self, rank):
         return [F.max(self.expr).alias(f"_{self.out}_t")]
@@ -117,9 +119,9 @@ class Last(Step):
     inclusive: bool = True
     reverse: bool = False
 
-    def local(self, df, w):
+    def layers(self, w):
         frame = w.rowsBetween(UNBOUNDED, 0 if self.inclusive else -1)
-        return df.withColumn(f"_{self.out}_l", F.last(self.expr, ignorenulls=True).over(frame))
+        return [{f"_{self.out}_l": F.last(self.expr, ignorenulls=True).over(frame)}]
 
     def totals(self, rank):
         value = _latest(self.expr, rank, self.reverse, self.expr.isNotNull())
@@ -144,14 +146,12 @@ class Lag(Step):
     expr: Column
     reverse: bool = False
 
-    def _boxed(self):
-        return F.struct(self.expr.alias("v"))
-
-    def local(self, df, w):
-        return df.withColumn(f"_{self.out}_l", F.lag(self._boxed()).over(w))
+    def layers(self, w):
+        o = self.out
+        return [{f"_{o}_l": F.lag(self.expr).over(w), f"_{o}_in": F.lag(F.lit(True)).over(w)}]
 
     def totals(self, rank):
-        return [_latest(self._boxed(), rank, self.reverse).alias(f"_{self.out}_t")]
+        return [_latest(self.expr, rank, self.reverse).alias(f"_{self.out}_t")]
 
     def carry(self, blocks, w):
         return blocks.withColumn(f"_{self.out}_c", F.lag(f"_{self.out}_t").over(w))
@@ -160,7 +160,9 @@ class Lag(Step):
         return [f"_{self.out}_c"]
 
     def finish(self, df):
-        return df.withColumn(self.out, F.coalesce(f"_{self.out}_l", f"_{self.out}_c")["v"])
+        o = self.out
+        value = F.when(F.col(f"_{o}_in"), F.col(f"_{o}_l")).otherwise(F.col(f"_{o}_c"))
+        return df.withColumn(o, value)
 
 
 @dataclass
@@ -175,12 +177,12 @@ class Changes(Step):
     value: Column
     counted: Column
 
-    def local(self, df, w):
+    def layers(self, w):
         o = self.out
-        previous = F.lag(F.struct(self.value.alias("v"))).over(w)
-        flag = previous.isNotNull() & F.coalesce(self.counted, F.lit(False)) & ~previous["v"].eqNullSafe(self.value)
-        df = df.withColumn(f"_{o}_f", flag.cast("long"))
-        return df.withColumn(f"_{o}_l", F.sum(f"_{o}_f").over(w.rowsBetween(UNBOUNDED, 0)))
+        inside = F.lag(F.lit(True)).over(w).isNotNull()
+        flag = inside & F.coalesce(self.counted, F.lit(False)) & ~F.lag(self.value).over(w).eqNullSafe(self.value)
+        running = F.sum(f"_{o}_f").over(w.rowsBetween(UNBOUNDED, 0))
+        return [{f"_{o}_f": flag.cast("long")}, {f"_{o}_l": running}]
 
     def totals(self, rank):
         o = self.out
@@ -219,17 +221,19 @@ class Streak(Step):
     out: str
     net: Column
 
-    def local(self, df, w):
+    def layers(self, w):
         o = self.out
         upto, before = w.rowsBetween(UNBOUNDED, 0), w.rowsBetween(UNBOUNDED, -1)
         sign = F.when(self.net != 0, F.signum(self.net))
-        df = df.withColumn(f"_{o}_s", sign).withColumn(f"_{o}_sum", F.sum(self.net).over(upto))
-        prior = F.last(f"_{o}_s", ignorenulls=True).over(before)
-        df = df.withColumn(f"_{o}_seen", F.last(f"_{o}_s", ignorenulls=True).over(upto))
-        df = df.withColumn(f"_{o}_flip", (F.col(f"_{o}_s") != prior))
+        first = {
+            f"_{o}_s": sign,
+            f"_{o}_sum": F.sum(self.net).over(upto),
+            f"_{o}_seen": F.last(sign, ignorenulls=True).over(upto),
+            f"_{o}_flip": sign != F.last(sign, ignorenulls=True).over(before),
+        }
         start = F.when(F.col(f"_{o}_flip"), F.col(f"_{o}_sum") - self.net)
-        df = df.withColumn(f"_{o}_base", F.last(start, ignorenulls=True).over(upto))
-        return df.withColumn(f"_{o}_l", F.col(f"_{o}_sum") - F.coalesce(f"_{o}_base", F.lit(0)))
+        base = {f"_{o}_base": F.last(start, ignorenulls=True).over(upto)}
+        return [first, base, {f"_{o}_l": F.col(f"_{o}_sum") - F.coalesce(f"_{o}_base", F.lit(0))}]
 
     def totals(self, rank):
         o = self.out
@@ -306,11 +310,10 @@ class SegmentTotal(Step):
 
     keys: Sequence[str]
 
-    def local(self, df, w):
-        o = self.out
+    def layers(self, w):
         own = Window.partitionBy(*self.keys, BLOCK, self.segment)
         part = F.when(F.col(self.segment).isNotNull(), F.sum(self.value).over(own))
-        return df.withColumn(f"_{o}_l", part)
+        return [{f"_{self.out}_l": part}]
 
     def totals(self, rank):
         o, seg = self.out, F.col(self.segment)
@@ -372,11 +375,14 @@ def scan(
     """
     keys, order = list(keys), list(order)
     wanted = [c for c in df.columns if c != BLOCK] + [s.out for s in steps]
-    rank = F.struct(*order)
+    # a plain column keeps the aggregation buffers flat, a struct would force sorting
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     ahead = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     back = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in order])
     local = df if block is None else df.withColumn(BLOCK, block)
-    local = reduce(lambda d, s: s.local(d, back if s.reverse else ahead), steps, local)
+    per_step = [s.layers(back if s.reverse else ahead) for s in steps]
+    for depth in range(max((len(p) for p in per_step), default=0)):
+        local = local.withColumns({n: c for p in per_step if depth < len(p) for n, c in p[depth].items()})
 
     aggregates = [a for s in steps for a in s.totals(rank)]
     grouped = local.groupBy(*keys, BLOCK)
