@@ -320,7 +320,7 @@ LEFT JOIN h2h h ON h.season = e.season AND h.season_type = e.season_type AND h.c
 
 PARTS["stints0"] = f"""
 SELECT gameId, orderNumber, personId, teamId, season, season_type, game_seconds_elapsed AS i,
-  coalesce(lead(game_seconds_elapsed) OVER ({W}), 2880) AS o FROM spine WHERE actionType = 'substitution'"""
+  coalesce(lead(game_seconds_elapsed) OVER (PARTITION BY gameId, teamId ORDER BY orderNumber), 2880) AS o FROM spine WHERE actionType = 'substitution'"""
 
 PARTS["stints"] = """
 SELECT *, row_number() OVER (PARTITION BY gameId, personId ORDER BY i, orderNumber) AS stint_id FROM stints0"""

@@ -53,6 +53,11 @@ def _(t):
 # --- C3, C4 -------------------------------------------------------------------------
 
 
+@register("classify_events", f"SELECT {KEY}, timeout_role, timeout_cause FROM lab")
+def _(t):
+    return classify.classify_events(t.spine, state.home_team(t.spine))
+
+
 @register("classify_role", f"SELECT {KEY}, timeout_role FROM lab")
 def _(t):
     return classify.classify_events(t.spine, state.home_team(t.spine)).select(*key, "timeout_role")

@@ -152,9 +152,9 @@ def _(t):
     return readers.incremental_append(view(orders.where("o_orderstatus = 'F'"), "saved"), view(orders, "fetched"), ["k"], "o")
 
 
-@register("pending_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("pending_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def _(t):
-    saved = t.raw("orders").select(F.col("o_custkey").alias("c_custkey"))
+    saved = t.raw("orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return readers.pending_keys(t.raw("customer"), saved, ["c_custkey"])
 
 

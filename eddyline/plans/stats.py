@@ -272,12 +272,12 @@ def sprt(
     """Sequential ratio test on sample a in order: first crossing of either bound."""
     log_a, log_b = math.log((1 - beta) / (alpha + EPS)), math.log((beta + EPS) / (1 - alpha))
     m = two_sample(df, by, value, sample).select(*by, "mean_a", "mean_b", "pvar_a", "binary")
-    rows = df.where((F.col(sample) == "a") & F.col(value).isNotNull()).select(*by, order, value).join(m, list(by))
-    llr = llr_terms(F.col("binary"), F.col(value), F.col("mean_b"), F.col("mean_a"), _sigma2())
-    rows = rows.withColumn("_llr", llr)
-    rows = scan(
-        rows, list(by), [order], s.order_block(order), [Sum("cum_lr", F.col("_llr")), Sum("_i", F.lit(1).cast("long"))]
-    )
+    rows = df.where((F.col(sample) == "a") & F.col(value).isNotNull()).select(*by, order, value)
+    steps = [Sum("_x", F.col(value)), Sum("_i", F.lit(1).cast("long"))]
+    rows = scan(rows, list(by), [order], s.order_block(order), steps, attach=m)
+    # the ratio of one observation is linear in it, so running sums of x are enough
+    at = [llr_terms(F.col("binary"), F.lit(x), F.col("mean_b"), F.col("mean_a"), _sigma2()) for x in (0.0, 1.0)]
+    rows = rows.withColumn("cum_lr", at[0] * F.col("_i") + (at[1] - at[0]) * F.col("_x"))
     crossed = F.when((F.col("cum_lr") >= log_a) | (F.col("cum_lr") <= log_b), F.col("_i"))
     up = F.min_by(F.col("cum_lr") >= log_a, crossed)
     out = rows.groupBy(*by).agg(

@@ -85,8 +85,8 @@ def evaluate(scored: DataFrame) -> DataFrame:
     )
     ranks = scored.withColumn("sample", F.when(y == 1, F.lit("a")).otherwise(F.lit("b")))
     auc = stats.mann_whitney(ranks, [], "p_home").select((F.col("u_stat") / (F.col("n_a") * F.col("n_b"))).alias("auc"))
-    one = F.lit(1)
-    return base.withColumn("_k", one).join(auc.withColumn("_k", one), "_k").drop("_k")
+    both = base.unionByName(auc, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ END_OF_PLAY = 2880
 
 
 def stints(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
-    """On-court intervals: from one substitution of the entity to the next."""
+    """On-court intervals: from one substitution of a team to its next."""
     subs = spine.where(F.col(s.action) == "substitution").select(
         s.entity, s.order, s.person, s.team, s.season, s.season_type, F.col(s.clock).alias("in_game_seconds")
     )
-    rows = scan(subs, [s.entity], [s.order], s.order_block(), [Lag("_next", F.col("in_game_seconds"), reverse=True)])
+    rows = scan(subs, [s.entity, s.team], [s.order], s.order_block(), [Lag("_next", F.col("in_game_seconds"), reverse=True)])
     rows = rows.withColumn("out_game_seconds", F.coalesce("_next", F.lit(END_OF_PLAY).cast("long"))).drop("_next")
     return number_stints(rows, s).withColumn(
         "stint_duration_minutes", (F.col("out_game_seconds") - F.col("in_game_seconds")) / 60.0
