@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.operators.scan import Sum, Total, scan
+from eddyline.operators.scan import BLOCK, Sum, Total, scan
+from eddyline.session import stage
 
 
 def group_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -82,17 +83,12 @@ def share_by_key(df: DataFrame, key: str, where: Column) -> DataFrame:
 ROWS_PER_BLOCK = 1_000_000
 
 
-def range_blocks(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Block number of a value; blocks are ordered like the values.
+def range_blocks(df: DataFrame, column: str, parts: int) -> Column:
+    """Block number of a value, from ``parts`` approximate quantiles of the column.
 
-    A table within one block's size needs no cut. Otherwise approximate quantiles
-    give blocks of about ``rows_per_block`` rows; only the cut points (at most
-    4,095 numbers) reach the driver.
+    Only the cut points (at most 4,095 numbers) reach the driver. Blocks are ordered
+    like the values.
     """
-    parts = min(4096, -(-df.count() // rows_per_block))
-    if parts <= 1:
-        # always 0, but not a literal: a join on literals would become a nested loop
-        return F.pmod(F.hash(column), F.lit(1)).cast("long")
     at = [i / parts for i in range(1, parts)]
     cuts = sorted(set(df.agg(F.percentile_approx(column, at, 10 * parts).alias("c")).first()["c"]))
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))).cast("long")
@@ -102,14 +98,22 @@ def value_prefix(df: DataFrame, by: Sequence[str], value: str, measures: Mapping
     """Counts per distinct value with running totals in value order.
 
     ``measures`` are aggregates per value; each gets ``cum_<name>`` (including the
-    row) and ``all_<name>`` (the group's total).
+    row) and ``all_<name>`` (the group's total). The counts are staged: they are
+    far smaller than the rows, and are read several times.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in measures.items()])
     keys = list(by) or ["_all"]
     if not by:
-        counts = counts.withColumn("_all", F.lit(1))
+        # always 0, but not a literal: joins on literals are planned as nested loops
+        counts = counts.withColumn("_all", F.pmod(F.hash(value), F.lit(1)))
+    counts = stage(counts, "counts")
+    parts = min(4096, -(-counts.count() // rows_per_block))
+    if parts > 1:
+        counts = stage(counts.withColumn(BLOCK, range_blocks(counts, value, parts)), "blocks")
+    else:
+        counts = counts.withColumn(BLOCK, F.lit(0).cast("long"))
     steps = [Sum(f"cum_{n}", F.col(n)) for n in measures] + [Total(f"all_{n}", F.col(n)) for n in measures]
-    out = scan(counts, keys, [value], range_blocks(counts, value, rows_per_block), steps)
+    out = scan(counts, keys, [value], None, steps)
     return out if by else out.drop("_all")
 
 

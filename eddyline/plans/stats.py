@@ -19,6 +19,7 @@ from eddyline.config import SPINE, Spine
 from eddyline.functions import distributions as D
 from eddyline.operators.aggregates import ROWS_PER_BLOCK, value_prefix
 from eddyline.operators.scan import Sum, scan
+from eddyline.session import stage
 
 EPS = 1e-15
 
@@ -353,7 +354,7 @@ def permutation_test(df: DataFrame, value: str, sample: str = "sample", replicat
     Each row keeps label a with probability n_a / n, so group sizes vary slightly
     around the observed ones from replicate to replicate.
     """
-    counts = _sample_counts(df, value, sample)
+    counts = stage(_sample_counts(df, value, sample), "counts")
     sizes = counts.agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum(F.col("na") * F.col("value")).alias("sa"), F.sum(F.col("nb") * F.col("value")).alias("sb")).first()
     share = (sizes["na"] or 0) / max((sizes["na"] or 0) + (sizes["nb"] or 0), 1)
     observed = (sizes["sa"] or 0) / max(sizes["na"] or 0, 1) - (sizes["sb"] or 0) / max(sizes["nb"] or 0, 1)
@@ -375,7 +376,7 @@ def bootstrap_ci(
     df: DataFrame, value: str, sample: str = "sample", replicates: int = 9999, confidence: float = 0.95, seed: int = 7
 ) -> DataFrame:
     """Percentile interval of the mean difference, by Poisson resampling."""
-    counts = _sample_counts(df, value, sample)
+    counts = stage(_sample_counts(df, value, sample), "counts")
 
     def draw(v, na, nb):
         rng = _value_seed(v, seed)
