@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from eddyline.llm.byte_bpe import op6_byte_bpe
 from eddyline.llm.byte_cnn import op4_byte_cnn
 from eddyline.llm.feistel_pseudonyms import op3_feistel_pseudonyms
+from eddyline.llm.ngram_join import op9_ngram_join
 from eddyline.llm.pigeonhole import op2_pigeonhole
 from eddyline.llm.ordinal_toxicity import op7_ordinal_toxicity
 from eddyline.llm.quartile_digest import op10_quartile_digest
 from eddyline.llm.secret_battery import op1_secret_battery
 from eddyline.llm.warc_bundles import op8_warc_bundles
 
-OPERATORS = (op1_secret_battery, op2_pigeonhole, op3_feistel_pseudonyms, op4_byte_cnn, op6_byte_bpe, op7_ordinal_toxicity, op8_warc_bundles, op10_quartile_digest)
+OPERATORS = (op1_secret_battery, op2_pigeonhole, op3_feistel_pseudonyms, op4_byte_cnn, op6_byte_bpe, op7_ordinal_toxicity, op8_warc_bundles, op9_ngram_join, op10_quartile_digest)
 SQL: dict[str, str] = {}
 
 
