@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from eddyline.llm.byte_bpe import op6_byte_bpe
 from eddyline.llm.byte_cnn import op4_byte_cnn
 from eddyline.llm.feistel_pseudonyms import op3_feistel_pseudonyms
@@ -14,14 +15,15 @@ from eddyline.llm.pigeonhole import op2_pigeonhole
 from eddyline.llm.ordinal_toxicity import op7_ordinal_toxicity
 from eddyline.llm.quartile_digest import op10_quartile_digest
 from eddyline.llm.secret_battery import op1_secret_battery
+from eddyline.llm.suffix_dedup import op5_suffix_dedup
 from eddyline.llm.warc_bundles import op8_warc_bundles
 
-OPERATORS = (op1_secret_battery, op2_pigeonhole, op3_feistel_pseudonyms, op4_byte_cnn, op6_byte_bpe, op7_ordinal_toxicity, op8_warc_bundles, op9_ngram_join, op10_quartile_digest)
+OPERATORS = (op1_secret_battery, op2_pigeonhole, op3_feistel_pseudonyms, op4_byte_cnn, op5_suffix_dedup, op6_byte_bpe, op7_ordinal_toxicity, op8_warc_bundles, op9_ngram_join, op10_quartile_digest)
 SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in OPERATORS}
+    return {fn.__name__: fn for fn in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
