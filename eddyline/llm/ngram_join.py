@@ -242,7 +242,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     out = size.join(groups, size["rep"] == groups["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _fitting(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:

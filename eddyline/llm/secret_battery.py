@@ -197,8 +197,9 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", count_
     clean = F.when(F.col(spans).isNotNull(), F.array_join(kept, mark)).otherwise(text)
     changed = {text_col: clean}
     if count_col:
-        changed[count_col] = F.when(F.col(spans).isNotNull(), F.length(clean).cast(dict(df.dtypes)[count_col])).otherwise(F.col(count_col))
-    return found.withColumns(changed).select(*(F.col(f"`{c}`") for c in df.columns))
+        size = F.aggregate(spans, F.length(text).cast("bigint"), lambda n, s: n - (s["end"] - s["start"]) + len(mark))
+        changed[count_col] = F.when(F.col(spans).isNotNull(), size).otherwise(F.col(count_col)).cast(dict(df.dtypes)[count_col])
+    return found.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in df.columns))
 
 
 def op1_secret_battery(spark, sf_dir: str) -> DataFrame:

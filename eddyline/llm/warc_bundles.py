@@ -84,7 +84,8 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 class Bundle:
     """Collects records into frames, and frames into one file with its seek table."""
 
-    def __init__(self):
+    def __init__(self, frame_bytes: int = FRAME_BYTES):
+        self.frame_bytes = frame_bytes
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
         self.body, self.frames, self.open = bytearray(), [], bytearray()
         self.places: list[tuple[int, int, int]] = []
@@ -92,7 +93,7 @@ class Bundle:
     def add(self, raw: bytes) -> None:
         self.places.append((len(self.frames), len(self.open), len(raw)))
         self.open += raw
-        if len(self.open) >= FRAME_BYTES:
+        if len(self.open) >= self.frame_bytes:
             self.close_frame()
 
     def close_frame(self) -> None:
@@ -153,7 +154,7 @@ def uri_of(folder: str) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write all pages; returns the index, one row per record (columns of ``INDEX``)."""
     spark = pages.sparkSession
     folder = uri_of(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
@@ -167,7 +168,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         task = TaskContext.get()
-        stem, number, bundle, ids = f"part-{task.partitionId():05d}-{uuid.uuid4().hex}", 0, Bundle(), []
+        stem, number, bundle, ids = f"part-{task.partitionId():05d}-{uuid.uuid4().hex}", 0, Bundle(frame_bytes), []
 
         def close():
             data = bundle.finish()
@@ -185,9 +186,9 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                     name = f"urn:page:{page}"
                     bundle.add(record(name, url, raw, None if ref is None else f"urn:page:{ref}"))
                     ids.append((name, page))
-                    if len(bundle.body) >= BUNDLE_BYTES:
+                    if len(bundle.body) >= bundle_bytes:
                         yield close()
-                        number, bundle, ids = number + 1, Bundle(), []
+                        number, bundle, ids = number + 1, Bundle(frame_bytes), []
         if ids:
             yield close()
 
