@@ -32,12 +32,14 @@ def mean_ci(df: DataFrame, by: Sequence[str], value: str, ddof: int = 1) -> Data
 
 
 def with_totals(counts: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Group total of an already aggregated table, attached to its rows."""
+    """Group total of an already aggregated table, attached to its rows. A null is a
+    group of its own; without groups the total is one number."""
     if not by:
-        rows = counts.withColumn("_all", F.lit(1))
-        return with_totals(rows, ["_all"], value, out).drop("_all")
-    totals = counts.groupBy(*by).agg(F.sum(value).alias(out))
-    return counts.join(totals, list(by), "left")
+        return counts.withColumn(out, counts.agg(F.sum(value)).scalar())
+    names = {c: f"_by_{i}" for i, c in enumerate(by)}
+    totals = counts.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.sum(value).alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return counts.join(totals, same, "left").drop(*names.values())
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -83,15 +85,12 @@ def share_by_key(df: DataFrame, key: str, where: Column) -> DataFrame:
 ROWS_PER_BLOCK = 1_000_000
 
 
-def range_blocks(df: DataFrame, column: str, parts: int) -> Column:
-    """Block number of a value, from ``parts`` approximate quantiles of the column.
-
-    Only the cut points (at most 4,095 numbers) reach the driver. Blocks are ordered
-    like the values.
-    """
-    at = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(df.agg(F.percentile_approx(column, at, 10 * parts).alias("c")).first()["c"]))
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))).cast("long")
+def range_blocks(df: DataFrame, column: str, rows_per_block: int) -> DataFrame:
+    """``df`` staged with a block number that is ordered like the values: the partition
+    it falls into when dealt out by range. Equal values share a block."""
+    parts = max(1, -(-df.count() // rows_per_block))
+    dealt = df.repartitionByRange(parts, column).withColumn(BLOCK, F.spark_partition_id().cast("long"))
+    return stage(dealt, "blocks")
 
 
 def value_prefix(df: DataFrame, by: Sequence[str], value: str, measures: Mapping[str, Column], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -102,19 +101,9 @@ def value_prefix(df: DataFrame, by: Sequence[str], value: str, measures: Mapping
     far smaller than the rows, and are read several times.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in measures.items()])
-    keys = list(by) or ["_all"]
-    if not by:
-        # always 0, but not a literal: joins on literals are planned as nested loops
-        counts = counts.withColumn("_all", F.pmod(F.hash(value), F.lit(1)))
-    counts = stage(counts, "counts")
-    parts = min(4096, -(-counts.count() // rows_per_block))
-    if parts > 1:
-        counts = stage(counts.withColumn(BLOCK, range_blocks(counts, value, parts)), "blocks")
-    else:
-        counts = counts.withColumn(BLOCK, F.lit(0).cast("long"))
+    counts = range_blocks(stage(counts, "counts"), value, rows_per_block)
     steps = [Sum(f"cum_{n}", F.col(n)) for n in measures] + [Total(f"all_{n}", F.col(n)) for n in measures]
-    out = scan(counts, keys, [value], None, steps)
-    return out if by else out.drop("_all")
+    return scan(counts.withColumnRenamed(BLOCK, "_range"), list(by), [value], F.col("_range"), steps).drop("_range")
 
 
 def ecdf(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

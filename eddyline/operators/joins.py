@@ -122,23 +122,45 @@ def first_after(
     within: int = 60,
     prefix: str = "ev_",
 ) -> DataFrame:
-    """For each trigger row, the next event of its key by order, if its clock lies
-    within ``within`` of the trigger; nulls otherwise.
+    """For each trigger row, the first event of its key that comes after it by order and
+    whose clock is at most ``within`` later; nulls where there is none.
 
-    Event clocks follow the event order (``check_monotone`` reports entities where
-    they do not), so the next event by order is also the first in time.
+    Clocks may run back, so an event that lies outside the window does not hide a later
+    one inside it: each whole second of the window is asked for its next event by order,
+    and the smallest order wins. Cost is triggers x seconds, no pair is formed.
     """
     names = [s.order, s.clock, *payload]
+    second = F.floor(F.col(s.clock)).cast("long")
     boxed = F.struct(*names)
-    left = events.select(*keys, s.order, boxed.alias("_ev"), F.lit(0).alias("_q"))
-    right = triggers.select(*keys, s.order, F.col(s.clock).alias("_tc"), F.lit(1).alias("_q")).distinct()
-    rows = left.unionByName(right, allowMissingColumns=True)
+    left = events.where(F.col(s.clock).isNotNull()).select(*keys, s.order, second.alias("_sec"), boxed.alias("_ev"), F.lit(0).alias("_q"))
+    asked = triggers.where(F.col(s.clock).isNotNull()).select(*keys, s.order, F.col(s.clock).alias("_tc")).distinct()
+    seconds = F.sequence(F.floor("_tc").cast("long"), F.floor(F.col("_tc") + within).cast("long"))
+    right = asked.withColumn("_sec", F.explode(seconds)).withColumn("_q", F.lit(1))
+    # a second without events has no answer
+    right = right.join(left.select(*keys, "_sec").distinct(), [*keys, "_sec"], "left_semi")
+    if s.clock in events.columns and dict(events.dtypes)[s.clock] in ("double", "float", "decimal"):
+        # inside the first and the last second the clock itself decides
+        edge = (F.col("_sec") == F.floor("_tc")) | (F.col("_sec") == F.floor(F.col("_tc") + within))
+        inner, outer = right.where(~edge), right.where(edge)
+        parts = [_next_in(left, inner, keys, s, ["_sec"], names)]
+        exact = left.withColumn("_at", F.col("_ev")[s.clock])
+        clocks = exact.select(*keys, "_sec", "_at").distinct()
+        outer = outer.join(clocks, [*keys, "_sec"]).where((F.col("_at") >= F.col("_tc")) & (F.col("_at") <= F.col("_tc") + within))
+        parts.append(_next_in(exact, outer, keys, s, ["_sec", "_at"], names))
+        found = parts[0].unionByName(parts[1])
+    else:
+        found = _next_in(left, right, keys, s, ["_sec"], names)
+    first = found.groupBy(*keys, s.order).agg(F.min_by("_next", F.col("_next")[s.order]).alias("_next"))
+    first = first.select(*keys, s.order, *[F.col("_next")[c].alias(prefix + c) for c in names])
+    return triggers.join(first, [*keys, s.order], "left")
+
+
+def _next_in(left: DataFrame, right: DataFrame, keys: Sequence[str], s: Spine, within: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """For each asked row, the next event by order that shares ``keys`` and ``within``."""
+    rows = left.select(*keys, s.order, *within, "_ev", "_q").unionByName(right.select(*keys, s.order, *within, "_q"), allowMissingColumns=True)
     step = Last("_next", F.col("_ev"), inclusive=False, reverse=True)
-    found = scan(rows, keys, [s.order, "_q"], s.order_block(), [step]).where("_q = 1")
-    gap = F.col("_next")[s.clock] - F.col("_tc")
-    match = F.when((gap >= 0) & (gap <= within), F.col("_next"))
-    found = found.select(*keys, s.order, *[match[c].alias(prefix + c) for c in names])
-    return triggers.join(found, [*keys, s.order], "left")
+    found = scan(rows, [*keys, *within], [s.order, "_q"], s.order_block(), [step]).where("_q = 1 AND _next IS NOT NULL")
+    return found.select(*keys, s.order, "_next")
 
 
 def nearest_outcome(
@@ -208,13 +230,24 @@ def build_stints(rotations: DataFrame, s: Spine = SPINE) -> DataFrame:
         F.col("PLAYER_PTS").alias("player_pts"),
         F.col("PT_DIFF").alias("pt_diff"),
     )
-    return scan(
-        rows,
-        [s.entity, s.person],
-        ["in_game_seconds", s.order],
-        s.clock_block("in_game_seconds"),
-        [Sum("stint_id", F.lit(1).cast("long"))],
-    )
+    return number_by_clock(rows, [s.entity, s.person], "in_game_seconds", s.order, "stint_id", s)
+
+
+def number_by_clock(rows: DataFrame, keys: Sequence[str], clock: str, order: str, out: str, s: Spine = SPINE) -> DataFrame:
+    """1, 2, … per key by (clock, order), however many rows share a clock value.
+
+    First the rows before each clock value (one row per value is scanned), then the place
+    among the rows of one value, by blocks of the order.
+    """
+    kind = dict(rows.dtypes)[clock]
+    sizes = rows.groupBy(*keys, clock).agg(F.count("*").alias("_n"))
+    before = scan(sizes, keys, [clock], block_of(clock, s.clock_span), [Sum("_upto", F.col("_n"))])
+    before = before.select(*keys, clock, (F.col("_upto") - F.col("_n")).alias("_before"))
+    named = rows.withColumn("_at", F.col(clock))
+    before = before.withColumnRenamed(clock, "_at")
+    out_rows = scan(named, [*keys, "_at"], [order], s.order_block(order), [Sum("_place", F.lit(1).cast("long"))], attach=before)
+    wanted = [c for c in rows.columns if c != out]
+    return out_rows.select(*wanted, (F.col("_before") + F.col("_place")).cast("long").alias(out)).withColumn(clock, F.col(clock).cast(kind))
 
 
 def mean_time_since_start(

@@ -10,17 +10,20 @@ here works in three steps that never do:
 3. ``finish``: the carried state is joined back on (keys, block) and combined.
 
 The join in step 3 meets the layout of step 1, so only the block summaries move.
-Key columns must not be null.
+A null key is a key of its own. A join drops nulls, so unless scans are chained in one
+layout, keys that may be null are laid out by (is null, value or a default). Chained
+scans (``keep_block``, ``block`` None) need keys without nulls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, NumericType
 
 BLOCK = "_block"
 UNBOUNDED = Window.unboundedPreceding
@@ -375,6 +378,9 @@ def scan(
     """
     keys, order = list(keys), list(order)
     wanted = [c for c in df.columns if c != BLOCK] + [s.out for s in steps]
+    if block is not None and not keep_block:
+        df, attach, steps, keys, extra = _without_nulls(df, attach, steps, keys)
+        wanted = wanted + extra
     # a plain column keeps the aggregation buffers flat, a struct would force sorting
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     ahead = Window.partitionBy(*keys, BLOCK).orderBy(*order)
@@ -393,8 +399,8 @@ def scan(
     carried = [c for s in steps for c in s.carried()]
     if attach is not None:
         extra = [c for c in attach.columns if c not in keys]
-        blocks = blocks.join(attach, keys, "left")
-        carried, wanted = carried + extra, wanted + extra
+        blocks = blocks.join(attach, keys, "left") if keys else blocks.join(attach)
+        carried, wanted = carried + extra, wanted + [c for c in extra if c not in wanted]
     if keep_block:
         wanted = wanted + [BLOCK]
 
@@ -402,6 +408,33 @@ def scan(
     return reduce(lambda d, s: s.finish(d), steps, joined).select(*wanted)
 
 
+def _filler(kind: DataType) -> Column:
+    if isinstance(kind, NumericType):
+        return F.lit(0).cast(kind)
+    return F.lit(False) if isinstance(kind, BooleanType) else F.lit("").cast("string")
+
+
+def _without_nulls(df, attach, steps, keys):
+    """The inputs of a scan with each nullable key split into (is null, value)."""
+    kinds = {f.name: f for f in df.schema.fields}
+    loose = [k for k in keys if kinds[k].nullable]
+    if not loose:
+        return df, attach, steps, keys, []
+    columns = {}
+    for k in loose:
+        kind = kinds[k].dataType
+        plain = F.col(k) if isinstance(kind, (NumericType, BooleanType)) else F.col(k).cast("string")
+        columns[f"_k_{k}"] = F.coalesce(plain, _filler(kind))
+        columns[f"_z_{k}"] = F.col(k).isNull()
+    split = [c for k in keys for c in ([f"_z_{k}", f"_k_{k}"] if k in loose else [k])]
+    extra = []
+    if attach is not None:
+        extra = [c for c in attach.columns if c not in keys]
+        attach = attach.withColumns(columns).drop(*loose)
+    steps = [replace(s, keys=split) if hasattr(s, "keys") else s for s in steps]
+    return df.withColumns(columns), attach, steps, split, extra
+
+
 def with_halo(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, span: int) -> DataFrame:
     """Copy rows near a block edge into the neighbouring block.
 

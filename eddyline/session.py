@@ -8,6 +8,8 @@ column pruning and filter pushdown for its readers.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -40,14 +42,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder. A local session without one gets a temporary
+    folder that goes with the process; any other session must name a shared one."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="eddyline-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return _local_folder(spark.sparkContext.master, spark.sparkContext.applicationId)
+
+
+def _local_folder(master: str, application: str) -> str:
+    if not master.split("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors of {master} share")
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="eddyline-")
+        atexit.register(shutil.rmtree, _LOCAL[application], ignore_errors=True)
+    return _LOCAL[application]
 
 
 @contextmanager
@@ -66,10 +79,26 @@ def reuse_layout(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove the tables this application has staged; returns how many there were.
+
+    Frames read from them are of no use afterwards: call it at the end of a session.
+    """
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and return a reader over the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
-from eddyline.operators.scan import Lag, Sum, scan
+from eddyline.operators.joins import number_by_clock
+from eddyline.operators.scan import Lag, scan
 
 END_OF_PLAY = 2880
 
@@ -25,13 +26,7 @@ def stints(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
 
 def number_stints(rows: DataFrame, s: Spine = SPINE) -> DataFrame:
     """``stint_id``: 1, 2, … per (entity, person) by start."""
-    return scan(
-        rows,
-        [s.entity, s.person],
-        ["in_game_seconds", s.order],
-        s.clock_block("in_game_seconds"),
-        [Sum("stint_id", F.lit(1).cast("long"))],
-    )
+    return number_by_clock(rows, [s.entity, s.person], "in_game_seconds", s.order, "stint_id", s)
 
 
 def rotations(base: DataFrame, s: Spine = SPINE) -> DataFrame:
