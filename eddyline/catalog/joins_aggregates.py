@@ -177,14 +177,10 @@ def _(t):
 @register("join_forward_sum", "SELECT t.gameId, t.orderNumber, CAST(coalesce(sum(e.points_scored) FILTER (WHERE e.teamId = t.run_team), 0) AS BIGINT) AS mine, CAST(coalesce(sum(e.points_scored) FILTER (WHERE e.teamId <> t.run_team), 0) AS BIGINT) AS theirs FROM trg t LEFT JOIN spine e ON e.gameId = t.gameId AND e.game_seconds_elapsed > t.g AND e.game_seconds_elapsed <= t.g + 180 GROUP BY ALL", TRIG)
 def _(t):
     rows = t.enriched.where("points_scored > 0")
-    triggers = questions.run_triggers(t.spine).join(state.home_team(t.spine), "gameId", "left")
+    triggers = questions.run_triggers(t.spine).withColumnRenamed("teamId", "run_team")
     out = questions.next_points(triggers, rows, 180)
-    home = F.col("teamId") == F.col("home_teamId")
-    return out.select(
-        *key,
-        F.when(home, F.col("next_home")).otherwise(F.col("next_away")).alias("mine"),
-        F.when(home, F.col("next_away")).otherwise(F.col("next_home")).alias("theirs"),
-    )
+    zero = F.lit(0).cast("long")
+    return out.select(*key, F.coalesce("next_run", zero).alias("mine"), F.coalesce("next_other", zero).alias("theirs"))
 
 
 @register("lookup_boxscore", f"SELECT {KEY}, b.points, b.fieldGoalsMade FROM spine s LEFT JOIN box b USING (gameId, personId)")
@@ -403,9 +399,14 @@ def _(t):
     return rounded(A.heatmap_2d(t.raw("lineitem"), x, y, "l_extendedprice", 20), ["mean_value"])
 
 
-@register("describe")
+DESCRIBED = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@register("describe", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, {R(f'avg({c})', 'mean')}, {R(f'stddev_samp({c})', 'std')}, {R(f'min({c})', 'min')},
+{R(f'quantile_cont({c}::DOUBLE, 0.25)', 'q25')}, {R(f'quantile_cont({c}::DOUBLE, 0.5)', 'q50')}, {R(f'quantile_cont({c}::DOUBLE, 0.75)', 'q75')}, {R(f'max({c})', 'max')} FROM lineitem""" for c in DESCRIBED))
 def _(t):
-    return A.describe(t.raw("lineitem").select("l_quantity", "l_extendedprice", "l_discount"))
+    out = A.describe(t.raw("lineitem").select(*DESCRIBED))
+    return rounded(out, ["mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
 @register("distinct_count", "SELECT count(DISTINCT gameId) AS \"n_gameId\", count(DISTINCT personId) AS \"n_personId\" FROM raw")

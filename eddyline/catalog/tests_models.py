@@ -114,7 +114,7 @@ def _(t):
     return rounded(_sweep(t), GLRT_COLS)
 
 
-@register("glrt_null_check", "SELECT least(floor(g), 20)::BIGINT AS bin, count(*) AS n_tests, count(*) FILTER (WHERE g > 3.841458820694124) AS n_reject FROM (SELECT count(*) * ln(1 + avg(x) * avg(x) / var_pop(x)) AS g FROM gsw WHERE x IS NOT NULL GROUP BY metric, slice, level HAVING count(*) >= 10) q GROUP BY 1", SWEEP)
+@register("glrt_null_check", "SELECT floor(g)::BIGINT AS bin, count(*) AS n_tests, count(*) FILTER (WHERE g > 3.841458820694124) AS n_reject FROM (SELECT count(*) * ln(1 + avg(x) * avg(x) / var_pop(x)) AS g FROM gsw WHERE x IS NOT NULL GROUP BY metric, slice, level HAVING count(*) >= 10) q GROUP BY 1", SWEEP)
 def _(t):
     return stats.glrt_null_check(_sweep(t))
 
@@ -289,7 +289,7 @@ def _(t):
     return rows.groupBy("sample").agg(F.count("*").alias("n"), r6(F.avg("value"), "mean"))
 
 
-@register("subsample_n")
+@register("subsample_n", "SELECT gameId, orderNumber FROM raw ORDER BY md5('7:' || orderNumber::VARCHAR), orderNumber LIMIT 1000")
 def _(t):
     return stats.subsample_n(t.spine.select(*key), 1000, "orderNumber")
 
@@ -312,7 +312,7 @@ def _model(t):
     """Snapshots are read three times (fit, score, look up), so they are staged."""
     snaps = stage(winprob.snapshots(t.enriched, t.spine), "snapshots")
     train_rows, test_rows = winprob.holdout_split(snaps)
-    model = winprob.train(train_rows, max_iter=200)
+    model = winprob.train(train_rows)
     return snaps, train_rows, test_rows, model
 
 
@@ -321,7 +321,10 @@ def _scored(t):
     return winprob.predict(model, winprob.as_features(snaps).dropna(subset=winprob.FEATURES))
 
 
-@register("group_holdout_split")
+@register("group_holdout_split", """SELECT CASE WHEN ('0x' || substr(md5('7:' || p.gameId::VARCHAR), 1, 6))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part, count(*) AS n, count(DISTINCT p.gameId) AS games
+FROM possn p JOIN home ON home.gameId = p.gameId JOIN fin f ON f.gameId = p.gameId
+WHERE p.possession IS NOT NULL AND home_teamId IS NOT NULL AND f.home_won IS NOT NULL AND score_margin IS NOT NULL AND p.period IS NOT NULL AND seconds_remaining IS NOT NULL AND is_clutch IS NOT NULL AND streak IS NOT NULL AND p.IsPlayoff IS NOT NULL
+GROUP BY 1""")
 def _(t):
     _, train_rows, test_rows, _ = _model(t)
     both = train_rows.withColumn("part", F.lit("train")).unionByName(test_rows.withColumn("part", F.lit("test")))

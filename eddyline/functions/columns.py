@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 REGULAR_PERIOD, EXTRA_PERIOD = 720, 300
 
@@ -156,7 +156,8 @@ def older_feed_columns(df: DataFrame) -> DataFrame:
         {"seconds_remaining": iso_clock_seconds(F.col("clock"))},
         {"seconds_elapsed": elapsed_in_period(F.col("seconds_remaining"), period)},
         {"game_seconds_elapsed": game_elapsed(period, F.col("seconds_elapsed"))},
-        {"pc_seconds": F.bround("seconds_remaining", 0).cast("long"), "IsPlayoff": F.col("gameId") % 5 == 0},
+        {"pc_seconds": F.bround("seconds_remaining", 0).cast("long"), },
+        {"IsPlayoff": F.col("season_type").isin("po", "playoffs")} if "season_type" in df.columns else {},
     ):
         df = derive_missing(df, step)
     return df
@@ -179,5 +180,3 @@ def ascii_fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]

@@ -14,6 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TINY = 1e-300
+# Beyond this size of a parameter the expansions below would need very many steps; the
+# normal forms that replace them err by less than 1e-6 there.
+LARGE = 1e4
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
@@ -43,7 +46,7 @@ def beta_inc(a, b, x):
                 h = h * step
             if np.nanmax(np.abs(step - 1), initial=0.0) < 1e-14:
                 break
-        value = np.where(z <= 0, 0.0, front * h)
+        value = np.where(z <= 0, 0.0, np.where((np.abs(step - 1) < 1e-9) | (z >= 1), front * h, np.nan))
     return np.where(flip, 1 - value, value)
 
 
@@ -59,7 +62,7 @@ def gamma_upper(a, x):
             total = total + term
             if np.nanmax(np.abs(term) / np.abs(total), initial=0.0) < 1e-15:
                 break
-        low = 1 - front * total
+        low = np.where(np.abs(term) < 1e-9 * np.abs(total), 1 - front * total, np.nan)
         b = x + 1 - a
         c = np.full_like(x, 1 / _TINY)
         d = 1 / np.where(np.abs(b) < _TINY, _TINY, b)
@@ -75,7 +78,7 @@ def gamma_upper(a, x):
             h = h * step
             if np.nanmax(np.abs(step - 1), initial=0.0) < 1e-15:
                 break
-        high = front * h
+        high = np.where(np.abs(step - 1) < 1e-9, front * h, np.nan)
     out = np.where(x < a + 1, low, high)
     return np.where(x <= 0, 1.0, np.where(np.isinf(x), 0.0, out))
 
@@ -84,12 +87,22 @@ def t_two_sided(t, df):
     t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
     with np.errstate(all="ignore"):
         x = np.where(np.isinf(t), 0.0, df / (df + t * t))
-    return np.where(np.isnan(t) | np.isnan(df), np.nan, beta_inc(df / 2, 0.5, np.where(np.isnan(x), 1.0, x)))
+        small = np.minimum(df, LARGE)
+        exact = beta_inc(small / 2, 0.5, np.where(np.isnan(x), 1.0, x))
+        # normal tail of the transformed statistic (Wallace): sqrt(df log(1 + t^2 / df)) (8 df + 1) / (8 df + 3)
+        z = np.sqrt(df * np.log1p(t * t / df)) * (8 * df + 1) / (8 * df + 3)
+        far = _erfc(np.nan_to_num(z, nan=0.0, posinf=1e300) / math.sqrt(2))
+    return np.where(np.isnan(t) | np.isnan(df), np.nan, np.where(df > LARGE, far, exact))
 
 
 def chi2_sf(x, df):
-    x = np.asarray(x, dtype=float)
-    return np.where(np.isnan(x), np.nan, gamma_upper(np.asarray(df, dtype=float) / 2, np.where(np.isnan(x), 0.0, x) / 2))
+    x, df = np.broadcast_arrays(np.asarray(x, dtype=float), np.asarray(df, dtype=float))
+    with np.errstate(all="ignore"):
+        exact = gamma_upper(np.minimum(df, LARGE) / 2, np.where(np.isnan(x), 0.0, x) / 2)
+        # normal tail of the cube root (Wilson and Hilferty)
+        z = (np.cbrt(np.maximum(x, 0) / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+        far = 0.5 * _erfc(np.nan_to_num(z, nan=0.0, posinf=1e300) / math.sqrt(2))
+    return np.where(np.isnan(x), np.nan, np.where(df > LARGE, far, exact))
 
 
 def norm_sf(z):
@@ -97,8 +110,13 @@ def norm_sf(z):
 
 
 def _bisect(sf, target, lo, hi):
-    """Solve sf(x) = target for a decreasing sf."""
+    """Solve sf(x) = target for a decreasing sf; the upper end grows until it is beyond."""
     lo, hi = np.full_like(target, lo), np.full_like(target, hi)
+    for _ in range(1000):
+        short = (sf(hi) > target) & np.isfinite(hi)
+        if not short.any():
+            break
+        hi = np.where(short, hi * 2, hi)
     for _ in range(200):
         mid = (lo + hi) / 2
         above = sf(mid) > target
@@ -109,12 +127,12 @@ def _bisect(sf, target, lo, hi):
 def t_quantile(p, df):
     """Upper quantile: t with P(T <= t) = p, for p >= 0.5."""
     p, df = np.broadcast_arrays(np.asarray(p, dtype=float), np.asarray(df, dtype=float))
-    return _bisect(lambda x: t_two_sided(x, df) / 2, 1 - p, 0.0, 1e6)
+    return _bisect(lambda x: t_two_sided(x, df) / 2, 1 - p, 0.0, 64.0)
 
 
 def chi2_quantile(p, df):
     p, df = np.broadcast_arrays(np.asarray(p, dtype=float), np.asarray(df, dtype=float))
-    return _bisect(lambda x: chi2_sf(x, df), 1 - p, 0.0, 1e6)
+    return _bisect(lambda x: chi2_sf(x, df), 1 - p, 0.0, 64.0)
 
 
 def norm_quantile(p):

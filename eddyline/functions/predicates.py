@@ -90,7 +90,7 @@ def classifier_prep(df: DataFrame, seasons: tuple[int, int] | None, action: str)
     )
 
 
-PERIODS = {"regulation": (1, 4), "OT": (5, 10), "Q1": (1, 1), "Q2": (2, 2), "Q3": (3, 3), "Q4": (4, 4)}
+PERIODS = {"regulation": (1, 4), "OT": (5, None), "Q1": (1, 1), "Q2": (2, 2), "Q3": (3, 3), "Q4": (4, 4)}
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,8 @@ class SampleSpec:
         elif self.prev_event:
             parts.append(F.col("prev_action_type") == self.prev_event)
         if self.period:
-            parts.append(F.col("period").between(*PERIODS[self.period]))
+            first, last = PERIODS[self.period]
+            parts.append(F.col("period") >= first if last is None else F.col("period").between(first, last))
         if self.clutch is not None:
             parts.append(F.col("is_clutch") == self.clutch)
         if self.shot_type:

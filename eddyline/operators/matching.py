@@ -32,7 +32,6 @@ class TwinRule:
     margin_band: int = 3
     streak_weight: int = 2
     margin_weight: int = 3
-    periods: int = 10
 
 
 STANDARD = TwinRule()
@@ -67,8 +66,8 @@ def matched_twins(
         keys.append("_cp")
         lookup = lookup.withColumnRenamed(s.period, "_cp")
         if rule.other_period:
-            every = F.sequence(F.lit(1).cast("long"), F.lit(rule.periods).cast("long"))
-            asked = asked.withColumn("_cp", F.explode(F.array_remove(every, F.col(s.period))))
+            # the periods that have controls of this state
+            asked = asked.join(lookup.select(*keys).distinct(), keys[:-1]).where(F.col("_cp") != F.col(s.period))
         else:
             asked = asked.withColumn("_cp", F.col(s.period))
     # states with no control at this (streak, margin) cannot match: drop them early

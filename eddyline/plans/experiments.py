@@ -161,7 +161,7 @@ PHASES = [
 GAPS = [("much worse", None, -5), ("worse", -5, -1), ("even", -1, 1), ("better", 1, 5), ("much better", 5, None)]
 STRENGTH = [("weak", None, -2), ("average", -2, 2), ("strong", 2, None)]
 SUBS = [("0 subs", 0, 1), ("1-2 subs", 1, 3), ("3+ subs", 3, None)]
-RATES = [("< 1.00", 0.0, 1.0), ("1.00-1.15", 1.0, 1.15), ("1.15-1.30", 1.15, 1.30), (">= 1.30", 1.30, 99.0)]
+RATES = [("< 1.00", 0.0, 1.0), ("1.00-1.15", 1.0, 1.15), ("1.15-1.30", 1.15, 1.30), (">= 1.30", 1.30, None)]
 
 
 def slice_table(rows: DataFrame, label: Column, value: str = "recovery") -> DataFrame:

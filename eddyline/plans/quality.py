@@ -17,10 +17,11 @@ class CheckError(ValueError):
 
 
 def check_required_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """One row per required column with whether it is present."""
+    """One row per required column: whether it is present, and how many rows have it filled."""
     have = set(df.columns)
-    rows = [(c, c in have) for c in required]
-    return df.sparkSession.createDataFrame(rows, "column string, present boolean")
+    counted = df.agg(*[(F.count(c) if c in have else F.lit(0).cast("long")).alias(f"c{i}") for i, c in enumerate(required)], F.count("*").alias("rows"))
+    pairs = [F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), F.col(f"c{i}").alias("n_filled"), F.col("rows").alias("n_rows")) for i, c in enumerate(required)]
+    return counted.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
 
 
 def count_failures(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -127,9 +128,11 @@ def check_report(checks: Mapping[str, tuple[DataFrame, str]], raise_errors: bool
     ]
     report = reduce(DataFrame.unionByName, parts)
     if raise_errors:
-        failed = report.where("severity = 'error' and n_bad > 0").limit(20).collect()
-        if failed:
-            raise CheckError("; ".join(f"{r['group']}/{r['check']}: {r['n_bad']} rows" for r in failed))
+        failed = report.where("severity = 'error' and n_bad > 0")
+        total = failed.count()
+        if total:
+            shown = "; ".join(f"{r['group']}/{r['check']}: {r['n_bad']} rows" for r in failed.limit(20).collect())
+            raise CheckError(f"{total} checks failed, see the report for all: {shown}")
     return report
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,16 +115,17 @@ def opponents(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
 
 
 def next_points(queries: DataFrame, scoring: DataFrame, horizon: int, s: Spine = SPINE) -> DataFrame:
-    """``next_home``, ``next_away`` and ``next_n`` over (clock, clock + horizon]."""
-    at_home = F.col(s.team) == F.col("home_teamId")
-    rows = scoring.select(
-        s.entity,
-        s.clock,
-        F.when(at_home, F.col(s.points)).otherwise(0).alias("home"),
-        F.when(~at_home, F.col(s.points)).otherwise(0).alias("away"),
-        F.lit(1).cast("long").alias("n"),
-    )
-    return joins.forward_sum(queries, rows, [s.entity], s.clock, ["home", "away", "n"], horizon, s.clock_span)
+    """``next_run``, ``next_other`` and ``next_n`` over (clock, clock + horizon]: points of
+    the query row's ``run_team``, of all other teams, and the number of scoring rows.
+
+    Teams are compared directly, so an entity without a home team counts like any other.
+    """
+    rows = scoring.select(s.entity, s.clock, F.col(s.points).alias("all"), F.lit(1).cast("long").alias("n"))
+    out = joins.forward_sum(queries, rows, [s.entity], s.clock, ["all", "n"], horizon, s.clock_span)
+    own = scoring.where(F.col(s.team).isNotNull()).select(s.entity, F.col(s.team).alias("run_team"), s.clock, F.col(s.points).alias("run"))
+    out = joins.forward_sum(out, own, [s.entity, "run_team"], s.clock, ["run"], horizon, s.clock_span)
+    out = out.withColumn("next_run", F.coalesce("next_run", F.when(F.col("next_all").isNotNull(), F.lit(0).cast("long"))))
+    return out.withColumn("next_other", F.col("next_all") - F.col("next_run")).drop("next_all")
 
 
 def run_timeout_situations(
@@ -156,9 +159,7 @@ def run_timeout_situations(
     )
     runs = stage(runs.withColumn("situation", situation), "situations")
     runs = next_points(runs, scoring, horizon, s).where("next_n > 0")
-    home = F.col("run_team") == F.col("home_teamId")
-    mine = F.when(home, F.col("next_home")).otherwise(F.col("next_away"))
-    theirs = F.when(home, F.col("next_away")).otherwise(F.col("next_home"))
+    mine, theirs = F.col("next_run"), F.col("next_other")
     return runs.groupBy("situation").agg(
         F.count("*").alias("num_runs"),
         F.avg("run_points").alias("avg_run_size"),
@@ -201,10 +202,8 @@ def run_trigger_categories(enriched: DataFrame, size: int = 6, within: int = 60,
     start = F.coalesce(f"to_{s.clock}", s.clock)
     rows = stage(found.withColumn("category", category).withColumn(s.clock, start), "categories")
     rows = next_points(rows, scoring, horizon, s)
-    home = F.col("run_team") == F.col("home_teamId")
     zero = F.lit(0).cast("long")
-    mine = F.coalesce(F.when(home, F.col("next_home")).otherwise(F.col("next_away")), zero)
-    theirs = F.coalesce(F.when(home, F.col("next_away")).otherwise(F.col("next_home")), zero)
+    mine, theirs = F.coalesce("next_run", zero), F.coalesce("next_other", zero)
     return rows.groupBy("category").agg(
         F.count("*").alias("n_runs"),
         F.avg(mine).alias("avg_run_team_pts"),
@@ -313,23 +312,24 @@ def after_timeout_share(rows: DataFrame, s: Spine = SPINE) -> DataFrame:
 
 # Words of a question that never name a player.
 STOP_WORDS = (
-    "show me the for this year season from what give how many all per game stats averages compare plot chart list top "
-    "best worst most least with and points rebounds assists steals blocks turnovers shooting percentage"
-).split()
+    "show", "me", "the", "for", "this", "year", "season", "from", "what", "give", "how", "many", "all", "per", "game", "stats",
+    "averages", "compare", "plot", "chart", "list", "top", "best", "worst", "most", "least", "with", "and", "points", "rebounds",
+    "assists", "steals", "blocks", "turnovers", "shooting", "percentage",
+)
 
 
-def search_terms(question: str) -> list[str]:
+def search_terms(question: str, stop_words: Sequence[str] = STOP_WORDS) -> list[str]:
     """Words of at least three letters or digits that are not stop words."""
     words = [w.strip("'\".,!?()").lower() for w in question.split()]
-    return [w for w in words if len(w) >= 3 and w.isascii() and w.isalnum() and not w.isdigit() and w not in STOP_WORDS]
+    return [w for w in words if len(w) >= 3 and w.isascii() and w.isalnum() and not w.isdigit() and w not in stop_words]
 
 
-def name_search(df: DataFrame, key: str, name: Column, question: str, per_term: int = 5) -> DataFrame:
+def name_search(df: DataFrame, key: str, name: Column, question: str, per_term: int = 5, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Up to ``per_term`` rows per term whose folded name contains it, smallest key first.
 
     The ranking is cut inside each input partition before it is shuffled.
     """
-    terms = search_terms(question)
+    terms = search_terms(question, stop_words)
     if not terms:
         return df.select(F.lit("").alias("term"), F.col(key), name.alias("name")).where("false")
     folded = F.lower(name)

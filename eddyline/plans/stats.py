@@ -273,9 +273,12 @@ def sprt(
     """Sequential ratio test on sample a in order: first crossing of either bound."""
     log_a, log_b = math.log((1 - beta) / (alpha + EPS)), math.log((beta + EPS) / (1 - alpha))
     m = two_sample(df, by, value, sample).select(*by, "mean_a", "mean_b", "pvar_a", "binary")
-    rows = df.where((F.col(sample) == "a") & F.col(value).isNotNull()).select(*by, order, value)
+    within = [s.entity] if s.entity in df.columns and s.entity not in (*by, order) else []
+    rows = df.where((F.col(sample) == "a") & F.col(value).isNotNull()).select(*by, *within, order, value)
+    # a block is a stretch of the order, inside it (order, entity) is total: the order need
+    # not be unique across entities
     steps = [Sum("_x", F.col(value)), Sum("_i", F.lit(1).cast("long"))]
-    rows = scan(rows, list(by), [order], s.order_block(order), steps, attach=m)
+    rows = scan(rows, list(by), [order, *within], s.order_block(order), steps, attach=m)
     # the ratio of one observation is linear in it, so running sums of x are enough
     at = [llr_terms(F.col("binary"), F.lit(x), F.col("mean_b"), F.col("mean_a"), _sigma2()) for x in (0.0, 1.0)]
     rows = rows.withColumn("cum_lr", at[0] * F.col("_i") + (at[1] - at[0]) * F.col("_x"))
@@ -393,8 +396,9 @@ def bootstrap_ci(
 
 
 def subsample_n(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
-    """A reproducible sample of n rows: the smallest key hashes."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """A reproducible sample of n rows: the smallest digests of (seed, key)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(digest, key).limit(n)
 
 
 def glrt_sweep(events: DataFrame, metrics: Sequence[str], slices: Sequence[str], min_n: int = 30) -> DataFrame:
@@ -408,9 +412,9 @@ def glrt_sweep(events: DataFrame, metrics: Sequence[str], slices: Sequence[str],
 
 
 def glrt_null_check(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Histogram of G over all tests and the share that rejects."""
+    """Histogram of G over all tests, in steps of one, and the number that rejects."""
     crit = D.critical_chi2(alpha)
-    bins = F.least(F.floor("glrt_stat"), F.lit(20)).cast("long")
+    bins = F.floor("glrt_stat").cast("long")
     return stats.groupBy(bins.alias("bin")).agg(
         F.count("*").alias("n_tests"), F.count_if(F.col("glrt_stat") > crit).alias("n_reject")
     )

@@ -50,14 +50,20 @@ def as_features(snaps: DataFrame) -> DataFrame:
 
 
 def holdout_split(snaps: DataFrame, share: float = 0.2, max_rows: int | None = None, seed: int = 7, s: Spine = SPINE):
-    """Whole entities go to train or test by a hash of their id."""
+    """Whole entities go to train or test by a digest of their id.
+
+    ``max_rows`` bounds the training part (a random share of its rows); the test part
+    is whole in any case.
+    """
     rows = as_features(snaps).dropna(subset=[*FEATURES, "label"])
-    if max_rows is not None:
-        keep = min(1.0, max_rows / max(rows.count(), 1))
-        rows = rows.where(F.pmod(F.xxhash64(s.entity, "possession_id", F.lit(seed)), F.lit(1_000_000)) < keep * 1_000_000)
-    bucket = F.pmod(F.xxhash64(F.col(s.entity), F.lit(seed)), F.lit(100))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(s.entity).cast("string")).cast("binary"))
+    bucket = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 100
     cut = round((1 - share) * 100)
-    return rows.where(bucket < cut), rows.where(bucket >= cut)
+    train_rows, test_rows = rows.where(bucket < cut), rows.where(bucket >= cut)
+    if max_rows is not None:
+        keep = min(1.0, max_rows / max(train_rows.count(), 1))
+        train_rows = train_rows.where(F.pmod(F.xxhash64(s.entity, "possession_id", F.lit(seed)), F.lit(1_000_000)) < keep * 1_000_000)
+    return train_rows, test_rows
 
 
 def train(train_rows: DataFrame, c: float = 1.0, max_iter: int = 2000) -> PipelineModel:
