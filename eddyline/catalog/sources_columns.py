@@ -68,10 +68,8 @@ def _(t):
     f"SELECT o_orderkey, {R('o_totalprice', 'o_totalprice')} FROM ({SEASON_SQL}) x WHERE season = 1997 AND season_type = 'rg'",
 )
 def _(t):
-    from pyspark.sql.types import _parse_datatype_string
-
     df = readers.scan_csv_season(
-        t.spark, _season_root(t), _parse_datatype_string(SEASON_SCHEMA), 1997, "rg", ["o_orderkey", "o_totalprice"]
+        t.spark, _season_root(t), SEASON_SCHEMA, 1997, "rg", ["o_orderkey", "o_totalprice"]
     )
     return rounded(df, ["o_totalprice"])
 

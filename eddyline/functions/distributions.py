@@ -60,7 +60,7 @@ def gamma_upper(a, x):
         for n in range(1, 1000):
             term = term * x / (a + n)
             total = total + term
-            if np.nanmax(np.abs(term) / np.abs(total), initial=0.0) < 1e-15:
+            if np.max(np.nan_to_num(np.abs(term) / np.abs(total)), initial=0.0) < 1e-15:
                 break
         low = np.where(np.abs(term) < 1e-9 * np.abs(total), 1 - front * total, np.nan)
         b = x + 1 - a

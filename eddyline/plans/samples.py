@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
 from eddyline.functions.predicates import SampleSpec
-from eddyline.operators.joins import first_in_group
 
 
 @dataclass(frozen=True)
@@ -58,14 +57,24 @@ PRESETS = {
 
 def sample_metric(rows: DataFrame, metric: str, spec: SampleSpec, label: str, s: Spine = SPINE) -> DataFrame:
     """(entity, order, season, season_type, value, sample) of one sample."""
+    rows = _values(rows, metric, spec.condition(), s).where("_met")
+    return rows.select(s.entity, s.order, s.season, s.season_type, "value", F.lit(label).alias("sample"))
+
+
+def _values(rows: DataFrame, metric: str, condition: Column, s: Spine) -> DataFrame:
+    """The metric and whether ``condition`` holds, one row per event or possession. Only
+    the columns these need are read; season and type are constant in an entity."""
     m = METRICS[metric]
     if m.shots_only:
         rows = rows.where(F.col("isFieldGoal") == 1)
-    if m.per_possession:
-        rows = rows.where(F.col("possession_id").isNotNull())
-        rows = first_in_group(rows, [s.entity, "possession_id"], [s.order])
-    rows = rows.where(spec.condition())
-    return rows.select(s.entity, s.order, s.season, s.season_type, m.column().alias("value"), F.lit(label).alias("sample"))
+    met = F.coalesce(condition, F.lit(False)).alias("_met")
+    if not m.per_possession:
+        return rows.select(s.entity, s.order, s.season, s.season_type, m.column().alias("value"), met)
+    slim = rows.where(F.col("possession_id").isNotNull()).select(s.entity, "possession_id", s.order, s.season, s.season_type, m.column().alias("value"), met)
+    first = slim.groupBy(s.entity, "possession_id", s.season, s.season_type).agg(
+        F.min_by("value", s.order).alias("value"), F.min_by("_met", s.order).alias("_met"), F.min(s.order).alias(s.order)
+    )
+    return first.drop("possession_id")
 
 
 def preset_samples(rows: DataFrame, name: str, s: Spine = SPINE) -> DataFrame:
@@ -76,10 +85,5 @@ def preset_samples(rows: DataFrame, name: str, s: Spine = SPINE) -> DataFrame:
 
 def split_by(rows: DataFrame, metric: str, condition: Column, s: Spine = SPINE) -> DataFrame:
     """Rows of a metric labelled a where the condition holds and b elsewhere."""
-    m = METRICS[metric]
-    if m.shots_only:
-        rows = rows.where(F.col("isFieldGoal") == 1)
-    if m.per_possession:
-        rows = first_in_group(rows.where(F.col("possession_id").isNotNull()), [s.entity, "possession_id"], [s.order])
-    label = F.when(condition, F.lit("a")).otherwise(F.lit("b"))
-    return rows.select(s.entity, s.order, s.season, s.season_type, m.column().alias("value"), label.alias("sample"))
+    label = F.when(F.col("_met"), F.lit("a")).otherwise(F.lit("b")).alias("sample")
+    return _values(rows, metric, condition, s).select(s.entity, s.order, s.season, s.season_type, "value", label)

@@ -19,7 +19,7 @@ def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def scan_csv_season(
-    spark: SparkSession, root: str, schema: StructType, season: int, season_type: str, columns: Sequence[str] | None = None
+    spark: SparkSession, root: str, schema: StructType | str, season: int, season_type: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """One season of a ``season=/season_type=`` CSV layout; other folders are not read."""
     df = spark.read.schema(schema).option("header", True).csv(root)

@@ -33,6 +33,12 @@ class Tables:
             _OPEN[key] = cls(spark, folder)
         return _OPEN[key]
 
+    @classmethod
+    def refresh(cls, spark: SparkSession, folder: str) -> "Tables":
+        """Open the folder anew: what was staged from it before is not used again."""
+        _OPEN.pop((spark.sparkContext.applicationId, folder.rstrip("/")), None)
+        return cls.open(spark, folder)
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
