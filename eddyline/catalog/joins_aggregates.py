@@ -423,11 +423,11 @@ def _(t):
 # --- windows ------------------------------------------------------------------------
 
 
-@register("lag_lead_k", "SELECT gameId, possession_id, " + ", ".join(f"pl{i} AS pts_lag{i}, tl{i} AS tm_lag{i}, pf{i} AS pts_lead{i}, tf{i} AS tm_lead{i}" for i in (1, 3, 6)) + " FROM lags WHERE pl6 IS NOT NULL AND pf6 IS NOT NULL")
+@register("lag_lead_k", "SELECT gameId, possession_id, " + ", ".join(f"pl{i} AS pts_lag{i}, tl{i} AS tm_lag{i}, pf{i} AS pts_lead{i}, tf{i} AS tm_lead{i}" for i in range(1, 7)) + " FROM lags")
 def _(t):
     rows = windows.lag_lead(t.possessions.select("gameId", "possession_id", "possession_points", "possession"), 6)
-    cols = [f"{p}{i}" for i in (1, 3, 6) for p in ("pts_lag", "tm_lag", "pts_lead", "tm_lead")]
-    return rows.dropna(subset=["pts_lag6", "pts_lead6"]).select("gameId", "possession_id", *cols)
+    cols = [f"{p}{i}" for i in range(1, 7) for p in ("pts_lag", "tm_lag", "pts_lead", "tm_lead")]
+    return rows.select("gameId", "possession_id", *cols)
 
 
 @register("trailing_forward_net", "SELECT gameId, possession_id, trailing_net, forward_net FROM nets")

@@ -70,7 +70,7 @@ def _(t):
 
 _SWEEP = " UNION ALL ".join(
     f"SELECT {b} AS buffer, timeout_cause, count(*) AS n FROM (SELECT {cause_case(str(b))} AS timeout_cause FROM tos) q GROUP BY timeout_cause"
-    for b in classify.BUFFER_SWEEP
+    for b in (30, 60, 120, 180, 240, 300, 600, 1200)
 )
 
 
@@ -232,7 +232,7 @@ def compare_sql(by: str, source: str, value: str = "recovery") -> str:
         return f"{fn}({value}) FILTER (WHERE grp = '{g}')"
 
     cols = []
-    for s, g in experiments.GROUPS.items():
+    for s, g in (("endo", "endogenous"), ("exo", "exogenous"), ("ctrl", "control")):
         cols += [f"{agg(g, 'count')} AS {s}_n", f"{agg(g, 'avg')} AS {s}_m", f"{agg(g, 'var_samp')} AS {s}_v"]
     inner = f"SELECT {by}, {', '.join(cols)} FROM {source} GROUP BY ALL"
     names = ", ".join(b.split(" AS ")[-1].strip() for b in by.split(", "))
@@ -359,12 +359,14 @@ def _slice(name, case, extra_from, build):
         return compared(build(t))
 
 
-def range_case(col, edges):
-    whens = []
-    for label, lo, hi in edges:
-        cond = [f"{col} IS NOT NULL"] + ([f"{col} >= {lo}"] if lo is not None else []) + ([f"{col} < {hi}"] if hi is not None else [])
-        whens.append(f"WHEN {' AND '.join(cond)} THEN '{label}'")
-    return f"CASE {' '.join(whens)} END"
+# The edges are written out here once more, so that a wrong one in the engine shows.
+PHASE_SQL = """CASE WHEN game_seconds_elapsed < 360 THEN 'Q1 early' WHEN game_seconds_elapsed < 720 THEN 'Q1 late' WHEN game_seconds_elapsed < 1080 THEN 'Q2 early'
+WHEN game_seconds_elapsed < 1440 THEN 'Q2 late' WHEN game_seconds_elapsed < 1800 THEN 'Q3 early' WHEN game_seconds_elapsed < 2160 THEN 'Q3 late'
+WHEN game_seconds_elapsed < 2520 THEN 'Q4 early' WHEN game_seconds_elapsed < 2880 THEN 'Q4 late' END"""
+GAP_SQL = "CASE WHEN gap < -5 THEN 'much worse' WHEN gap < -1 THEN 'worse' WHEN gap < 1 THEN 'even' WHEN gap < 5 THEN 'better' WHEN gap >= 5 THEN 'much better' END"
+STRENGTH_SQL = "CASE WHEN s_net < -2 THEN 'weak' WHEN s_net < 2 THEN 'average' WHEN s_net >= 2 THEN 'strong' END"
+SUBS_SQL = "CASE WHEN subs = 0 THEN '0 subs' WHEN subs BETWEEN 1 AND 2 THEN '1-2 subs' WHEN subs >= 3 THEN '3+ subs' END"
+RATE_SQL = "CASE WHEN rate < 0 THEN NULL WHEN rate < 1.0 THEN '< 1.00' WHEN rate < 1.15 THEN '1.00-1.15' WHEN rate < 1.3 THEN '1.15-1.30' WHEN rate >= 1.3 THEN '>= 1.30' END"
 
 
 _SLICE_PARTS = {
@@ -379,12 +381,12 @@ FROM rich r LEFT JOIN net h ON h.teamId = r.home_teamId AND h.season = r.season
 
 _slice("period", "CASE WHEN period <= 4 THEN 'Q' || period END", "rich", lambda t: experiments.by_period(t.rich))
 _slice("season_type", "season_type", "rich", lambda t: experiments.by_season_type(t.rich))
-_slice("phase", range_case("game_seconds_elapsed", experiments.PHASES), "rich", lambda t: experiments.by_phase(t.rich))
+_slice("phase", PHASE_SQL, "rich", lambda t: experiments.by_phase(t.rich))
 _slice("clutch", "CASE WHEN clutch THEN 'clutch' ELSE 'non-clutch' END", "rich", lambda t: experiments.by_clutch(t.rich))
-_slice("quality_gap", range_case("gap", experiments.GAPS), "qual", lambda t: experiments.by_quality_gap(t.rich, t.player_advanced))
-_slice("strength", range_case("s_net", experiments.STRENGTH), "qual", lambda t: experiments.by_strength(t.rich, t.player_advanced))
-_slice("sub_count", range_case("subs", experiments.SUBS), "subc", lambda t: experiments.by_sub_count(t.rich, t.spine))
-_slice("running_ppp", range_case("rate", experiments.RATES), "prate", lambda t: experiments.by_running_ppp(t.rich, t.possessions))
+_slice("quality_gap", GAP_SQL, "qual", lambda t: experiments.by_quality_gap(t.rich, t.player_advanced))
+_slice("strength", STRENGTH_SQL, "qual", lambda t: experiments.by_strength(t.rich, t.player_advanced))
+_slice("sub_count", SUBS_SQL, "subc", lambda t: experiments.by_sub_count(t.rich, t.spine))
+_slice("running_ppp", RATE_SQL, "prate", lambda t: experiments.by_running_ppp(t.rich, t.possessions))
 
 STRATA = {
     "0 subs": "subs = 0", "1-2 subs": "subs BETWEEN 1 AND 2", "3+ subs": "subs >= 3", "gap <= -5": "gap <= -5", "|gap| < 1": "abs(gap) < 1",
