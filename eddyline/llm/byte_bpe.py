@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from eddyline.llm.common import by_bytes, id_type, table, two_columns
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
 CUT_CHARS = 1 << 20
 _SAFE_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
@@ -114,13 +115,22 @@ class ByteBpe:
         return ends, seen[starts] - 1, seen[ends - 1]
 
 
+    @contextmanager
+    def task(self):
+        """Memory for the pieces of one task; an idle worker keeps the model alone."""
+        try:
+            yield self
+        finally:
+            self._clear()
+
+
 @lru_cache(maxsize=2)
 def load(model: str, pattern: str) -> ByteBpe:
     return ByteBpe(model, pattern)
 
 
-def _encoded(batch: pa.RecordBatch, bpe: ByteBpe) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
-    for part in by_bytes(batch, "text", 2 << 20):
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    for part in (p for batch in batches for p in by_bytes(batch, "text", 2 << 20)):
         texts = part.column("text").to_pylist()
         if max(map(len, texts)) > CUT_CHARS:
             yield part, texts, [bpe.encode_text(t) for t in texts]
@@ -132,9 +142,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """One row per text: (doc_id, ids, byte_end, char_start, char_end), arrays by token."""
 
     def run(batches):
-        bpe = load(model, pattern)
-        for batch in batches:
-            for part, texts, ids in _encoded(batch, bpe):
+        with load(model, pattern).task() as bpe:
+            for part, texts, ids in _encoded(batches, bpe):
                 spans = [bpe.offsets(t.encode(), i) for t, i in zip(texts, ids)]
                 columns = [part.column("doc_id"), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
                 columns += [pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in range(3)]
@@ -164,9 +173,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     (doc_id, n_tokens, n_bytes, ids_sha256, decoded_sha256)."""
 
     def run(batches):
-        bpe = load(model, pattern)
-        for batch in batches:
-            for part, texts, ids in _encoded(batch, bpe):
+        with load(model, pattern).task() as bpe:
+            for part, texts, ids in _encoded(batches, bpe):
                 decoded = [bpe.decode(i.tolist()) for i in ids]
                 columns = [
                     part.column("doc_id"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import by_bytes, held_out, id_type, table
+from eddyline.llm.common import bound_batches, by_bytes, held_out, id_type, table
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -175,11 +175,12 @@ def predict(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
     def run(batches):
         tables = net.pairs() if net else None
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", 4 << 20):
                 texts = part.column("text").to_pylist()
                 langs, scores = judge(texts, net, tables) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    bound_batches(df.sparkSession)
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {id_type(df, id_col)}, lang_pred string, score double")
 
@@ -190,11 +191,12 @@ def keep_known(df: DataFrame, net: Net | None, text_col: str = "text", min_score
     def run(batches):
         tables = net.pairs() if net else None
         for batch in batches:
-            for part in by_bytes(batch, text_col):
+            for part in by_bytes(batch, text_col, 4 << 20):
                 if net:
                     langs, scores = judge(part.column(text_col).to_pylist(), net, tables)
                     yield part.filter(pa.array([l != UNKNOWN and s >= min_score for l, s in zip(langs, scores)], pa.bool_()))
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import by_bytes, id_type, table, two_columns
+from eddyline.llm.common import bound_batches, by_bytes, id_type, table, two_columns
 from eddyline.session import stage
 
 ERROR_RATE = 0.06
@@ -213,6 +213,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
 
         return run
 
+    bound_batches(df.sparkSession)
     schema, first = df.schema, True
     for items in blocks(benchmark, item_id, item_text, block):
         df = df if first else stage(df, "decontaminated")

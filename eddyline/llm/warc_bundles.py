@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import by_bytes, table
+from eddyline.llm.common import bound_batches, by_bytes, table
 from eddyline.session import shared_dir, stage
 
 FRAME_BYTES = 1 << 20
@@ -157,6 +157,7 @@ def uri_of(folder: str) -> str:
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write all pages; returns the index, one row per record (columns of ``INDEX``)."""
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = uri_of(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
