@@ -11,12 +11,17 @@ is the global n-gram order, and ranges of it are the fragments.
    fragment of nothing else. m depends on the size, so sets are compared within size
    classes and with the next one. A set with so many empty fragments that the equal ones
    could all be empty also sends its single shingles; then both sets of such a pair do.
+   A set of k fragments that are not empty shares at least k - d of them with a similar
+   one, so sets that share fewer with all others together have no partner and leave; of
+   the others those leave that share less than t of their shingles with all others.
 3. Counting. Candidate pairs are counted fragment by fragment (a few coarse fragments of
    the same order), the partial overlaps are summed per pair, and the sum decides.
-4. Candidate lists are first read as stars around their smallest member. What the stars
-   link is one component and needs no more pairs. Then every pair of a list whose members
-   are still in different components is counted as well. No pair in two components at the
-   end is left uncounted, so components are exact without the pairs of a large group.
+4. Candidate lists are first read as stars around the member with the smallest share of
+   shingles of its own, which of edited copies is the one nearest to all. What the stars
+   link is one component and needs no more pairs. Then every pair of members of a list that
+   are still in different components is a candidate as well, if it shares enough fragments
+   (k - d of either set) and if what either set shares with any other allows t. No similar pair is in two components at the end, so components
+   are exact without the pairs of a large group.
 
 Fragments of a set go to buckets as packed rows. A task sends one text per set it has
 seen; all texts come back through their class.
@@ -102,18 +107,21 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k1, k2): size and key of each text's set."""
+def sets(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, n, k1, k2, need_even, need_odd): size and key of each text's set, and how
+    many fragments it must share in its join class of that parity to have a partner."""
 
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 found = [shingles(t) for t in part.column("text").to_pylist()]
                 keys = [set_key(s) for s in found]
-                columns = [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2"])
+                needs = [needed(s, num, den) for s in found]
+                columns = [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64())]
+                columns += [pa.array([row[k] for row in rows], pa.int64()) for rows in (keys, needs) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "need_even", "need_odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, need_even long, need_odd long")
 
 
 @lru_cache(maxsize=4)
@@ -132,31 +140,49 @@ def parameters(join_class: int, num: int, den: int) -> tuple[int, int]:
     return d + 1 + max(1, largest // 25), d
 
 
-def fragment_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of (join class, fragment, part) of a sorted set, for its two join classes."""
+def cut_set(s: np.ndarray, num: int, den: int):
+    """(join class, d, fragment of each shingle, first shingle of each fragment that is not
+    empty) for the two join classes of a sorted set."""
     own = int(np.searchsorted(size_edges(num, den), len(s), side="right")) - 1
-    out = []
     for join_class in (own, own + 1):
         m, d = parameters(join_class, num, den)
         place = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        first = np.flatnonzero(np.diff(place, prepend=np.uint64(m)))
+        yield join_class, d, place, np.flatnonzero(np.diff(place, prepend=np.uint64(m)))
+
+
+def needed(s: np.ndarray, num: int, den: int) -> tuple[int, int]:
+    """Fragments a set shares with a similar one at least, by parity of the join class."""
+    out = [0, 0]
+    if len(s):
+        for join_class, d, _, first in cut_set(s, num, den):
+            out[join_class % 2] = max(1, len(first) - d)
+    return out[0], out[1]
+
+
+def fragment_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of (join class, fragment, part) of a sorted set, for its two join classes.
+    The highest bit is the parity of the join class."""
+    out = []
+    for join_class, d, place, first in cut_set(s, num, den):
         tag = mix(np.array([join_class + 1], np.uint64))[0]
         part = np.add.reduceat(mix(s ^ tag), first)
-        out.append(mix(part + place[first] * BASE + tag))
-        if m - len(first) >= m - d:
-            out.append(mix(s + tag))
+        found = [mix(part + place[first] * BASE + tag)]
+        if len(first) <= d:
+            found.append(mix(s + tag))
+        out.append(np.concatenate(found) >> np.uint64(1) | np.uint64(join_class % 2) << np.uint64(63))
     return np.concatenate(out)
 
 
 def shared_fragments(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """(fragment, doc_id): every fragment part that more than one of the sent texts has."""
+    """(fragment, odd, doc_id): every fragment part that more than one of the sent texts
+    has, and whether its join class is odd."""
     buckets = shuffle_parts(docs.sparkSession)
 
     def send(batches):
         seen: set[tuple] = set()
         for batch in batches:
-            hashes, ids = [], []
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", 4 << 20):
+                hashes, ids = [], []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     s = shingles(text) if doc_id is not None else ()
                     if len(s):
@@ -165,11 +191,13 @@ def shared_fragments(docs: DataFrame, num: int, den: int) -> DataFrame:
                             seen.add(key)
                             h = fragment_hashes(s, num, den)
                             hashes.append(h), ids.append(np.full(len(h), doc_id, np.int64))
-            if hashes:
-                h = np.concatenate(hashes)
-                rest = h // np.uint64(buckets)
-                columns = [np.concatenate(ids), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)]
-                yield deal((h % np.uint64(buckets)).astype(np.int64), columns, (0,))
+                if hashes:
+                    h = np.concatenate(hashes)
+                    odd, body = (h >> np.uint64(63)).astype(np.uint8), h & np.uint64((1 << 63) - 1)
+                    rest = body // np.uint64(buckets)
+                    high = ((rest >> np.uint64(32)) & np.uint64(0x7F)).astype(np.uint8) | odd << np.uint8(7)
+                    columns = [np.concatenate(ids), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), high]
+                    yield deal((body % np.uint64(buckets)).astype(np.int64), columns, (0,))
 
     def meet(key, rows):
         ids, low, high = gather(rows.column("blob").to_pylist(), [np.int64, np.uint32, np.uint8], (0,))
@@ -183,15 +211,16 @@ def shared_fragments(docs: DataFrame, num: int, den: int) -> DataFrame:
         twin[1:] = h[1:] == h[:-1]
         twin[:-1] |= twin[1:]
         bucket = key[0].as_py()
-        return pa.table([pa.array(h[twin] * buckets + bucket, pa.int64()), pa.array(ids[twin], pa.int64())], ["fragment", "doc_id"])
+        columns = [pa.array(h[twin] * buckets + bucket, pa.int64()), pa.array(h[twin] >> 39 == 1, pa.bool_()), pa.array(ids[twin], pa.int64())]
+        return pa.table(columns, ["fragment", "odd", "doc_id"])
 
-    return docs.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "fragment long, doc_id long")
+    return docs.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "fragment long, odd boolean, doc_id long")
 
 
-def count_overlaps(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: overlaps per coarse fragment, summed."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    texts = docs.join(needed, docs["doc_id"] == needed["need"], "left_semi").dropDuplicates(["doc_id", "text"])
+def coarse_fragments(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, k, f, n, part): the sets of the documents in ``ids`` (column id), cut into a few
+    fragments. ``k`` tells texts apart that share an id."""
+    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id", "text"])
 
     def cut(batches):
         edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(32)) // np.uint64(FRAGMENTS) << np.uint64(32)
@@ -205,7 +234,39 @@ def count_overlaps(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> Dat
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "k", "f", "n", "part"])
 
-    parts = stage(texts.mapInArrow(cut, "id long, k long, f int, n long, part array<long>"), "ngram-fragments")
+    return texts.mapInArrow(cut, "id long, k long, f int, n long, part array<long>")
+
+
+def shared_shingles(parts: DataFrame) -> DataFrame:
+    """(id, shared): how many shingles of each set at least one other set of ``parts`` has."""
+    buckets = shuffle_parts(parts.sparkSession)
+
+    def send(batches):
+        for batch in batches:
+            column = batch.column("part")
+            h = column.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            ids = np.repeat(batch.column("id").to_numpy(), np.diff(column.offsets.to_numpy()))
+            if len(h):
+                yield deal((h % np.uint64(buckets)).astype(np.int64), [ids, h // np.uint64(buckets)], (0,))
+
+    def meet(key, rows):
+        ids, h = gather(rows.column("blob").to_pylist(), [np.int64, np.uint64], (0,))
+        order = np.lexsort((ids, h))
+        h, ids = h[order], ids[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        head = np.flatnonzero(first)
+        last = np.append(head[1:], len(h)) - 1
+        common = np.repeat(ids[head] != ids[last], last - head + 1)
+        who, count = np.unique(ids[common], return_counts=True)
+        return pa.table([pa.array(who, pa.int64()), pa.array(count, pa.int64())], ["id", "shared"])
+
+    met = parts.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "id long, shared long")
+    return met.groupBy("id").agg(F.sum("shared").alias("shared"))
+
+
+def count_overlaps(parts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough: overlaps per coarse fragment, summed."""
     side = lambda x: parts.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), "f", F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "f"])
     partial = met.select("a", "b", "ka", "kb", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("overlap"))
@@ -217,28 +278,39 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``df``: (doc_id, n_shingles, component_id)."""
     num, den = similarity
     docs = two_columns(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    size = stage(sets(docs), "ngram-sets")
+    size = stage(sets(docs, num, den), "ngram-sets")
     classes = size.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     size = stage(size.join(classes, ["n", "k1", "k2"], "left"), "ngram-classes")
     copies = size.where("rep != doc_id").select("doc_id", "rep").distinct()
 
-    lists = shared_fragments(docs, num, den).join(copies, "doc_id", "left").select("fragment", F.coalesce("rep", "doc_id").alias("id")).distinct()
-    sizes = size.where("rep = doc_id").select(F.col("rep").alias("id"), "n").distinct()
+    lists = shared_fragments(docs, num, den).join(copies, "doc_id", "left").select("fragment", "odd", F.coalesce("rep", "doc_id").alias("id")).distinct()
+    sizes = size.where("rep = doc_id").select(F.col("rep").alias("id"), "n", "need_even", "need_odd").distinct()
     lists = stage(lists, "ngram-lists")
-    center = lists.groupBy("fragment").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("fragment", "a")
-    stars = lists.join(center, "fragment").where("id != a").select("a", F.col("id").alias("b")).distinct()
-    stars = stage(_fitting(stars, sizes, num, den), "ngram-stars")
-    links = stage(count_overlaps(docs, stars, num, den), "ngram-links")
+    shared = lists.groupBy("fragment").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("fragment")
+    counts = lists.join(shared, "fragment", "left_semi").groupBy("id").agg(F.count_if("odd").alias("n_odd"), F.count_if(~F.col("odd")).alias("n_even"))
+    able = counts.join(sizes, "id").where("n_odd >= need_odd OR n_even >= need_even").select("id").distinct()
+    able = stage(able, "ngram-able")
+    parts = stage(coarse_fragments(docs, able), "ngram-fragments")
+    near = shared_shingles(parts).join(sizes.groupBy("id").agg(F.min("n").alias("n")), "id").where(den * F.col("shared") >= num * F.col("n"))
+    near = stage(near.select("id", "n", "shared", (1 - F.col("shared") / F.col("n")).alias("own")), "ngram-near")
+    lists = stage(lists.join(near, "id"), "ngram-open")
+    best = F.min(F.struct("own", "id"))["id"].alias("a")
+    center = lists.groupBy("fragment").agg(best, F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("fragment", "a")
+    stars = lists.join(center, "fragment").where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "odd")
+    stars = stage(_sharing_enough(stars, sizes, num, den), "ngram-stars")
+    links = stage(count_overlaps(parts, stars, num, den), "ngram-links")
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    placed = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fragment", "id", F.coalesce("component", "id").alias("group"))
+    placed = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fragment", "odd", "id", "n", "shared", F.coalesce("component", "id").alias("group"))
     placed = stage(placed, "ngram-placed")
     mixed = placed.groupBy("fragment").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 < g2").select("fragment")
     open_ = placed.join(mixed, "fragment", "left_semi")
-    left, right = (open_.select("fragment", F.col("id").alias(i), F.col("group").alias(f"g{i}")) for i in "ab")
-    more = left.join(right, "fragment").where("a < b AND ga != gb").select("a", "b").distinct()
-    more = stage(_fitting(more, sizes, num, den).join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
-    links = links.unionByName(count_overlaps(docs, more, num, den))
+    left, right = (open_.select("fragment", "odd", F.col("id").alias(i), F.col("group").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}")) for i in "ab")
+    most = F.least("sa", "sb")  # no overlap is larger
+    apart = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (den * most >= num * (F.col("na") + F.col("nb") - most))
+    more = left.join(right, ["fragment", "odd"]).where(apart).select("a", "b", "odd")
+    more = stage(_sharing_enough(more, sizes, num, den).join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
+    links = links.unionByName(count_overlaps(parts, more, num, den))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     out = size.join(groups, size["rep"] == groups["node"], "left")
@@ -246,11 +318,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
+def _sharing_enough(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of ``shared`` (a row per fragment) whose sizes and whose number of shared
+    fragments allow the similarity."""
+    pairs = shared.groupBy("a", "b").agg(F.count_if("odd").alias("odd"), F.count_if(~F.col("odd")).alias("even"))
     for side in "ab":
-        pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}")), side)
-    return pairs.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
+        pairs = pairs.join(sizes.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "need_odd", "need_even")]), side)
+    fits = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
+    enough = (F.col("odd") >= F.greatest("need_odd_a", "need_odd_b")) | (F.col("even") >= F.greatest("need_even_a", "need_even_b"))
+    return pairs.where(fits & enough).select("a", "b").distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
