@@ -131,12 +131,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "ids"])
 
     rows = texts.mapInArrow(features, f"doc_id {id_type(df, id_col)}, toxic boolean, ids array<int>")
-    got = rows.toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: got["doc_id"][i])
-    toxic = np.array([got["toxic"][i] for i in order], dtype=bool)
+    got = rows.toArrow()
+    order = np.argsort(np.array(got.column("doc_id").to_pylist()), kind="stable")
+    toxic = np.array(got.column("toxic").to_pylist(), dtype=bool)[order]
     if not toxic.any() or toxic.all():
         return None
-    ids = [np.array(got["ids"][i], np.int64) for i in order]
+    held = [part for chunk in got.column("ids").chunks for part in np.split(chunk.flatten().to_numpy(), np.cumsum(np.diff(chunk.offsets.to_numpy()))[:-1])]
+    ids = [held[i].astype(np.int64) for i in order]
     size = HASHES * LEVELS
     seen = [np.bincount(np.concatenate([i for i, t in zip(ids, toxic) if t == side] or [np.zeros(0, np.int64)]), minlength=size) for side in (False, True)]
     n0, n1 = (~toxic).sum(), toxic.sum()
