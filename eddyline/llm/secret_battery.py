@@ -1,8 +1,11 @@
 """Secret scan: three patterns, and a randomness test battery for everything else.
 
 Base kinds are found by pattern. The method adds ``random`` spans: maximal runs of at
-least ``MIN_RUN`` token characters whose encoding is inferred (hexadecimal, base32,
-letters, letters and digits, base64) and which behave like uniform draws from it.
+least ``MIN_RUN`` characters of base64 or of base64url, padding included, whose encoding
+is inferred (hexadecimal, base32, letters, letters and digits, base64) and which behave
+like uniform draws from it. An '=' before more characters ends a run, so the value of
+NAME=value is a run of its own, and a stretch that mixes '+' or '/' with '_' or '-' is
+tested part by part in both alphabets.
 
 Per run: a chi-squared test of uniformity over the alphabet, a runs test around the
 middle of the alphabet, and a test of the serial correlation of neighbours. A run
@@ -17,7 +20,8 @@ Only thresholds (a few dozen numbers) reach the driver.
 
 Defined cases: a null text is empty and has no span; spans count code points, end
 exclusive; repeated rows and ids are scanned one by one; an empty table gives no row and
-no threshold. A ``random`` run inside a base span is not listed again.
+no threshold. A ``random`` run inside a base span, or inside a longer ``random`` one, is
+not listed again; runs of the two alphabets that only overlap are both listed.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 MIN_ASSIGN, MIN_ACCESS, MIN_RUN = 6, 20, 20
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{" + str(MIN_RUN) + r",}"
+#: Maximal runs of the base64 and of the base64url alphabet; '=' belongs to a run as trailing padding only.
+RUNS = tuple(rf"(?<![{chars}])[{chars}]{{{MIN_RUN},}}(?:=+(?![A-Za-z0-9+/_=-]))?" for chars in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 KINDS = ("assign", "access", "hex", "random")
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -72,6 +77,22 @@ def _found(df: DataFrame, text: str, name: str, pattern: str, least: int, group:
     return df.drop(*(f"{name}_{k}" for k in "mpns"))
 
 
+def _runs(df: DataFrame, text: str) -> DataFrame:
+    """Column ``runs``: the runs of both alphabets by place, those that agree once."""
+    for i, pattern in enumerate(RUNS):
+        df = _found(df, text, f"runs_{i}", pattern, MIN_RUN)
+    both = F.array(F.array_sort(F.concat("runs_0", "runs_1")))
+
+    def once(runs: Column) -> Column:
+        def new(r: Column, i: Column) -> Column:
+            last = F.get(runs, i - 1)
+            return (i == 0) | (last["start"] != r["start"]) | (last["end"] != r["end"])
+
+        return F.filter(runs, new)
+
+    return df.withColumn("runs", F.transform(both, once)[0]).drop("runs_0", "runs_1")
+
+
 def _encoding(token: Column) -> tuple[Column, Column]:
     name, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     for label, pattern, letters in reversed(ENCODINGS):
@@ -139,7 +160,8 @@ def thresholds(texts: DataFrame, text: str, rate: float = FALSE_RATE) -> dict[st
     """Smallest bin that counts as a discovery, per stratum. A bin stands for its largest
     p-value, so the false discovery rate holds. The histogram has at most ``BINS`` rows a
     stratum, whatever the corpus; strata are encodings times doublings of the length."""
-    runs = _found(texts.select(text), text, "runs", RUN, MIN_RUN).where(F.size("runs") > 0)
+    held = F.col("t").rlike(RUNS[0]) | F.col("t").rlike(RUNS[1])
+    runs = _runs(texts.select(F.col(text).alias("t")).where(held), "t")
     each = runs.select(F.explode(judged(F.col("runs"))).alias("r")).select("r.stratum", "r.bin", "r.random", F.md5(F.col("r.token")).alias("key")).distinct()
     histogram = each.groupBy("stratum", "bin").agg(F.count("*").alias("n"), F.sum(F.col("random").cast("long")).alias("passed"))
     down = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
@@ -158,7 +180,7 @@ def with_spans(df: DataFrame, text_col: str = "text", rate: float = FALSE_RATE)
     rows = _found(rows, "t", "assign", ASSIGN, MIN_ASSIGN, 1)
     rows = _found(rows, "t", "access", ACCESS, MIN_ACCESS)
     rows = _found(rows, "t", "hex", HEX, 24)
-    rows = _found(rows, "t", "runs", RUN, MIN_RUN)
+    rows = _runs(rows, "t")
     order = {k: i for i, k in enumerate(KINDS)}
     marked = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"], F.lit(order[kind]).alias("rank"), s["end"]))
     rows = rows.withColumn("base", F.concat(*(marked(F.col(k), k) for k in KINDS[:3])))
@@ -167,7 +189,8 @@ def with_spans(df: DataFrame, text_col: str = "text", rate: float = FALSE_RATE)
         claimed = F.filter(judged(F.col("runs")), lambda r: r["random"] & (r["bin"] >= F.coalesce(least[r["stratum"]], F.lit(BINS * 10))))
         claimed = F.when(F.size("runs") > 0, claimed).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,token:string,stratum:string,bin:int,random:boolean>>"))
         rows = rows.withColumn("claimed", claimed)
-        added = F.filter("claimed", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
+        around = lambda spans, r: F.filter(spans, lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"]))
+        added = F.filter("claimed", lambda r: (F.size(around("base", r)) == 0) & (F.size(around("claimed", r)) == 1))
         rows = rows.withColumn("all", F.array_sort(F.concat("base", marked(added, "random"))))
     else:
         rows = rows.withColumn("all", F.array_sort("base"))
