@@ -9,13 +9,18 @@ different values different ones. Separators and lengths stay.
 
 | kind | validated by | permuted |
 | --- | --- | --- |
-| card | 13 to 19 digits, Luhn sum | all digits but the last, which is set anew |
+| card | 13 to 19 digits in whole groups, Luhn sum | all digits but the last, which is set anew |
 | ssn | area 1-899 without 666, group and serial not 0 | area, group, serial |
-| phone | country code and ten digits | the ten digits |
+| phone | country code and ten digits, or a country code of the numbering plan and 7 to 15 digits in all | the digits behind the country code |
 | ip | four octets up to 255 | the octets |
-| date | real day in the years 1800 to 2199 | the day within the 400 years |
+| date | real day in the years 1800 to 2199, month first if day first is none | the day within the 400 years |
 | email | letters, digits before the @ | letters among letters, digits among digits; the domain stays |
 
+Cards are sought in stretches of digit groups with single spaces or hyphens between, which
+end where a value of another kind begins. First the usual layouts count (one group, 4-4-4-4,
+4-6-5, 4-6-4), then any groups in a row, longest first; what no valid card covers stays.
+A month-first date keeps its layout, so its pseudonym may read like a day-first one.
+
 Only built-in column functions are used. The key is a parameter; whoever holds it can
 recompute pseudonyms, so production passes its own.
 
@@ -39,8 +44,14 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+OTHERS = "|".join((EMAIL, DATE, IP, SSN))
+CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+ABROAD = rf"(?<![0-9+])\+(?=(?:[^0-9\n]{{0,3}}[0-9]){{7}})[1-9](?:(?:[ .-](?!{OTHERS}))?(?:\(0\)[ .-]?)?\(?[0-9]\)?){{6,14}}(?![0-9]|[/:][0-9])"
+#: Groups of digits that hold 13 digits at least, up to a value of another kind.
+GROUPS = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]+(?:[ -](?!{OTHERS})[0-9]+)*+"
+LAYOUTS = {1: "^[0-9]{13,19}$", 4: "^[0-9]{4}(?: [0-9]{4}){3}$", 3: "^[0-9]{4} [0-9]{6} [0-9]{4,5}$"}
 KINDS = ("email", "date", "ip", "phone", "ssn", "card")
-PATTERNS = dict(zip(KINDS, (EMAIL, DATE, IP, PHONE, SSN, CARD)))
+PATTERNS = dict(zip(KINDS, (EMAIL, DATE, IP, f"{PHONE}|{ABROAD}", SSN, GROUPS)))
 ANY = "|".join(PATTERNS.values())
 DAYS_400_YEARS = 146_097  # 189 * 773
 
@@ -119,6 +130,57 @@ def _card(m: Column, key: str) -> Column:
     return let(digits(m), lambda d: F.when(luhn_sum(d, 0) % 10 == 0, refill(m, text_of(swap(d)), "[0-9]")))
 
 
+def _luhn(number: Column) -> Column:
+    return F.call_function("luhn_check", number)
+
+
+def _first(tries: list[tuple[int, Column]]) -> Column:
+    size = F.lit(0)
+    for k, fits in reversed(tries):
+        size = F.when(fits, F.lit(k)).otherwise(size)
+    return size
+
+
+def _cut(start: Column, end: Column, size) -> Column:
+    """Stretches (at, n, card) that cover the groups from ``start`` to before ``end``:
+    at each group, ``size`` says how many from there on are a card."""
+    kind = "array<struct<at:int,n:int,card:boolean>>"
+    stretch = lambda at, n, card: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"), F.lit(card).alias("card"))
+    state = F.struct(start.cast("int").alias("next"), F.array().cast(kind).alias("out"))
+    up_to = lambda out, last, i: F.when(i > last, F.array_append(out, stretch(last, i - last, False))).otherwise(out)
+
+    def step(s: Column, i: Column) -> Column:
+        found = lambda n: F.when(n > 0, F.struct((i + n).cast("int").alias("next"), F.array_append(up_to(s["out"], s["next"], i), stretch(i, n, True)).alias("out"))).otherwise(s)
+        return F.when(i < s["next"], s).otherwise(let(size(i), found))
+
+    return F.aggregate(F.sequence(start, end - 1), state, step, lambda s: up_to(s["out"], s["next"], end))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(kind, value, pseudonym, tail) of the cards in ``m`` and of what is between them."""
+
+    def parts(g: Column) -> Column:
+        digit = lambda at, n, sep="": F.array_join(F.slice(g, at + 1, F.lit(n)), sep)
+        usual = lambda i: _first([(n, (i + n <= F.size(g)) & digit(i, n, " ").rlike(p) & _luhn(digit(i, n))) for n, p in LAYOUTS.items()])
+
+        def other(end: Column):
+            def size(i: Column) -> Column:
+                fits = lambda n: (F.length(F.array_join(F.slice(g, i + 1, n), "")).between(13, 19)) & _luhn(F.array_join(F.slice(g, i + 1, n), ""))
+                return F.coalesce(F.get(F.filter(F.sequence(F.least(end - i, F.lit(19)), F.lit(1), F.lit(-1)), fits), F.lit(0)), F.lit(0))
+
+            return size
+
+        whole = F.transform(_cut(F.lit(0), F.size(g), usual), lambda c: F.when(c["card"], F.array(c)).otherwise(_cut(c["at"], c["at"] + c["n"], other(c["at"] + c["n"]))))
+        return F.flatten(whole)
+
+    def part(text: Column, card: Column) -> Column:
+        value = F.when(card, F.rtrim(text, F.lit(" -"))).otherwise(text)
+        return let(value, lambda v: F.struct(F.lit("card").alias("kind"), v.alias("value"), F.when(card, _card(v, key)).alias("pseudonym"), F.substring(text, F.length(v) + 1, F.length(text)).alias("tail")))
+
+    held = lambda h: F.transform(let(F.transform(h, lambda x: F.rtrim(x, F.lit(" -"))), parts), lambda c: let(F.array_join(F.slice(h, c["at"] + 1, c["n"]), ""), lambda t: part(t, c["card"])))
+    return let(matches(m, "[0-9]+[ -]?"), held)
+
+
 def _ssn(m: Column, key: str) -> Column:
     def swap(p: Column) -> Column:
         area = p[0] - 1 - (p[0] > 666).cast("int")
@@ -131,12 +193,15 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    def swap(d: Column) -> Column:
-        lead = F.slice(d, 1, F.size(d) - 10)
-        new = feistel(F.slice(d, F.size(d) - 9, F.lit(10)), same(10, F.lit(10)), "phone", key)
-        return F.concat(F.transform(lead, lambda v: v.cast("bigint")), new)
+    plain = F.regexp_replace(m, r"\(0\)|[^0-9]", "")
+    code = F.when(m.rlike(f"^(?:{PHONE})$"), F.length(plain) - 10).otherwise(F.length(F.regexp_extract(plain, f"^{CODE}", 0)))
 
-    return let(digits(m), lambda d: refill(m, text_of(swap(d)), "[0-9]"))
+    def swap(d: Column, lead: Column) -> Column:
+        new = feistel(F.slice(d, lead + 1, F.size(d) - lead), same(10, F.size(d) - lead), "phone", key)
+        return F.concat(F.transform(F.slice(d, F.lit(1), lead), lambda v: v.cast("bigint")), new)
+
+    shape = F.regexp_replace(m, r"\(0\)", "(o)")
+    return F.regexp_replace(refill(shape, text_of(let(code, lambda n: let(digits(plain), lambda d: swap(d, n)))), "[0-9]"), r"\(o\)", "(0)")
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -146,9 +211,11 @@ def _ip(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     iso, slash = m.rlike("^[0-9]{4}-"), m.contains("/")
-    layouts = ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy")
-    pick = lambda of: F.when(iso, of(layouts[0])).when(slash, of(layouts[1])).otherwise(of(layouts[2]))
-    plain = F.when(iso, m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
+    month_first = ~iso & (F.substring(m, 4, 2) > "12")
+    day, month = F.when(month_first, F.substring(m, 4, 2)).otherwise(F.substring(m, 1, 2)), F.when(month_first, F.substring(m, 1, 2)).otherwise(F.substring(m, 4, 2))
+    layouts = ("yyyy-MM-dd", "MM/dd/yyyy", "MM.dd.yyyy", "dd/MM/yyyy", "dd.MM.yyyy")
+    pick = lambda of: F.when(iso, of(layouts[0])).when(month_first & slash, of(layouts[1])).when(month_first, of(layouts[2])).when(slash, of(layouts[3])).otherwise(of(layouts[4]))
+    plain = F.when(iso, m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), month, day))
     base = F.lit("1800-01-01").cast("date")
 
     def swap(n: Column) -> Column:
@@ -172,7 +239,7 @@ def _email(m: Column, key: str) -> Column:
     return let(matches(local, "[A-Za-z0-9]"), lambda c: F.when(F.size(c) > 0, F.concat(refill(local, swap(c), "[A-Za-z0-9]"), F.lit("@"), domain)))
 
 
-SWAPS = {"email": _email, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
+SWAPS = {"email": _email, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn}
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY) -> tuple[DataFrame, str]:
@@ -182,19 +249,23 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY) -> tuple
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(hold), F.col(text_col).alias("t"))
     rows = rows.withColumn("m", F.coalesce(matches(F.col("t"), ANY), F.array().cast("array<string>"))).withColumn("p", pieces(F.col("t"), ANY, F.col("m")))
 
+    part = "struct<kind:string,value:string,pseudonym:string,tail:string>"
+
     def judge(m: Column) -> Column:
-        kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for k in reversed(KINDS):
-            fits = m.rlike(f"^(?:{PATTERNS[k]})$")
-            kind, new = F.when(fits, F.lit(k)).otherwise(kind), F.when(fits, SWAPS[k](m, key)).otherwise(new)
-        return F.struct(kind.alias("kind"), m.alias("value"), new.alias("pseudonym"))
+        parts = _cards(m, key)
+        for k in reversed(KINDS[:-1]):
+            one = F.struct(F.lit(k).alias("kind"), m.alias("value"), SWAPS[k](m, key).alias("pseudonym"), F.lit("").alias("tail"))
+            parts = F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), F.array(one)).otherwise(parts)
+        return parts
 
-    empty = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
+    empty = F.array().cast(f"array<array<{part}>>")
     rows = rows.withColumn("f", F.when(F.size("m") > 0, F.transform("m", judge)).otherwise(empty))
-    woven = F.zip_with(F.slice("p", 1, F.size("m")), "f", lambda p, f: F.concat(p, F.coalesce(f["pseudonym"], f["value"])))
+    told = lambda f: F.array_join(F.transform(f, lambda x: F.concat(F.coalesce(x["pseudonym"], x["value"]), x["tail"])), "")
+    woven = F.zip_with(F.slice("p", 1, F.size("m")), "f", lambda p, f: F.concat(p, told(f)))
     text = F.when(F.size("m") > 0, F.concat(F.array_join(woven, ""), F.element_at("p", -1))).otherwise(F.col("t"))
     columns = [text.alias(c) if c == text_col else F.col(hold)[c].alias(c) for c in df.columns]
-    return rows.select(*columns, F.filter("f", lambda f: f["pseudonym"].isNotNull()).alias(name)), name
+    found = F.transform(F.filter(F.flatten("f"), lambda f: f["pseudonym"].isNotNull()), lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"), f["pseudonym"].alias("pseudonym")))
+    return rows.select(*columns, found.alias(name)), name
 
 
 def op3_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,32 @@ def test_formats_stay_valid_and_values_stay_apart(spark):
         assert check is None or all(check(v) for v in new)
 
 
+def test_adjacent_numbers_month_first_and_phones_abroad(spark):
+    texts = {
+        "4111 1111 1111 1111 12/27": [("card", "4111 1111 1111 1111")],
+        "order 12 4111111111111111 ok": [("card", "4111111111111111")],
+        "4111111111111111 152.143.123.131": [("card", "4111111111111111"), ("ip", "152.143.123.131")],
+        "4111-1111-1111-1111 2020-01-02": [("card", "4111-1111-1111-1111"), ("date", "2020-01-02")],
+        "3782 822463 10005 123-45-6789": [("card", "3782 822463 10005"), ("ssn", "123-45-6789")],
+        "5500005555555559 4111111111111111": [("card", "5500005555555559"), ("card", "4111111111111111")],
+        "4111 1111 1111 1112 12": [],
+        "on 12/31/2020 and 31/12/2020": [("date", "12/31/2020"), ("date", "31/12/2020")],
+        "call +44 20 7946 0958 or +49 30 123456, +33 1 42 68 53 00.": [("phone", "+44 20 7946 0958"), ("phone", "+49 30 123456"), ("phone", "+33 1 42 68 53 00")],
+        "+44 20 7946 0958 4111111111111111": [("phone", "+44 20 7946 0958"), ("card", "4111111111111111")],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, name = f.pseudonymise(df)
+    linked = set()
+    for row, (text, want) in zip(out.orderBy("doc_id").collect(), texts.items()):
+        assert [(v["kind"], v["value"]) for v in row[name]] == want, text
+        for v in row[name]:
+            assert shape(v["pseudonym"]) == shape(v["value"]) or v["kind"] == "ip"
+            text = text.replace(v["value"], v["pseudonym"])
+            linked |= {v["pseudonym"]} if v["value"] == "4111111111111111" else set()
+        assert row["text"] == text
+    assert len(linked) == 1 and luhn(linked.pop())
+
+
 def test_small_domains_are_permuted(spark):
     df = spark.range(189 * 7).select(F.col("id"), f.feistel(F.array(F.floor(F.col("id") / 7), F.col("id") % 7), F.array(F.lit(189), F.lit(7)), "test", "k").alias("v"))
     assert df.select(F.col("v")[0] * 7 + F.col("v")[1]).distinct().count() == 189 * 7
