@@ -5,8 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,12 +18,8 @@ def spark():
 
 @pytest.fixture(scope="session")
 def tables(spark):
+    from frames import SMALL
+
     from eddyline.tables import Tables
 
     return Tables.open(spark, SMALL)
-
-
-def same_rows(a, b) -> bool:
-    """Equal as multisets, columns in any order."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import same_rows
+from frames import same_rows
 from eddyline import session
 from eddyline.config import SPINE
 from eddyline.functions import distributions as D

@@ -3,7 +3,7 @@ import random
 from dataclasses import replace
 
 import pytest
-from conftest import same_rows
+from frames import same_rows
 from pyspark.sql import functions as F
 
 from eddyline.config import SPINE

@@ -2,7 +2,7 @@
 
 import oracle_check as oc
 import pytest
-from conftest import SMALL
+from frames import SMALL
 
 import __spark_entry__ as entry
 

@@ -3,7 +3,7 @@ from dataclasses import replace
 
 import pandas as pd
 import pytest
-from conftest import same_rows
+from frames import same_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
