@@ -2,8 +2,9 @@
 
 Every round hangs the neighbours of a node on the smallest of them (first the larger
 neighbours, then the smaller ones). Rounds are written to the shared folder, and the
-number of rounds grows with the logarithm of the longest chain. Nothing but a row count
-and a checksum reaches the driver.
+number of rounds grows with the logarithm of the longest chain. The centre of a star may
+have any number of neighbours: they meet it in salted groups. Nothing but a row count and a
+checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eddyline.llm.common import with_least
 from eddyline.session import stage
 
 
@@ -21,14 +23,14 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = with_least(both, ["u"], F.least("u", "v"), "m")
+    return least.where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    least = with_least(down, ["u"], F.col("v"), "m")
+    hung = least.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return hung.where("u != v").distinct()
 
 

@@ -3,7 +3,8 @@
 A text is the set of its five-word shingles, each a 64 bit hash. The order of the hashes
 is the global n-gram order, and ranges of it are the fragments.
 
-1. Texts with the same set form a class; classes, not texts, are compared.
+1. Texts with the same set form a class; classes, not texts, are compared. A class is
+   named by a 64 bit key of its set, and read through the text with its smallest id.
 2. Candidates. Two sets with Jaccard similarity of at least t differ in at most
    d = (|A| + |B|) (1 - t) / (1 + t) shingles. With m > d fragments of the order, at least
    m - d fragments hold the same part of both sets, so equal hashes of (fragment, part)
@@ -20,11 +21,13 @@ is the global n-gram order, and ranges of it are the fragments.
    shingles of its own, which of edited copies is the one nearest to all. What the stars
    link is one component and needs no more pairs. Then every pair of members of a list that
    are still in different components is a candidate as well, if it shares enough fragments
-   (k - d of either set) and if what either set shares with any other allows t. No similar pair is in two components at the end, so components
-   are exact without the pairs of a large group.
+   (k - d of either set) and if what either set shares with any other allows t. No similar
+   pair is in two components at the end, so components are exact without the pairs of a
+   large group.
 
-Fragments of a set go to buckets as packed rows. A task sends one text per set it has
-seen; all texts come back through their class.
+One text per class sends its fragments, as packed rows, to buckets whose number follows
+the shingles of the corpus. Texts meet their class, classes their component and edges their
+star in salted groups, so a class or component may hold any share of the rows.
 
 Defined cases: a null text is empty; a text without words has no shingle and is linked
 with nothing; fewer words than ``WORDS`` make one shingle. Rows are judged by their text:
@@ -37,19 +40,22 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from eddyline.llm.blobs import deal, gather, mix
-from eddyline.llm.common import by_bytes, shuffle_parts, table, two_columns
+from eddyline.llm.common import by_bytes, fresh, shuffle_parts, table, two_columns, with_least
 from eddyline.llm.components import components
 from eddyline.session import stage
 
 WORDS = 5
 SIMILARITY = (80, 100)
 FRAGMENTS = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+BUCKET_RECORDS = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64)
@@ -70,21 +76,27 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash per word, read in chunks that end between words."""
+    """A hash per word. Long texts are read in chunks; the sum and the length of a word that
+    is still open at the end of a chunk go on in the next one."""
     up, down = _powers()
-    out, at = [], 0
-    while at < len(raw):
-        end = min(len(raw), at + CHUNK)
-        if end < len(raw):
-            cut = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            end = cut + 1 if cut > at else end
-        x = np.frombuffer(raw, np.uint8, end - at, at)
+    out, open_sum, open_size = [], 0, 0
+    for at in range(0, len(raw), CHUNK):
+        x = np.frombuffer(raw, np.uint8, min(CHUNK, len(raw) - at), at)
         blank = _BLANK[x]
         edge = np.diff(blank.astype(np.int8), prepend=1, append=1)
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[_LOWER[x]] * up[: len(x)])])
-        out.append(mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)))
-        at = end
+        value, size = (sums[stop] - sums[start]) * down[start], (stop - start).astype(np.uint64)
+        if open_size:
+            if not blank[0]:
+                value[0] = (open_sum + int(value[0]) * pow(int(BASE), open_size, 1 << 64)) % (1 << 64)
+                size[0] += np.uint64(open_size)
+            else:
+                value, size = np.append(np.uint64(open_sum), value), np.append(np.uint64(open_size), size)
+        goes_on = at + CHUNK < len(raw) and not blank[-1]
+        open_sum, open_size = (int(value[-1]), int(size[-1])) if goes_on else (0, 0)
+        done = len(value) - goes_on
+        out.append(mix(value[:done] + size[:done]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -173,24 +185,19 @@ def fragment_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shared_fragments(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """(fragment, odd, doc_id): every fragment part that more than one of the sent texts
-    has, and whether its join class is odd."""
-    buckets = shuffle_parts(docs.sparkSession)
+def shared_fragments(texts: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(fragment, odd, doc_id): every fragment part that more than one of ``texts`` (doc_id,
+    text, id: one text per class) has, and whether its join class is odd."""
 
     def send(batches):
-        seen: set[tuple] = set()
         for batch in batches:
             for part in by_bytes(batch, "text", 4 << 20):
                 hashes, ids = [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    s = shingles(text) if doc_id is not None else ()
-                    if len(s):
-                        key = (len(s), *set_key(s))
-                        if key not in seen:
-                            seen.add(key)
-                            h = fragment_hashes(s, num, den)
-                            hashes.append(h), ids.append(np.full(len(h), doc_id, np.int64))
+                for doc_id, text, key in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "id"))):
+                    s = shingles(text)
+                    if set_key(s)[0] == key:
+                        h = fragment_hashes(s, num, den)
+                        hashes.append(h), ids.append(np.full(len(h), doc_id, np.int64))
                 if hashes:
                     h = np.concatenate(hashes)
                     odd, body = (h >> np.uint64(63)).astype(np.uint8), h & np.uint64((1 << 63) - 1)
@@ -204,9 +211,9 @@ def shared_fragments(docs: DataFrame, num: int, den: int) -> DataFrame:
         h = high.astype(np.int64) << 32 | low
         order = np.lexsort((ids, h))
         h, ids = h[order], ids[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
-        h, ids = h[fresh], ids[fresh]
+        fresh_row = np.ones(len(h), bool)
+        fresh_row[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
+        h, ids = h[fresh_row], ids[fresh_row]
         twin = np.zeros(len(h), bool)
         twin[1:] = h[1:] == h[:-1]
         twin[:-1] |= twin[1:]
@@ -214,32 +221,30 @@ def shared_fragments(docs: DataFrame, num: int, den: int) -> DataFrame:
         columns = [pa.array(h[twin] * buckets + bucket, pa.int64()), pa.array(h[twin] >> 39 == 1, pa.bool_()), pa.array(ids[twin], pa.int64())]
         return pa.table(columns, ["fragment", "odd", "doc_id"])
 
-    return docs.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "fragment long, odd boolean, doc_id long")
+    return texts.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "fragment long, odd boolean, doc_id long")
 
 
-def coarse_fragments(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, k, f, n, part): the sets of the documents in ``ids`` (column id), cut into a few
-    fragments. ``k`` tells texts apart that share an id."""
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id", "text"])
+def coarse_fragments(texts: DataFrame) -> DataFrame:
+    """(id, f, n, part): the sets of ``texts`` (doc_id, text, id), cut into a few fragments."""
 
     def cut(batches):
         edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(32)) // np.uint64(FRAGMENTS) << np.uint64(32)
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 out = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                for text, key in zip(part.column("text").to_pylist(), part.column("id").to_pylist()):
                     s = shingles(text)
-                    k1 = set_key(s)[0]
-                    out += [(doc_id, k1, f, len(s), x.astype(np.int64)) for f, x in enumerate(np.split(s, np.searchsorted(s, edges)))]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "k", "f", "n", "part"])
+                    if set_key(s)[0] == key:
+                        out += [(key, f, len(s), x.astype(np.int64)) for f, x in enumerate(np.split(s, np.searchsorted(s, edges)))]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "f", "n", "part"])
 
-    return texts.mapInArrow(cut, "id long, k long, f int, n long, part array<long>")
+    return texts.mapInArrow(cut, "id long, f int, n long, part array<long>")
 
 
-def shared_shingles(parts: DataFrame) -> DataFrame:
+def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
     """(id, shared): how many shingles of each set at least one other set of ``parts`` has."""
-    buckets = shuffle_parts(parts.sparkSession)
 
     def send(batches):
         for batch in batches:
@@ -253,6 +258,9 @@ def shared_shingles(parts: DataFrame) -> DataFrame:
         ids, h = gather(rows.column("blob").to_pylist(), [np.int64, np.uint64], (0,))
         order = np.lexsort((ids, h))
         h, ids = h[order], ids[order]
+        fresh_row = np.ones(len(h), bool)
+        fresh_row[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
+        h, ids = h[fresh_row], ids[fresh_row]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         head = np.flatnonzero(first)
@@ -266,37 +274,39 @@ def shared_shingles(parts: DataFrame) -> DataFrame:
 
 
 def count_overlaps(parts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: overlaps per coarse fragment, summed."""
-    side = lambda x: parts.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), "f", F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"))
+    """The pairs (a, b) that are similar enough: overlaps per coarse fragment, summed. A set
+    that was read from several rows counts once."""
+    side = lambda x: parts.select(F.col("id").alias(x), "f", F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "f"])
-    partial = met.select("a", "b", "ka", "kb", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("overlap"))
-    total = partial.groupBy("a", "b", "ka", "kb", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return total.where(den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b").distinct()
+    partial = met.select("a", "b", "f", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("overlap"))
+    by_part = [F.coalesce(F.max(F.when(F.col("f") == f, F.col("overlap"))), F.lit(0)) for f in range(FRAGMENTS)]
+    total = partial.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), sum(by_part[1:], by_part[0]).alias("overlap"))
+    return total.where(den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """One row per row of ``df``: (doc_id, n_shingles, component_id)."""
-    num, den = similarity
-    docs = two_columns(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+def linked_sets(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """For (doc_id, text): the size and key of each row's set, (doc_id, n, k1, k2, …), and the
+    group of each class, (n, k1, k2, component), component being its smallest id."""
     size = stage(sets(docs, num, den), "ngram-sets")
-    classes = size.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    size = stage(size.join(classes, ["n", "k1", "k2"], "left"), "ngram-classes")
-    copies = size.where("rep != doc_id").select("doc_id", "rep").distinct()
-
-    lists = shared_fragments(docs, num, den).join(copies, "doc_id", "left").select("fragment", "odd", F.coalesce("rep", "doc_id").alias("id")).distinct()
-    sizes = size.where("rep = doc_id").select(F.col("rep").alias("id"), "n", "need_even", "need_odd").distinct()
-    lists = stage(lists, "ngram-lists")
-    shared = lists.groupBy("fragment").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("fragment")
-    counts = lists.join(shared, "fragment", "left_semi").groupBy("id").agg(F.count_if("odd").alias("n_odd"), F.count_if(~F.col("odd")).alias("n_even"))
-    able = counts.join(sizes, "id").where("n_odd >= need_odd OR n_even >= need_even").select("id").distinct()
+    some = size.where("n > 0 AND doc_id IS NOT NULL")
+    classes = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("need_even").alias("need_even"), F.min("need_odd").alias("need_odd"))
+    classes = stage(classes.withColumnRenamed("k1", "id"), "ngram-classes")
+    buckets = max(shuffle_parts(docs.sparkSession), (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_RECORDS + 1)
+
+    reps = classes.select("rep", "id")
+    texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select("doc_id", "text", "id")
+    lists = shared_fragments(texts, buckets, num, den)
+    lists = stage(lists.join(reps, lists["doc_id"] == reps["rep"]).select("fragment", "odd", "id"), "ngram-lists")
+    sizes = classes.select("id", "n", "need_even", "need_odd")
+    counts = lists.groupBy("id").agg(F.count_if("odd").alias("n_odd"), F.count_if(~F.col("odd")).alias("n_even"))
+    able = counts.join(classes, "id").where("n_odd >= need_odd OR n_even >= need_even").select("rep", "id")
     able = stage(able, "ngram-able")
-    parts = stage(coarse_fragments(docs, able), "ngram-fragments")
-    near = shared_shingles(parts).join(sizes.groupBy("id").agg(F.min("n").alias("n")), "id").where(den * F.col("shared") >= num * F.col("n"))
+    parts = stage(coarse_fragments(docs.join(able, docs["doc_id"] == able["rep"]).select("text", "id")), "ngram-fragments")
+    near = shared_shingles(parts, buckets).join(sizes.select("id", "n"), "id").where(den * F.col("shared") >= num * F.col("n"))
     near = stage(near.select("id", "n", "shared", (1 - F.col("shared") / F.col("n")).alias("own")), "ngram-near")
     lists = stage(lists.join(near, "id"), "ngram-open")
-    best = F.min(F.struct("own", "id"))["id"].alias("a")
-    center = lists.groupBy("fragment").agg(best, F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("fragment", "a")
-    stars = lists.join(center, "fragment").where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "odd")
+    center = with_least(lists, ["fragment"], F.struct("own", "id"), "best").select("fragment", "odd", "id", F.col("best.id").alias("a"))
+    stars = center.where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "odd")
     stars = stage(_sharing_enough(stars, sizes, num, den), "ngram-stars")
     links = stage(count_overlaps(parts, stars, num, den), "ngram-links")
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -313,9 +323,29 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = links.unionByName(count_overlaps(parts, more, num, den))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    out = size.join(groups, size["rep"] == groups["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    joined = classes.join(groups, classes["id"] == groups["node"], "left").select("n", "k2", "rep", "id", F.coalesce("component", "id").alias("group"))
+    named = with_least(joined, ["group"], F.col("rep"), "component").select("n", F.col("id").alias("k1"), "k2", "component")
+    return size, named
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """One row per row of ``df``: (doc_id, n_shingles, component_id)."""
+    num, den = similarity
+    docs = two_columns(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    size, named = linked_sets(docs, num, den)
+    placed = by_class(size, named)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def by_class(size: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``size`` with the component of their class. A class of any number of rows
+    is read in as many parts as there are salts among its rows."""
+    keys = ["n", "k1", "k2"]
+    salted = size.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_parts(size.sparkSession))))
+    parts = salted.where("n > 0 AND doc_id IS NOT NULL").select(*keys, "salt").distinct()
+    spread = parts.join(named, keys)
+    return salted.join(spread, [*keys, "salt"], "left")
 
 
 def _sharing_enough(shared: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -329,12 +359,28 @@ def _sharing_enough(shared: DataFrame, sizes: DataFrame, num: int, den: int) ->
     return pairs.where(fits & enough).select("a", "b").distinct()
 
 
+@F.pandas_udf(LongType())
+def _class_key(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: set_key(shingles(t))[0])
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows of ``df``, all columns, that are the smallest of their group. Rows whose id
-    is null, or whose text has no words, stay."""
-    groups = similar_groups(df, id_col, text_col, similarity)
-    drop = groups.where("component_id != doc_id").select(F.col("doc_id").alias("similar_to_smaller")).distinct()
-    return df.join(drop, df[id_col] == drop["similar_to_smaller"], "left_anti")
+    is null, or whose text has no words, stay. Of rows that repeat an id each is judged by
+    its own text."""
+    num, den = similarity
+    docs = two_columns(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = by_class(*linked_sets(docs, num, den)).select("doc_id", "k1", F.coalesce(F.col("component") != F.col("doc_id"), F.lit(False)).alias("goes"))
+    name, key = fresh(df, "similar_to_smaller"), fresh(df, "class_key")
+    rows = stage(rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(name), F.col("k1").alias(key)).agg(F.max("goes").alias("goes")), "ngram-kept")
+    ids = rows.groupBy(name).agg(F.max("goes").alias("some"), F.min("goes").alias("all")).where("some")
+    same_id = F.col(id_col) == F.col(name)
+    whole = df.join(ids.select(name), same_id, "left_anti")
+    split = ids.where("NOT all").select(name)  # ids with texts of both kinds
+    some = df.join(split, same_id, "left_semi").withColumn(key, _class_key(F.coalesce(F.col(text_col), F.lit(""))))
+    gone = rows.join(split, name).where("goes").select(name, F.col(key).alias(key + "_"))
+    some = some.join(gone, same_id & (F.col(key) == F.col(key + "_")), "left_anti").drop(key)
+    return whole.unionByName(some)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -96,10 +96,30 @@ def test_odd_rows(spark, frame, empty):
 
 
 def test_words_in_chunks(monkeypatch):
-    text = "alpha beta gamma " * 50
-    whole = g.word_hashes(text.encode())
+    texts = ["alpha beta gamma " * 50, "a" * 64 + " " + "b" * 63 + " c", "x" * 500, " " * 64 + "y" * 200 + "  z", "q" * 128 + " r" + "s" * 62]
+    whole = [g.word_hashes(t.encode()) for t in texts]
     monkeypatch.setattr(g, "CHUNK", 64)
-    assert (g.word_hashes(text.encode()) == whole).all()
+    for text, hashes in zip(texts, whole):
+        assert g.word_hashes(text.encode()).tolist() == hashes.tolist()
+    monkeypatch.undo()
+    long_word = "w" * (3 * g.CHUNK + 5)
+    assert len(g.shingles(long_word)) == 1
+    assert g.shingles(f"one two {long_word} three four").tolist() == g.shingles(f"\n ONE  two {long_word} three four ").tolist()
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
+    text, other = " ".join(f"word{i}" for i in range(30)), " ".join(f"other{i}" for i in range(30))
+    rows = [(1, text), (2, text), (2, other), (3, other), (3, "alone"), (4, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, g.keep_one(df).collect())) == [(1, text), (2, other), (3, "alone")]
+
+
+def test_a_large_class_is_dealt_over_many_parts(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, text) for i in range(400)] + [(1000, text + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    out = g.similar_groups(df)
+    assert {r["component_id"] for r in out.collect()} == {0}
 
 
 def test_components_of_chains_and_stars(spark):
