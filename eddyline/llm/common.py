@@ -69,12 +69,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_least(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
-    """``df`` with the least ``value`` of each group as column ``out``. Groups may be of any
-    size: rows meet the result per salt, and the salts of one group are as many as there are
-    shuffle partitions at most."""
-    salt, part = fresh(df, "salt"), fresh(df, "salt_least")
+def with_least(df: DataFrame, keys: list[str], value: Column, out: str, how: str = "min") -> DataFrame:
+    """``df`` with the least ``value`` of each group (or the sum) as column ``out``. Groups may
+    be of any size: rows meet the result per salt, and the salts of one group are as many as
+    there are shuffle partitions at most."""
+    fold = {"min": F.min, "sum": F.sum}[how]
+    salt, part = fresh(df, "salt"), fresh(df, "salt_part")
     salted = df.withColumn(out, value).withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(shuffle_parts(df.sparkSession))))
-    some = salted.groupBy(*keys, salt).agg(F.min(out).alias(part))
-    least = some.groupBy(*keys).agg(F.min(part).alias(out))
-    return salted.drop(out).join(some.select(*keys, salt).join(least, keys), [*keys, salt]).drop(salt)
+    some = salted.groupBy(*keys, salt).agg(fold(out).alias(part))
+    whole = some.groupBy(*keys).agg(fold(part).alias(out))
+    return salted.drop(out).join(some.select(*keys, salt).join(whole, keys), [*keys, salt]).drop(salt)

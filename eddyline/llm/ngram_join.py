@@ -224,8 +224,8 @@ def shared_fragments(texts: DataFrame, buckets: int, num: int, den: int) -> Data
     return texts.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "fragment long, odd boolean, doc_id long")
 
 
-def coarse_fragments(texts: DataFrame) -> DataFrame:
-    """(id, f, n, part): the sets of ``texts`` (doc_id, text, id), cut into a few fragments."""
+def coarse_fragments(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, f, n, part): the sets of ``texts`` (text, id), cut into a few fragments."""
 
     def cut(batches):
         edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(32)) // np.uint64(FRAGMENTS) << np.uint64(32)
@@ -233,7 +233,7 @@ def coarse_fragments(texts: DataFrame) -> DataFrame:
             for part in by_bytes(batch, "text"):
                 out = []
                 for text, key in zip(part.column("text").to_pylist(), part.column("id").to_pylist()):
-                    s = shingles(text)
+                    s = shingles(text, words)
                     if set_key(s)[0] == key:
                         out += [(key, f, len(s), x.astype(np.int64)) for f, x in enumerate(np.split(s, np.searchsorted(s, edges)))]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
