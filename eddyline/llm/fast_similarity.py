@@ -197,9 +197,9 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     near = near.join(classes.select("id", "n"), "id").where(den * F.col("shared") >= num * F.col("n"))
     near = stage(near.select("id", "n", "shared", (1 - F.col("shared") / F.col("n")).alias("own")), "similarity-near")
     lists = stage(lists.join(near, "id"), "similarity-open")
-    center = with_least(lists, ["band"], F.struct("own", "id", "n", "shared"), "best")
+    center = lists.groupBy("band").agg(F.min(F.struct("own", "id", "n", "shared")).alias("best"))
     most = F.least("shared", "best.shared")  # no overlap is larger
-    stars = center.where((F.col("id") != F.col("best.id")) & (den * most >= num * (F.col("n") + F.col("best.n") - most)))
+    stars = lists.join(center, "band").where((F.col("id") != F.col("best.id")) & (den * most >= num * (F.col("n") + F.col("best.n") - most)))
     stars = stage(stars.select(F.least("id", "best.id").alias("a"), F.greatest("id", "best.id").alias("b")).distinct(), "similarity-stars")
     links = stage(count_overlaps(parts, stars, num, den), "similarity-links")
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

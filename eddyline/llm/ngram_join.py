@@ -25,9 +25,10 @@ is the global n-gram order, and ranges of it are the fragments.
    pair is in two components at the end, so components are exact without the pairs of a
    large group.
 
-One text per class sends its fragments, as packed rows, to buckets whose number follows
-the shingles of the corpus. Texts meet their class, classes their component and edges their
-star in salted groups, so a class or component may hold any share of the rows.
+Texts send their fragments, once per class and task, as packed rows to buckets whose number
+follows the shingles of the corpus; copies of a class meet there as one. Texts meet their
+class, classes their component and edges their star in salted groups, so a class or component
+may hold any share of the rows.
 
 Defined cases: a null text is empty; a text without words has no shingle and is linked
 with nothing; fewer words than ``WORDS`` make one shingle. Rows are judged by their text:
@@ -185,29 +186,31 @@ def fragment_hashes(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shared_fragments(texts: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(fragment, odd, doc_id): every fragment part that more than one of ``texts`` (doc_id,
-    text, id: one text per class) has, and whether its join class is odd."""
+def shared_fragments(docs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(fragment, odd, id): every fragment part that more than one class has, and whether its
+    join class is odd."""
 
     def send(batches):
+        seen: set[tuple] = set()
         for batch in batches:
             for part in by_bytes(batch, "text", 4 << 20):
                 hashes, ids = [], []
-                for doc_id, text, key in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "id"))):
-                    s = shingles(text)
-                    if set_key(s)[0] == key:
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    s = shingles(text) if doc_id is not None else ()
+                    if len(s) and (key := (len(s), *set_key(s))) not in seen:
+                        seen.add(key)
                         h = fragment_hashes(s, num, den)
-                        hashes.append(h), ids.append(np.full(len(h), doc_id, np.int64))
+                        hashes.append(h), ids.append(np.full(len(h), key[1], np.int64))
                 if hashes:
                     h = np.concatenate(hashes)
                     odd, body = (h >> np.uint64(63)).astype(np.uint8), h & np.uint64((1 << 63) - 1)
                     rest = body // np.uint64(buckets)
                     high = ((rest >> np.uint64(32)) & np.uint64(0x7F)).astype(np.uint8) | odd << np.uint8(7)
                     columns = [np.concatenate(ids), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), high]
-                    yield deal((body % np.uint64(buckets)).astype(np.int64), columns, (0,))
+                    yield deal((body % np.uint64(buckets)).astype(np.int64), columns)
 
     def meet(key, rows):
-        ids, low, high = gather(rows.column("blob").to_pylist(), [np.int64, np.uint32, np.uint8], (0,))
+        ids, low, high = gather(rows.column("blob").to_pylist(), [np.int64, np.uint32, np.uint8])
         h = high.astype(np.int64) << 32 | low
         order = np.lexsort((ids, h))
         h, ids = h[order], ids[order]
@@ -219,9 +222,9 @@ def shared_fragments(texts: DataFrame, buckets: int, num: int, den: int) -> Data
         twin[:-1] |= twin[1:]
         bucket = key[0].as_py()
         columns = [pa.array(h[twin] * buckets + bucket, pa.int64()), pa.array(h[twin] >> 39 == 1, pa.bool_()), pa.array(ids[twin], pa.int64())]
-        return pa.table(columns, ["fragment", "odd", "doc_id"])
+        return pa.table(columns, ["fragment", "odd", "id"])
 
-    return texts.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "fragment long, odd boolean, doc_id long")
+    return docs.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "fragment long, odd boolean, id long")
 
 
 def coarse_fragments(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -244,7 +247,8 @@ def coarse_fragments(texts: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
-    """(id, shared): how many shingles of each set at least one other set of ``parts`` has."""
+    """(id, shared): how many shingles of each set at least one other set of ``parts`` has.
+    Buckets of shingles send their counts on as packed rows, a bucket of ids each."""
 
     def send(batches):
         for batch in batches:
@@ -252,10 +256,10 @@ def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
             h = column.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
             ids = np.repeat(batch.column("id").to_numpy(), np.diff(column.offsets.to_numpy()))
             if len(h):
-                yield deal((h % np.uint64(buckets)).astype(np.int64), [ids, h // np.uint64(buckets)], (0,))
+                yield deal((h % np.uint64(buckets)).astype(np.int64), [ids, h // np.uint64(buckets)])
 
     def meet(key, rows):
-        ids, h = gather(rows.column("blob").to_pylist(), [np.int64, np.uint64], (0,))
+        ids, h = gather(rows.column("blob").to_pylist(), [np.int64, np.uint64])
         order = np.lexsort((ids, h))
         h, ids = h[order], ids[order]
         fresh_row = np.ones(len(h), bool)
@@ -267,10 +271,18 @@ def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
         last = np.append(head[1:], len(h)) - 1
         common = np.repeat(ids[head] != ids[last], last - head + 1)
         who, count = np.unique(ids[common], return_counts=True)
-        return pa.table([pa.array(who, pa.int64()), pa.array(count, pa.int64())], ["id", "shared"])
+        return pa.Table.from_batches([deal((mix(who) % np.uint64(buckets)).astype(np.int64), [who, count.astype(np.int64)])])
+
+    def add(key, rows):
+        who, count = gather(rows.column("blob").to_pylist(), [np.int64, np.int64])
+        ids, place = np.unique(who, return_inverse=True)
+        total = np.zeros(len(ids), np.int64)
+        np.add.at(total, place, count)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(total, pa.int64())], ["id", "shared"])
 
-    met = parts.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "id long, shared long")
-    return met.groupBy("id").agg(F.sum("shared").alias("shared"))
+    packed = "bucket int, blob binary"
+    met = parts.select("id", "part").mapInArrow(send, packed).groupBy("bucket").applyInArrow(meet, packed)
+    return met.groupBy("bucket").applyInArrow(add, "id long, shared long")
 
 
 def count_overlaps(parts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -293,10 +305,7 @@ def linked_sets(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     classes = stage(classes.withColumnRenamed("k1", "id"), "ngram-classes")
     buckets = max(shuffle_parts(docs.sparkSession), (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_RECORDS + 1)
 
-    reps = classes.select("rep", "id")
-    texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select("doc_id", "text", "id")
-    lists = shared_fragments(texts, buckets, num, den)
-    lists = stage(lists.join(reps, lists["doc_id"] == reps["rep"]).select("fragment", "odd", "id"), "ngram-lists")
+    lists = stage(shared_fragments(docs, buckets, num, den), "ngram-lists")
     sizes = classes.select("id", "n", "need_even", "need_odd")
     counts = lists.groupBy("id").agg(F.count_if("odd").alias("n_odd"), F.count_if(~F.col("odd")).alias("n_even"))
     able = counts.join(classes, "id").where("n_odd >= need_odd OR n_even >= need_even").select("rep", "id")
@@ -305,8 +314,8 @@ def linked_sets(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     near = shared_shingles(parts, buckets).join(sizes.select("id", "n"), "id").where(den * F.col("shared") >= num * F.col("n"))
     near = stage(near.select("id", "n", "shared", (1 - F.col("shared") / F.col("n")).alias("own")), "ngram-near")
     lists = stage(lists.join(near, "id"), "ngram-open")
-    center = with_least(lists, ["fragment"], F.struct("own", "id"), "best").select("fragment", "odd", "id", F.col("best.id").alias("a"))
-    stars = center.where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "odd")
+    center = lists.groupBy("fragment").agg(F.min(F.struct("own", "id"))["id"].alias("a"))
+    stars = lists.join(center, "fragment").where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "odd")
     stars = stage(_sharing_enough(stars, sizes, num, den), "ngram-stars")
     links = stage(count_overlaps(parts, stars, num, den), "ngram-links")
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
