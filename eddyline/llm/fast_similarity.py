@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from eddyline.llm.blobs import deal, gather, mix
 from eddyline.llm.common import by_bytes, shuffle_parts, table, two_columns, with_least
 from eddyline.llm.components import components
-from eddyline.llm.ngram_join import by_class, coarse_fragments, count_overlaps, set_key, shared_shingles, shingles
+from eddyline.llm.ngram_join import SHINGLE_GROUPS_SQL, by_class, coarse_fragments, count_overlaps, set_key, shared_shingles, shingles
 from eddyline.session import stage
 
 WORDS = 4
@@ -227,3 +227,6 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def op12_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = SHINGLE_GROUPS_SQL.format(words=WORDS, more=", coalesce(component_id, doc_id) = doc_id AS kept")

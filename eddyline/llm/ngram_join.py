@@ -394,3 +394,29 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+SHINGLE_GROUPS_SQL = """
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {words} - 1], ' ') AS shingle
+  FROM words, unnest(range(1, greatest(len(w) - {words} + 1, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id != b.doc_id
+    JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS node FROM sizes
+  UNION
+  SELECT doc_id, b FROM reached JOIN links ON node = a
+), least AS (
+  SELECT doc_id, min(node) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id{more}
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+OP9_SQL = SHINGLE_GROUPS_SQL.format(words=WORDS, more="")

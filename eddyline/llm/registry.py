@@ -10,16 +10,16 @@ import corpus_pipeline
 from eddyline.llm.byte_bpe import op6_byte_bpe
 from eddyline.llm.byte_cnn import op4_byte_cnn
 from eddyline.llm.exact_whitening import op13_exact_whitening
-from eddyline.llm.fast_similarity import op12_fast_similarity
+from eddyline.llm.fast_similarity import OP12_SQL, op12_fast_similarity
 from eddyline.llm.feistel_pseudonyms import op3_feistel_pseudonyms
-from eddyline.llm.ngram_join import op9_ngram_join
+from eddyline.llm.ngram_join import OP9_SQL, op9_ngram_join
 from eddyline.llm.pigeonhole import op2_pigeonhole
 from eddyline.llm.ordinal_toxicity import op7_ordinal_toxicity
 from eddyline.llm.quartile_digest import op10_quartile_digest
 from eddyline.llm.residue_negatives import OP11_SQL, op11_residue_negatives
 from eddyline.llm.secret_battery import op1_secret_battery
 from eddyline.llm.suffix_dedup import op5_suffix_dedup
-from eddyline.llm.warc_bundles import op8_warc_bundles
+from eddyline.llm.warc_bundles import OP8_SQL, op8_warc_bundles
 
 OPERATORS = (
     op1_secret_battery,
@@ -36,7 +36,7 @@ OPERATORS = (
     op12_fast_similarity,
     op13_exact_whitening,
 )
-SQL = {"op11_residue_negatives": OP11_SQL}
+SQL = {"op8_warc_bundles": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_residue_negatives": OP11_SQL, "op12_fast_similarity": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -318,10 +318,10 @@ def op11_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = """
 WITH given AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), scores AS (
   SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other_id, list_dot_product(a.x, b.x)::BIGINT AS score
   FROM given a JOIN given b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import bound_batches, by_bytes, table
+from eddyline.llm.common import bound_batches, by_bytes, shuffle_parts, table
 from eddyline.session import shared_dir, stage
 
 FRAME_BYTES = 1 << 20
@@ -142,12 +142,14 @@ def read_record(uri: str, frame_at: int, frame_size: int, at: int) -> tuple[dict
     return head, block
 
 
-def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(digest, first_id) of the payloads that more than one id has."""
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    narrow = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"), F.length(payload).alias("n"))
-    groups = narrow.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    return groups.where("first_id < last_id").select("digest", "first_id")
+def revisits(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """(digest, salt, first_id) of the payloads of ``rows`` (page_id, digest, salt, n) that
+    come again under another id or without one. A payload has a row per salt, so that the
+    pages of a popular one meet it in many tasks."""
+    some = rows.where(F.col("n") >= min_bytes).groupBy("digest", "salt").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count_if(F.col("page_id").isNull()).alias("unnamed"))
+    groups = some.groupBy("digest").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"), F.sum("unnamed").alias("unnamed"))
+    groups = groups.where("first_id < last_id OR unnamed > 0 AND first_id IS NOT NULL").select("digest", "first_id")
+    return some.select("digest", "salt").join(groups, "digest")
 
 
 def uri_of(folder: str) -> str:
@@ -160,10 +162,11 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     bound_batches(spark)
     folder = uri_of(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    first = revisits(pages, id_col, html_col, min_bytes)
-    first = stage(first, "warc-first")
-    known = rows.join(first, "digest", "left").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    page_id = F.col(id_col).cast("long").alias("page_id")
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(shuffle_parts(spark))).alias("salt")
+    rows = pages.select(page_id, F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), salt)
+    first = stage(revisits(rows.select("page_id", "digest", "salt", F.length("payload").alias("n")), min_bytes), "warc-first")
+    known = rows.join(first, ["digest", "salt"], "left").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
     def run(batches):
         fs, path = pafs.FileSystem.from_uri(folder)
@@ -199,8 +202,10 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 def read(index: DataFrame) -> DataFrame:
     """All records of the bundles an index names: (record_id, page_id, record_type,
     payload, payload_bytes, payload_digest, refers_to). ``payload`` of a revisit is null.
-    The digest of a response is taken anew and held against its header."""
+    The digest of a response is taken anew and held against its header. A task reads about
+    one bundle: the number of tasks is that of the bundles."""
     bundles = index.select("bundle").distinct()
+    bundles = bundles.repartition(max(1, bundles.count()), "bundle")
 
     def run(batches):
         for batch in batches:
@@ -228,3 +233,18 @@ def read(index: DataFrame) -> DataFrame:
 def op8_warc_bundles(spark, sf_dir: str) -> DataFrame:
     records = read(write(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH given AS (
+  SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+), digests AS (
+  SELECT *, unhex(sha1(html))::BIT::VARCHAR AS bits FROM given
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(5), lambda k: substr(bits, 1 + 5 * i + k, 1)::INTEGER * (16 >> k::INTEGER)))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM digests
+"""

@@ -42,6 +42,21 @@ def test_odd_rows_small_frames_and_seeks(spark, least):
         assert "\n" not in head["WARC-Target-URI"]
 
 
+def test_a_row_without_an_id_refers_to_the_known_one(spark):
+    rows = [(1, "same"), (1, "same"), (None, "same"), (None, "only here"), (None, "only here"), (2, "other"), (3, "other"), (None, "other")]
+    index = w.write(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string"))
+    assert got(w.read(index)) == brute(rows)
+
+
+def test_bundles_are_read_by_many_tasks_and_long_payloads_are_whole(spark):
+    rows = [(i, "y" * (3 << 20) + str(i % 4)) for i in range(8)] + [(i, "popular") for i in range(10, 300)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(8)
+    index = w.write(pages, bundle_bytes=64)
+    records = w.read(index)
+    assert records.rdd.getNumPartitions() == index.select("bundle").distinct().count() > 4
+    assert got(records) == brute(rows)
+
+
 def test_no_pages(spark):
     index = w.write(spark.createDataFrame([], "page_id long, url string, html string"))
     assert index.count() == 0 and w.read(index).count() == 0
