@@ -11,7 +11,7 @@ from eddyline.catalog.oracle_parts import oracle
 from eddyline.catalog.oracle_parts import r6 as R
 from eddyline.functions import distributions as D
 from eddyline.functions.predicates import SampleSpec
-from eddyline.plans import samples, stats, windows, winprob
+from eddyline.plans import decisions, resampling, samples, stats, windows, winprob
 from eddyline.session import stage
 
 QUERIES: dict = {}
@@ -39,6 +39,50 @@ def shots(t):
     return samples.split_by(t.plays, "shot_made", F.col("teamId").eqNullSafe(F.col("home_teamId")))
 
 
+def _integral(f, upper, steps=2000):
+    """Simpson's rule over [0, upper]; ``f`` maps the SQL of a place to that of a value."""
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"({upper}) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * ({f(f'(({upper}) * i / {steps}.0)')})))"
+
+
+def p_norm(z):
+    return f"greatest(0, 1 - 2 * {_integral(lambda x: f'exp(-{x} * {x} / 2) / sqrt(2 * pi())', f'least(abs({z}), 12)')})"
+
+
+def p_t(t, v):
+    return f"greatest(0, 1 - 2 * {_integral(lambda x: f'exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi()) * pow(1 + {x} * {x} / {v}, -({v} + 1) / 2.0)', f'abs({t})')})"
+
+
+def p_chi2(q, k):
+    """The density of the root of the statistic is smooth for every k."""
+    return f"greatest(0, 1 - {_integral(lambda x: f'2 * pow({x}, {k} - 1) * exp(-{x} * {x} / 2) / (pow(2, {k} / 2.0) * exp(lgamma({k} / 2.0)))', f'sqrt({q})')})"
+
+
+def q_t(v):
+    """0.975 quantile by an expansion around the normal one, for many degrees of freedom."""
+    z = "1.959963984540054"
+    terms = f"(pow({z}, 3) + {z}) / (4 * {v}) + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / (96 * pow({v}, 2)) + (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / (384 * pow({v}, 3))"
+    return f"{z} + {terms}"
+
+
+def q_chi2(rows, steps=4):
+    """Tables that add q95, the 0.95 quantile for ``dof``, to ``rows``: Newton steps from the
+    cube root form."""
+    tables = {"q0": f"SELECT *, dof * pow(1 - 2 / (9.0 * dof) + 1.6448536269514722 * sqrt(2 / (9.0 * dof)), 3) AS q95 FROM {rows}"}
+    density = "exp((dof / 2.0 - 1) * ln(q95) - q95 / 2 - lgamma(dof / 2.0) - dof / 2.0 * ln(2))"
+    for k in range(1, steps + 1):
+        tables[f"q{k}"] = f"SELECT * EXCLUDE (q95), q95 + ({p_chi2('q95', 'dof')} - 0.05) / {density} AS q95 FROM q{k - 1}"
+    return tables
+
+
+def verdict(condition):
+    return f"CASE WHEN {condition} THEN 'Reject H0' ELSE 'Fail to Reject H0' END AS decision"
+
+
+def sig(p):
+    return f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE 'n.s.' END AS sig"
+
+
 BOTH = {
     "m": """SELECT season_type, count(x) FILTER (WHERE sample = 'a') AS n_a, count(x) FILTER (WHERE sample = 'b') AS n_b,
 avg(x) FILTER (WHERE sample = 'a') AS ma, avg(x) FILTER (WHERE sample = 'b') AS mb, var_samp(x) FILTER (WHERE sample = 'a') AS va, var_samp(x) FILTER (WHERE sample = 'b') AS vb,
@@ -55,10 +99,19 @@ def _(t):
     return rounded(out.select("season_type", "n_a", "n_b", "diff", "t_stat", "df"), ["diff", "t_stat", "df"])
 
 
-@register("test_welch_p")
+WELCH = {**BOTH, "wl": f"SELECT season_type, least(n_a, n_b) - 1 AS less, (ma - mb) / sqrt(va / n_a + vb / n_b) AS t, {WELCH_DF} AS v FROM m", "wp": f"SELECT *, {p_t('t', 'v')} AS p FROM wl"}
+
+
+@register("test_welch_p", f"SELECT season_type, {R('t', 't_stat')}, {R('v', 'df')}, {R('p', 'p_value')}, {sig('p')} FROM wp", WELCH)
 def _(t):
     out = stats.welch_p(stats.two_sample(points(t), ["season_type"], "value"))
-    return out.select("season_type", "t_stat", "df", "p_value", "sig")
+    return rounded(out.select("season_type", "t_stat", "df", "p_value", "sig"), ["t_stat", "df", "p_value"])
+
+
+@register("test_welch_decision", f"SELECT season_type, {R('t', 't_stat')}, {R('p', 'p_value')}, {R(q_t('less'), 'critical_value')}, {verdict('p < 0.05')} FROM wp", WELCH)
+def _(t):
+    out = decisions.welch(stats.two_sample(points(t), ["season_type"], "value"))
+    return rounded(out.select("season_type", "t_stat", "p_value", "critical_value", "decision"), ["t_stat", "p_value", "critical_value"])
 
 
 ONE = f"count(*) AS n, {R('avg(x)', 'mean')}, {R('stddev_samp(x)', 'std')}, {R('avg(x) / (stddev_samp(x) / sqrt(count(*)))', 't_stat')}"
@@ -70,10 +123,13 @@ def _(t):
     return rounded(stats.one_sample(rows, ["season"], "net_change"), ["mean", "std", "t_stat"])
 
 
-@register("test_t1_p")
+ONE_P = {"t1": "SELECT season, count(*) AS n, avg(net_change) AS mean, stddev_samp(net_change) AS std, avg(net_change) / (stddev_samp(net_change) / sqrt(count(*))) AS t FROM evw GROUP BY season", "t1p": f"SELECT *, {p_t('t', '(n - 1)')} AS p FROM t1"}
+
+
+@register("test_t1_p", f"SELECT season, n, {R('mean', 'mean')}, {R('std', 'std')}, {R('t', 't_stat')}, {R('p', 'p_value')}, {sig('p')} FROM t1p", ONE_P)
 def _(t):
     rows = windows.event_windows(t.enriched, t.possessions)
-    return stats.one_sample_p(stats.one_sample(rows, ["season"], "net_change"))
+    return rounded(stats.one_sample_p(stats.one_sample(rows, ["season"], "net_change")), ["mean", "std", "t_stat", "p_value"])
 
 
 GLRT = f"count(*) AS n, {R('avg(x)', 'mean')}, {R('stddev_samp(x)', 'std')}, {R('var_pop(x)', 'sigma2_h1')}, {R('var_pop(x) + avg(x) * avg(x)', 'sigma2_h0')}, {R('count(*) * ln(1 + avg(x) * avg(x) / var_pop(x))', 'glrt_stat')}, {R('avg(x) / (stddev_samp(x) / sqrt(count(*)))', 't_stat')}"
@@ -92,10 +148,18 @@ def _(t):
     return rounded(stats.glrt_zero_mean(rows, ["time_bucket"], "excess_net_post", 10), GLRT_COLS)
 
 
-@register("glrt_groups_p")
+GLRT_P = {
+    "gz": "SELECT time_bucket, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, var_pop(x) AS h1, var_pop(x) + avg(x) * avg(x) AS h0, count(*) * ln(1 + avg(x) * avg(x) / var_pop(x)) AS g, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t FROM (SELECT time_bucket, excess_net_post AS x FROM evb WHERE excess_net_post IS NOT NULL) q GROUP BY time_bucket HAVING count(*) >= 10",
+    "gp": f"SELECT *, {p_chi2('g', '1')} AS pg, {p_t('t', '(n - 1)')} AS pt FROM gz",
+}
+
+
+@register("glrt_groups_p", f"SELECT time_bucket, n, {R('mean', 'mean')}, {R('std', 'std')}, {R('h1', 'sigma2_h1')}, {R('h0', 'sigma2_h0')}, {R('g', 'glrt_stat')}, {R('t', 't_stat')}, {R('pg', 'glrt_p')}, {R('pt', 't_p')}, {R('3.841458820694124', 'critical_value')}, g > 3.841458820694124 AS reject, {sig('pg')} FROM gp", GLRT_P)
 def _(t):
     rows = windows.full_event_table(t.enriched, t.spine, t.possessions)
-    return stats.glrt_zero_mean_p(stats.glrt_zero_mean(rows, ["time_bucket"], "excess_net_post", 10))
+    out = stats.glrt_zero_mean_p(stats.glrt_zero_mean(rows, ["time_bucket"], "excess_net_post", 10))
+    # the interval needs quantiles for few degrees of freedom: see the unit tests
+    return rounded(out.drop("ci_low", "ci_high"), [*GLRT_COLS, "glrt_p", "t_p", "critical_value"])
 
 
 SWEEP = {
@@ -131,10 +195,19 @@ def _(t):
     return rounded(out.select("season_type", "n_a", "n_b", "p1", "p2", "pooled", "z_stat"), ["p1", "p2", "pooled", "z_stat"])
 
 
-@register("test_prop_z_p")
+PROP = {**BOTH, "pz": "SELECT season_type, (xa / n_a - xb / n_b) / sqrt((xa + xb) / (n_a + n_b) * (1 - (xa + xb) / (n_a + n_b)) * (1 / n_a + 1 / n_b)) AS z FROM ms"}
+
+
+@register("test_prop_z_p", f"SELECT season_type, {R('z', 'z_stat')}, {R(p_norm('z'), 'p_value')} FROM pz", PROP)
 def _(t):
     out = stats.prop_z(stats.two_sample(shots(t), ["season_type"], "value"))
-    return out.select("season_type", "z_stat", D.p_norm_two_sided(F.col("z_stat")).alias("p_value"))
+    return rounded(out.select("season_type", "z_stat", D.p_norm_two_sided(F.col("z_stat")).alias("p_value")), ["z_stat", "p_value"])
+
+
+@register("test_prop_z_decision", f"SELECT season_type, {R('z', 'z_stat')}, {R(p_norm('z'), 'p_value')}, {R('1.959963984540054', 'critical_value')}, {verdict('abs(z) > 1.959963984540054')} FROM pz", PROP)
+def _(t):
+    out = decisions.prop_z(stats.two_sample(shots(t), ["season_type"], "value"))
+    return rounded(out.select("season_type", "z_stat", "p_value", "critical_value", "decision"), ["z_stat", "p_value", "critical_value"])
 
 
 CHI = {
@@ -170,10 +243,24 @@ def _(t):
     return rounded(out.drop("cramers_v"), ["chi2", "n_a", "n_b"])
 
 
-@register("test_chi2_p")
+CHI_P = {**CHI, "cs": "SELECT season_type, count(*) AS k, CAST(any_value(na) AS BIGINT) AS n_a, CAST(any_value(nb) AS BIGINT) AS n_b, sum(pow(a - na * (a + b) / (na + nb), 2) / (na * (a + b) / (na + nb)) + pow(b - nb * (a + b) / (na + nb), 2) / (nb * (a + b) / (na + nb))) AS q, count(*) - 1 AS dof FROM cx GROUP BY season_type"}
+
+
+@register("test_chi2_p", f"SELECT season_type, k, n_a, n_b, {R('q', 'chi2')}, dof, {R('sqrt(q / (n_a + n_b))', 'cramers_v')}, {R(p_chi2('q', 'dof'), 'p_value')} FROM cs", CHI_P)
 def _(t):
     out = stats.chi2_independence(_outcome_samples(t), ["season_type"], "outcome")
-    return out.withColumn("p_value", D.p_chi2(F.col("chi2"), F.col("dof")))
+    return rounded(out.withColumn("p_value", D.p_chi2(F.col("chi2"), F.col("dof"))), ["chi2", "cramers_v", "p_value"])
+
+
+@register("test_chi2_decision", f"SELECT season_type, {R('q', 'chi2')}, {R(p_chi2('q', 'dof'), 'p_value')}, {R('q95', 'critical_value')}, {verdict('q > q95')} FROM q4", {**CHI_P, **q_chi2("cs")})
+def _(t):
+    out = decisions.chi2(_outcome_samples(t), ["season_type"], "outcome")
+    return rounded(out.select("season_type", "chi2", "p_value", "critical_value", "decision"), ["chi2", "p_value", "critical_value"])
+
+
+@register("test_chi2_expected", f"SELECT season_type, outcome, a AS observed_a, b AS observed_b, {R('na * (a + b) / (na + nb)', 'expected_a')}, {R('nb * (a + b) / (na + nb)', 'expected_b')} FROM cx WHERE outcome IS NOT NULL", CHI)
+def _(t):
+    return rounded(decisions.chi2_expected(_outcome_samples(t), ["season_type"], "outcome"), ["expected_a", "expected_b"])
 
 
 VALUES = {
@@ -189,10 +276,55 @@ def _(t):
     return rounded(stats.mann_whitney(points(t), ["season_type"], "value"), ["u_stat", "z_stat"])
 
 
-@register("test_mann_whitney_p")
+MANN = {**VALUES, "mz": "SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z FROM mw2"}
+
+
+@register("test_mann_whitney_p", f"SELECT season_type, n1::BIGINT AS n_a, n2::BIGINT AS n_b, {R('u', 'u_stat')}, {R('z', 'z_stat')}, {R(p_norm('greatest(z, 0)'), 'p_value')}, 'normal' AS method, {verdict(p_norm('greatest(z, 0)') + ' < 0.05')} FROM mz", MANN)
+def _(t):
+    return rounded(decisions.mann_whitney(points(t), ["season_type"], "value"), ["u_stat", "z_stat", "p_value"])
+
+
+def waits(t):
+    """A value per event: interventions (a) against stoppages (b) of each game, few rows each."""
+    kind = F.when(F.col("actionType") == "timeout", F.lit("a")).when(F.col("actionType") == "stoppage", F.lit("b"))
+    return t.spine.select("gameId", "value", kind.alias("sample")).where("sample IS NOT NULL")
+
+
+SMALL = {
+    "sm": "SELECT gameId, value AS x, CASE actionType WHEN 'timeout' THEN 'a' ELSE 'b' END AS sample FROM spine WHERE actionType IN ('timeout', 'stoppage')",
+    "sv": "SELECT gameId, x, count(*) FILTER (WHERE sample = 'a') AS na, count(*) FILTER (WHERE sample = 'b') AS nb FROM sm GROUP BY ALL",
+    "sr": "SELECT *, sum(na) OVER w AS ca, sum(nb) OVER w AS cb, sum(na) OVER g AS ta, sum(nb) OVER g AS tb FROM sv WINDOW w AS (PARTITION BY gameId ORDER BY x ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY gameId)",
+}
+RANK_SMALL = {
+    **SMALL,
+    "sw": "SELECT gameId, CAST(sum(na) AS BIGINT) AS n1, CAST(sum(nb) AS BIGINT) AS n2, sum(na * (ca + cb - (na + nb) + (na + nb + 1) / 2)) - sum(na) * (sum(na) + 1) / 2 AS u, sum(pow(na + nb, 3) - (na + nb)) AS ties FROM sr GROUP BY gameId",
+    "sz": "SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM sw",
+    # arrangements of n and m labels with each U, label by label
+    "arr": """WITH RECURSIVE f AS (SELECT 0 AS n, 0 AS m, 0 AS u, 1.0::DOUBLE AS c UNION ALL
+SELECT n, m, u, sum(c) FROM (SELECT n + 1 AS n, m, u + m AS u, c FROM f WHERE n < 8 UNION ALL SELECT n, m + 1, u, c FROM f WHERE n + m < 60) q GROUP BY n, m, u) SELECT * FROM f""",
+    "tail": "SELECT s.gameId, least(1, 2 * sum(a.c) FILTER (WHERE a.u <= least(s.u, n1 * n2 - s.u)) / sum(a.c)) AS p FROM sz s JOIN arr a ON a.n = least(n1, n2) AND a.m = greatest(n1, n2) GROUP BY s.gameId",
+}
+RANK_P = f"CASE WHEN least(n1, n2) <= 8 AND ties = 0 THEN p ELSE {p_norm('greatest(z, 0)')} END"
+
+
+@register("test_mann_whitney_exact", f"SELECT gameId, n1 AS n_a, n2 AS n_b, {R('u', 'u_stat')}, {R('z', 'z_stat')}, CASE WHEN least(n1, n2) <= 8 AND ties = 0 THEN 'exact' ELSE 'normal' END AS method, {R(RANK_P, 'p_value')}, {verdict(RANK_P + ' < 0.05')} FROM sz LEFT JOIN tail USING (gameId)", RANK_SMALL)
+def _(t):
+    return rounded(decisions.mann_whitney(waits(t), ["gameId"], "value"), ["u_stat", "z_stat", "p_value"])
+
+
+KS_SMALL = {
+    **SMALL,
+    "sd": "SELECT gameId, CAST(any_value(ta) AS BIGINT) AS n1, CAST(any_value(tb) AS BIGINT) AS n2, max(abs(ca / ta - cb / tb)) AS d, CAST(max(abs(ca * tb - cb * ta)) AS BIGINT) AS h FROM sr GROUP BY gameId",
+    # lattice paths that stay inside the band, step by step
+    "lat": """WITH RECURSIVE f AS (SELECT gameId, n1, n2, h, 0 AS i, 0 AS j, 1.0::DOUBLE AS c FROM sd UNION ALL
+SELECT gameId, n1, n2, h, i, j, sum(c) FROM (SELECT gameId, n1, n2, h, i + 1 AS i, j, c FROM f WHERE i < n1 UNION ALL SELECT gameId, n1, n2, h, i, j + 1, c FROM f WHERE j < n2) q WHERE abs(i * n2 - j * n1) < h GROUP BY ALL) SELECT * FROM f""",
+    "kp": "SELECT s.gameId, any_value(s.n1) AS n1, any_value(s.n2) AS n2, any_value(d) AS d, greatest(0, 1 - coalesce(max(c) FILTER (WHERE i = l.n1 AND j = l.n2), 0) / exp(lgamma(any_value(s.n1) + any_value(s.n2) + 1) - lgamma(any_value(s.n1) + 1) - lgamma(any_value(s.n2) + 1))) AS p FROM sd s LEFT JOIN lat l USING (gameId) GROUP BY s.gameId",
+}
+
+
+@register("test_ks2_exact", f"SELECT gameId, {R('d', 'd_stat')}, n1 AS n_a, n2 AS n_b, {R('p', 'p_value')}, {verdict('p < 0.05')} FROM kp", KS_SMALL)
 def _(t):
-    out = stats.mann_whitney(points(t), ["season_type"], "value")
-    return out.withColumn("p_value", D.p_norm_two_sided(F.col("z_stat")))
+    return rounded(decisions.ks_two_sample(waits(t), ["gameId"], "value"), ["d_stat", "p_value"])
 
 
 @register("test_ks2", f"SELECT season_type, {R('max(abs(ca / ta - cb / tb))', 'd_stat')}, CAST(any_value(ta) AS BIGINT) AS n_a, CAST(any_value(tb) AS BIGINT) AS n_b FROM vr GROUP BY season_type", VALUES)
@@ -200,19 +332,55 @@ def _(t):
     return rounded(stats.ks_two_sample(points(t), ["season_type"], "value"), ["d_stat"])
 
 
-@register("test_ks2_p")
+# the same walk, as probabilities: each step takes a label of what is left
+KS_P = {
+    **VALUES,
+    "kd": "SELECT season_type, CAST(any_value(ta) AS BIGINT) AS n1, CAST(any_value(tb) AS BIGINT) AS n2, max(abs(ca / ta - cb / tb)) AS d, CAST(max(abs(ca * tb - cb * ta)) AS BIGINT) AS h FROM vr GROUP BY season_type",
+    "walk": """WITH RECURSIVE f AS (SELECT season_type, n1, n2, h, 0 AS i, 0 AS j, 1.0::DOUBLE AS c FROM kd UNION ALL
+SELECT season_type, n1, n2, h, i, j, sum(c) FROM (SELECT season_type, n1, n2, h, i + 1 AS i, j, c * (n1 - i) / (n1 + n2 - i - j) AS c FROM f WHERE i < n1 UNION ALL SELECT season_type, n1, n2, h, i, j + 1, c * (n2 - j) / (n1 + n2 - i - j) FROM f WHERE j < n2) q WHERE abs(i * n2 - j * n1) < h GROUP BY ALL) SELECT * FROM f WHERE i = n1 AND j = n2""",
+    "kq": "SELECT kd.*, greatest(0, 1 - coalesce(c, 0)) AS p FROM kd LEFT JOIN walk USING (season_type)",
+}
+
+
+@register("test_ks2_p", f"SELECT season_type, {R('d', 'd_stat')}, n1 AS n_a, n2 AS n_b, {R('p', 'p_value')}, {verdict('p < 0.05')} FROM kq", KS_P)
 def _(t):
-    return stats.ks_p(stats.ks_two_sample(points(t), ["season_type"], "value"))
+    return rounded(decisions.ks_two_sample(points(t), ["season_type"], "value"), ["d_stat", "p_value"])
 
 
 @register("test_permutation")
 def _(t):
-    return stats.permutation_test(points(t), "value")
+    return resampling.permutation_test(points(t), "value")
 
 
 @register("test_bootstrap")
 def _(t):
-    return stats.bootstrap_ci(points(t), "value")
+    return resampling.bootstrap_ci(points(t), "value")
+
+
+NULLS = {
+    "nm": "SELECT count(*) FILTER (WHERE sample = 'a') AS a, count(*) FILTER (WHERE sample = 'b') AS b, var_samp(x) AS v, var_pop(x) FILTER (WHERE sample = 'a') AS va, var_pop(x) FILTER (WHERE sample = 'b') AS vb, avg(x) FILTER (WHERE sample = 'a') - avg(x) FILTER (WHERE sample = 'b') AS diff FROM {rows}",
+}
+NULL_ROWS = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"check\", {R(v, 'expected')}, true AS ok FROM nm"
+    for c, v in (
+        ("permutation sizes", "a + b"),
+        ("permutation mean", "0"),
+        ("permutation variance", "v * (1.0 / a + 1.0 / b)"),
+        ("bootstrap sizes", "a + b"),
+        ("bootstrap mean", "diff"),
+        ("bootstrap variance", "va / a + vb / b"),
+    )
+)
+
+
+@register("test_resampling_checks", NULL_ROWS, {"nm": NULLS["nm"].format(rows="samp")})
+def _(t):
+    return rounded(resampling.null_checks(points(t), "value"), ["expected"])
+
+
+@register("test_resampling_checks_many_values", NULL_ROWS, {**SMALL, "nm": NULLS["nm"].format(rows="sm")})
+def _(t):
+    return rounded(resampling.null_checks(waits(t), "value", replicates=2500, blocks=256), ["expected"])
 
 
 def lnv(v):
@@ -238,10 +406,19 @@ def _(t):
     return longs(rounded(out.select("season_type", "glrt_stat", "dof"), ["glrt_stat"]), ["dof"])
 
 
-@register("test_glrt2_p")
+GLRT2 = {**BOTH, "g2": f"SELECT *, (n_a + n_b) * {lnv('pv')} - n_a * {lnv('pa')} - n_b * {lnv('pb')} AS g FROM m"}
+
+
+@register("test_glrt2_p", f"SELECT season_type, {R('g', 'glrt_stat')}, {R(p_chi2('g', '2'), 'p_value')} FROM g2", GLRT2)
 def _(t):
     out = stats.glrt_two_sample(stats.two_sample(points(t), ["season_type"], "value"))
-    return out.select("season_type", "glrt_stat", D.p_chi2(F.col("glrt_stat"), F.col("dof")).alias("p_value"))
+    return rounded(out.select("season_type", "glrt_stat", D.p_chi2(F.col("glrt_stat"), F.col("dof")).alias("p_value")), ["glrt_stat", "p_value"])
+
+
+@register("test_glrt2_decision", f"SELECT season_type, {R('g', 'glrt_stat')}, {R('5.991464547107979', 'critical_value')}, {verdict('g > 5.991464547107979')} FROM g2", GLRT2)
+def _(t):
+    out = decisions.glrt(stats.two_sample(points(t), ["season_type"], "value"))
+    return rounded(out.select("season_type", "glrt_stat", "critical_value", "decision"), ["glrt_stat", "critical_value"])
 
 
 @register("test_neyman_pearson", f"SELECT season_type, {R('n_a * pow(ma - mb, 2) / (2 * pa)', 'llr')}, {R('(n_a * pow(ma - mb, 2) / (2 * pa) + n_a * pow(ma - mb, 2) / (2 * pa)) / (sqrt(n_a * pow(ma - mb, 2) / pa) + 1e-15)', 'z_stat')} FROM m", BOTH)
@@ -250,10 +427,18 @@ def _(t):
     return rounded(out.select("season_type", "llr", "z_stat"), ["llr", "z_stat"])
 
 
-@register("test_neyman_pearson_p")
+POWER = {
+    **BOTH,
+    "np": "SELECT season_type, n_a * pow(ma - mb, 2) / (2 * pa) AS llr, n_a * pow(ma - mb, 2) / pa AS s2 FROM m",
+    "nq": f"SELECT *, -llr + 1.6448536269514722 * sqrt(s2) AS threshold, {p_norm('2 * llr / (sqrt(s2) + 1e-15)')} / 2 AS p FROM np",
+}
+
+
+@register("test_neyman_pearson_p", f"SELECT season_type, {R('llr', 'llr')}, {R('threshold', 'threshold')}, llr > threshold AS reject, {R('p', 'p_value')} FROM nq", POWER)
 def _(t):
     out = stats.neyman_pearson(stats.two_sample(points(t), ["season_type"], "value"))
-    return out.select("season_type", "llr", "threshold", "reject", D.p_norm_upper(F.col("z_stat")).alias("p_value"))
+    out = out.select("season_type", "llr", "threshold", "reject", D.p_norm_upper(F.col("z_stat")).alias("p_value"))
+    return rounded(out, ["llr", "threshold", "p_value"])
 
 
 SPRT = {

@@ -188,6 +188,10 @@ def q_t(p: float, df: Column) -> Column:
     return _column(lambda v: t_quantile(p, v))(df.cast("double"))
 
 
+def q_chi2(p: float, df: Column) -> Column:
+    return _column(lambda v: chi2_quantile(p, v))(df.cast("double"))
+
+
 def critical_chi2(alpha: float = 0.05, df: int = 1) -> float:
     return float(chi2_quantile(np.array([1 - alpha]), np.array([float(df)]))[0])
 

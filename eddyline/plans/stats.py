@@ -10,8 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from eddyline.config import SPINE, Spine
 from eddyline.functions import distributions as D
 from eddyline.operators.aggregates import ROWS_PER_BLOCK, value_prefix
 from eddyline.operators.scan import Sum, scan
-from eddyline.session import stage
 
 EPS = 1e-15
 
@@ -178,8 +175,11 @@ def rank_avg(df: DataFrame, by: Sequence[str], value: str, rows_per_block: int =
     return rows.select(*by, value, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("avg_rank"))
 
 
-def mann_whitney(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """U of sample a with the tie-corrected, continuity-corrected normal z."""
+def mann_whitney(
+    df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", rows_per_block: int = ROWS_PER_BLOCK, ties: bool = False
+) -> DataFrame:
+    """U of sample a with the tie-corrected, continuity-corrected normal z; with ``ties`` also
+    the sum of t^3 - t over the values, which is 0 if nothing is tied."""
     rows = two_sample_values(df, by, value, sample, rows_per_block)
     t = (F.col("na") + F.col("nb")).cast("double")
     rank = F.col("cum_na") + F.col("cum_nb") - t + (t + 1) / 2
@@ -195,7 +195,8 @@ def mann_whitney(df: DataFrame, by: Sequence[str], value: str, sample: str = "sa
     mu = n1 * n2 / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / _nz(n * (n - 1))))
     z = (F.greatest(u, n1 * n2 - u) - mu - 0.5) / _nz(sd)
-    return out.withColumn("u_stat", u).withColumn("z_stat", z).select(*by, "n_a", "n_b", "u_stat", "z_stat")
+    out = out.withColumn("u_stat", u).withColumn("z_stat", z).withColumnRenamed("_ties", "ties")
+    return out.select(*by, "n_a", "n_b", "u_stat", "z_stat", *(["ties"] if ties else []))
 
 
 def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, sample: str = "sample", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -206,12 +207,6 @@ def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, sample: str = "s
     )
 
 
-def ks_p(stats: DataFrame) -> DataFrame:
-    """Large-sample p value of the two-sample statistic."""
-    scale = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
-    return stats.withColumn("p_value", D.p_kolmogorov(scale * F.col("d_stat")))
-
-
 def glrt_two_sample(m: DataFrame, dof: int = 2) -> DataFrame:
     """Two-sample likelihood ratio: Bernoulli for 0/1 samples, else normal with
     free mean and variance."""
@@ -312,89 +307,6 @@ def joint_detect_estimate(m: DataFrame, alpha: float = 0.05, dof: int = 2) -> Da
     )
 
 
-# --- resampling ---------------------------------------------------------------
-#
-# A resample is drawn on counts per distinct value: the number of rows of a value
-# that fall into a replicate is one binomial or Poisson draw. Draws are seeded by
-# the value, so a retried task repeats them. Tasks emit partial sums.
-
-VALUES_PER_TASK = 2000
-REPLICATE_SUMS = "replicate int, n_a double, s_a double, n_b double, s_b double"
-
-
-def _value_seed(value: float, seed: int) -> np.random.Generator:
-    bits = np.float64(value).view(np.uint64)
-    return np.random.Generator(np.random.Philox(key=[int(bits), seed]))
-
-
-def _replicate_sums(counts: DataFrame, replicates: int, draw) -> DataFrame:
-    def partial(batches):
-        total = np.zeros((4, replicates))
-        for pdf in batches:
-            for value, na, nb in zip(pdf["value"], pdf["na"], pdf["nb"], strict=True):
-                ra, rb = draw(float(value), int(na), int(nb))
-                total += np.stack([ra, ra * value, rb, rb * value])
-        yield pd.DataFrame(
-            {"replicate": np.arange(replicates, dtype=np.int32), "n_a": total[0], "s_a": total[1], "n_b": total[2], "s_b": total[3]}
-        )
-
-    tasks = max(1, -(-counts.count() // VALUES_PER_TASK))
-    sums = counts.repartition(tasks, "value").mapInPandas(partial, REPLICATE_SUMS)
-    out = sums.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n_a", "s_a", "n_b", "s_b")])
-    diff = F.col("s_a") / _nz(F.col("n_a")) - F.col("s_b") / _nz(F.col("n_b"))
-    return out.withColumn("diff", diff)
-
-
-def _sample_counts(df: DataFrame, value: str, sample: str) -> DataFrame:
-    na, nb = F.count_if(F.col(sample) == "a"), F.count_if(F.col(sample) == "b")
-    rows = df.where(F.col(value).isNotNull() & F.col(sample).isin("a", "b"))
-    return rows.groupBy(F.col(value).cast("double").alias("value")).agg(na.alias("na"), nb.alias("nb"))
-
-
-def permutation_test(df: DataFrame, value: str, sample: str = "sample", replicates: int = 9999, seed: int = 7) -> DataFrame:
-    """Mean difference against relabelled replicates; p counts the observed one.
-
-    Each row keeps label a with probability n_a / n, so group sizes vary slightly
-    around the observed ones from replicate to replicate.
-    """
-    counts = stage(_sample_counts(df, value, sample), "counts")
-    sizes = counts.agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum(F.col("na") * F.col("value")).alias("sa"), F.sum(F.col("nb") * F.col("value")).alias("sb")).first()
-    share = (sizes["na"] or 0) / max((sizes["na"] or 0) + (sizes["nb"] or 0), 1)
-    observed = (sizes["sa"] or 0) / max(sizes["na"] or 0, 1) - (sizes["sb"] or 0) / max(sizes["nb"] or 0, 1)
-
-    def draw(v, na, nb):
-        a = _value_seed(v, seed).binomial(na + nb, share, replicates).astype(float)
-        return a, (na + nb) - a
-
-    sums = _replicate_sums(counts, replicates, draw)
-    extreme = F.count_if(F.abs("diff") >= abs(observed) - 1e-12)
-    return sums.agg(
-        F.lit(observed).alias("statistic"),
-        F.count("*").alias("replicates"),
-        ((extreme + 1) / (F.count("*") + 1)).alias("p_value"),
-    )
-
-
-def bootstrap_ci(
-    df: DataFrame, value: str, sample: str = "sample", replicates: int = 9999, confidence: float = 0.95, seed: int = 7
-) -> DataFrame:
-    """Percentile interval of the mean difference, by Poisson resampling."""
-    counts = stage(_sample_counts(df, value, sample), "counts")
-
-    def draw(v, na, nb):
-        rng = _value_seed(v, seed)
-        return rng.poisson(na, replicates).astype(float), rng.poisson(nb, replicates).astype(float)
-
-    tail = (1 - confidence) / 2
-    sums = _replicate_sums(counts, replicates, draw)
-    # one number per replicate: an exact percentile over a fixed, small set
-    return sums.agg(
-        F.count("*").alias("replicates"),
-        F.percentile("diff", F.lit(tail)).alias("ci_low"),
-        F.percentile("diff", F.lit(1 - tail)).alias("ci_high"),
-    )
-
-
 def subsample_n(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
     """A reproducible sample of n rows: the smallest digests of (seed, key)."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))

@@ -1,10 +1,13 @@
+import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from eddyline.functions import distributions as D
-from eddyline.plans import stats, windows, winprob
+from eddyline.functions import exact_tails
+from eddyline.plans import decisions, resampling, stats, windows, winprob
 
 
 def frame(spark, a, b):
@@ -92,11 +95,97 @@ def test_resampling_agrees_with_welch(spark):
     rng = np.random.default_rng(9)
     df = frame(spark, np.round(rng.normal(0.35, 1, 120), 1), np.round(rng.normal(0, 1, 150), 1))
     p_welch = stats.welch_p(stats.two_sample(df, [], "value")).first()["p_value"]
-    perm = stats.permutation_test(df, "value", replicates=4000).first()
+    perm = resampling.permutation_test(df, "value", replicates=4000).first()
     assert perm["p_value"] == pytest.approx(p_welch, abs=0.02)
-    assert stats.permutation_test(df, "value", replicates=4000).first()["p_value"] == perm["p_value"]
-    ci = stats.bootstrap_ci(df, "value", replicates=4000).first()
-    assert ci["ci_low"] < perm["statistic"] < ci["ci_high"]
+    assert resampling.permutation_test(df, "value", replicates=4000).first()["p_value"] == perm["p_value"]
+    ci = resampling.bootstrap_ci(df, "value", replicates=4000).first()
+    assert ci["ci_low"] < perm["statistic"] == ci["statistic"] < ci["ci_high"]
+    assert ci["decision"] == "significant" and perm["decision"] == "Reject H0"
+
+
+@pytest.mark.parametrize("blocks", [4096, 16])
+def test_replicates_keep_sizes_mean_and_variance(spark, blocks):
+    rng = np.random.default_rng(2)
+    df = frame(spark, rng.normal(0.3, 1, 90), rng.exponential(1, 140))
+    out = resampling.null_checks(df, "value", replicates=4000, blocks=blocks).collect()
+    assert all(r["ok"] for r in out) and len(out) == 6
+    table = resampling.block_table(df, "value", blocks=blocks)
+    assert table.sizes == (90, 140) and len(table.n[0]) <= blocks
+    pooled = np.array([r["value"] for r in df.collect()])
+    expected = {r["check"]: r["expected"] for r in out}
+    assert expected["permutation variance"] == pytest.approx(pooled.var(ddof=1) * (1 / 90 + 1 / 140))
+
+
+def test_permutations_of_a_tiny_sample_have_the_exact_distribution(spark):
+    df = frame(spark, [1, 2, 4], [3, 8])
+    null = resampling.permutation_null(df, resampling.block_table(df, "value"), replicates=20000)
+    got = {round(r["diff"], 6): r["count"] / 20000 for r in null.groupBy("diff").count().collect()}
+    x = [1, 2, 4, 3, 8]
+    want = Counter(round(sum(c) / 3 - (18 - sum(c)) / 2, 6) for c in itertools.combinations(x, 3))
+    assert set(got) == set(want) and all(abs(got[d] - n / 10) < 0.01 for d, n in want.items())
+
+
+def test_resampling_without_a_second_sample(spark):
+    df = frame(spark, [1.0, 2.0], [])
+    assert resampling.permutation_test(df, "value").count() == 0 and resampling.bootstrap_ci(df, "value").count() == 0
+
+
+def test_labels_split_down_the_tree():
+    rng = np.random.default_rng(1)
+    sizes = np.array([5, 0, 3, 7, 1])
+    k = resampling.split_labels(rng, sizes, np.full(4000, 6))
+    assert (k.sum(1) == 6).all() and (k <= sizes).all() and (k >= 0).all()
+    assert k.mean(0) == pytest.approx(6 * sizes / 16, abs=0.08)
+    huge = resampling.split_labels(rng, np.array([3e9, 5e9]), np.full(200, 2_000_000_000))
+    assert (huge.sum(1) == 2e9).all() and huge[:, 0].mean() == pytest.approx(7.5e8, rel=1e-4)
+
+
+def test_rank_tails_equal_enumeration():
+    for n in range(1, 9):
+        for m in range(1, 9 if n < 5 else 6):
+            us = Counter(sum(a > b for a in c for b in set(range(n + m)) - set(c)) for c in itertools.combinations(range(n + m), n))
+            total = math.comb(n + m, n)
+            for u in range(n * m + 1):
+                low = min(u, n * m - u)
+                want = min(1.0, 2 * sum(c for v, c in us.items() if v <= low) / total)
+                assert exact_tails.rank_p([n], [m], [u])[0] == pytest.approx(want, abs=1e-12)
+    # beyond the counted sizes the smaller sample's ranks are like uniform draws
+    near = exact_tails._rank_tail(3, 300_000, 250_000)
+    far = exact_tails._rank_tail(3, 350_000, 291_666)
+    assert near == pytest.approx(far, abs=1e-5)
+
+
+def test_ks_tails_equal_enumeration_and_the_limit():
+    for n in range(1, 9):
+        for m in range(1, 9 if n < 5 else 6):
+            gaps = Counter()
+            for c in itertools.combinations(range(n + m), n):
+                i, worst = 0, 0
+                for k in range(n + m):
+                    i += k in c
+                    worst = max(worst, abs(i * m - (k + 1 - i) * n))
+                gaps[worst] += 1
+            total = math.comb(n + m, n)
+            for h in gaps:
+                want = sum(c for g, c in gaps.items() if g >= h) / total
+                assert exact_tails.ks_p([n], [m], [h / (n * m)])[0] == pytest.approx(want, abs=1e-12)
+    d = 1.2 / math.sqrt(5000)
+    assert exact_tails.ks_p([10000], [10000], [d])[0] == pytest.approx(D.kolmogorov_sf(np.array([1.2]))[0], abs=5e-3)
+
+
+def test_decisions_by_hand(spark):
+    rows = [(1, "a", float(v)) for v in range(10, 16)] + [(1, "b", float(v)) for v in range(6)] + [(2, "a", 1.0), (2, "a", 4.0), (2, "b", 2.0), (2, "b", 3.0), (3, "a", 1.0)]
+    df = spark.createDataFrame(rows, "g int, sample string, value double")
+    got = {r["g"]: r for r in decisions.mann_whitney(df, ["g"], "value").collect()}
+    assert got[1]["p_value"] == pytest.approx(2 / 924) and got[1]["method"] == "exact" and got[1]["decision"] == "Reject H0"
+    assert got[2]["p_value"] == pytest.approx(1.0) and got[2]["decision"] == "Fail to Reject H0"
+    assert got[3]["p_value"] is None and got[3]["decision"] == "Fail to Reject H0"
+    ks = {r["g"]: r for r in decisions.ks_two_sample(df, ["g"], "value").collect()}
+    assert ks[1]["d_stat"] == 1 and ks[1]["p_value"] == pytest.approx(2 / 924) and ks[2]["p_value"] == pytest.approx(1.0)
+    w = {r["g"]: r for r in decisions.welch(stats.two_sample(df, ["g"], "value")).collect()}
+    assert w[1]["critical_value"] == pytest.approx(2.5705818, abs=1e-6) and w[1]["decision"] == "Reject H0" and w[3]["critical_value"] is None
+    joint = decisions.joint(stats.two_sample(df.where("g = 1"), [], "value")).first()
+    assert joint["detected"]
 
 
 def test_sprt_stops_at_the_first_crossing(spark):
