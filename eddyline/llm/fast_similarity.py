@@ -15,12 +15,12 @@ that of independent draws.
    probability (1 - 0.8^4)^40 < 10^-9.
 3. Classes whose shingles are too seldom found in other listed sets cannot have a partner
    and leave.
-4. Exact verification on the full sets: first of the pairs with the center of a list, whose
-   links are then components; then of all pairs of list members that are still in different
-   components, if sizes and shared shingles allow the similarity and the sketches agree in
-   ``LEAST`` of the coordinates (at the threshold that fails with probability < 10^-9).
-   Lists are compared in blocks of members, and a pair comes from its first common band
-   alone, so no list has to fit a task and no pair is made twice.
+4. Exact verification on the full sets: first of the pairs with the member of a list that has
+   the largest overlaps on the average; these links make components. Then of all pairs of
+   list members that are still in different components, if sizes and shared shingles allow
+   the similarity: in lists of at most ``SMALL_LIST`` members if the sketches agree in ``LEAST``
+   of the coordinates (at the threshold that fails with probability < 10^-9), in larger
+   lists in blocks of members (``list_links``).
 
 Defined cases: a null text is empty; a text without words has no shingle, is linked with
 nothing and is kept; fewer words than ``WORDS`` make one shingle. Rows are judged by their
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from eddyline.llm.blobs import deal, gather, mix
 from eddyline.llm.common import by_bytes, shuffle_parts, table, two_columns, with_least
 from eddyline.llm.components import components
+from eddyline.llm.list_links import large_list_links, split_by_size
 from eddyline.llm.ngram_join import SHINGLE_GROUPS_SQL, by_class, coarse_fragments, count_overlaps, set_key, shared_shingles, shingles
 from eddyline.session import stage
 
@@ -47,8 +48,7 @@ COORDINATES = 160
 BAND = 4
 LEAST = 0.6
 BUCKET_RECORDS = 4 << 20
-LIST_BLOCK = 1024
-STRIP = 32
+SMALL_LIST = 32
 _EMPTY = np.iinfo(np.uint64).max
 _SEEDS = np.random.default_rng(12).integers(1, 2**63, 2 * COORDINATES, dtype=np.uint64)
 
@@ -128,54 +128,29 @@ def band_lists(classes: DataFrame, buckets: int) -> DataFrame:
     return classes.select("id", "sketch").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "band long, place int, id long")
 
 
-def _compare(side: dict, other: dict, place: int, upper: bool, num: int, den: int):
-    """(a, b) ids of two blocks of one list that are in different groups, may be similar, and
-    have no band before ``place`` in common."""
-    bands = other["sketch"].view(np.uint64)
-    for at in range(0, len(side["id"]), STRIP):
-        x = {k: v[at : at + STRIP] for k, v in side.items()}
-        n1, n2 = x["n"][:, None], other["n"][None]
-        most = np.minimum(x["shared"][:, None], other["shared"][None])
-        allowed = (x["group"][:, None] != other["group"]) & (den * most >= num * (n1 + n2 - most))
-        if upper:
-            allowed &= np.arange(at, at + len(x["id"]))[:, None] < np.arange(len(other["id"]))
-        i, j = np.nonzero(allowed)
-        for k in range(0, len(i), 8192):
-            a, b = i[k : k + 8192], j[k : k + 8192]
-            close = np.count_nonzero(x["sketch"][a] == other["sketch"][b], axis=1) >= LEAST * COORDINATES
-            a, b = a[close], b[close]
-            first = (x["sketch"].view(np.uint64)[a] == bands[b]).argmax(1) == place
-            a, b = x["id"][a[first]], other["id"][b[first]]
-            if len(a):
-                yield np.minimum(a, b), np.maximum(a, b)
-
-
 def open_pairs(members: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(a, b): the pairs of ``members`` (band, place, id, group, n, shared, sketch) that may
-    be similar and are in one list but in different groups."""
-    counted = with_least(members, ["band"], F.lit(1), "size", how="sum")
-    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
-    own = counted.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks", "size")
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(buckets)).cast("int"))
+    """(a, b): the pairs of ``members`` (band, id, group, n, shared, sketch) of short lists that
+    are in one list but in different groups, and may be similar."""
+    dealt = members.withColumn("bucket", F.pmod("band", F.lit(buckets)).cast("int"))
 
     def run(key, rows):
-        rows = rows.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("id", "ascending")]).combine_chunks()
-        c = {n: rows.column(n).to_numpy() for n in ("band", "lo", "hi", "own", "place", "id", "group", "n", "shared")}
-        c["sketch"] = _matrix(rows.column("sketch"))
-        change = (np.diff(c["band"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)
-        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(change) + 1]
+        rows = rows.sort_by([("band", "ascending"), ("id", "ascending")]).combine_chunks()
+        band, ids, group, n, shared = (rows.column(c).to_numpy() for c in ("band", "id", "group", "n", "shared"))
+        sketches = _matrix(rows.column("sketch"))
+        edges = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist(), len(band)]
         found = [(np.zeros(0, np.int64),) * 2]
-        for a, b in zip(edges, edges[1:]):
-            block = {n: v[a:b] for n, v in c.items()}
-            place, lo, hi = int(block["place"][0]), block["lo"][0], block["hi"][0]
-            one, two = ({n: v[block["own"] == k] for n, v in block.items()} for k in (lo, hi))
-            found += _compare(one, two, place, lo == hi, num, den)
+        for x, y in zip(edges, edges[1:]):
+            i, j = np.triu_indices(y - x, 1)
+            i, j = i + x, j + x
+            most = np.minimum(shared[i], shared[j])
+            able = (group[i] != group[j]) & (den * most >= num * (n[i] + n[j] - most))
+            i, j = i[able], j[able]
+            close = np.count_nonzero(sketches[i] == sketches[j], axis=1) >= LEAST * COORDINATES
+            found.append((ids[i[close]], ids[j[close]]))
         a, b = (np.concatenate(z) for z in zip(*found))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return met.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -195,9 +170,9 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     parts = stage(coarse_fragments(texts, words), "similarity-fragments")
     near = shared_shingles(parts, max(parts_set, (shingle_sum or 0) // BUCKET_RECORDS + 1))
     near = near.join(classes.select("id", "n"), "id").where(den * F.col("shared") >= num * F.col("n"))
-    near = stage(near.select("id", "n", "shared", (1 - F.col("shared") / F.col("n")).alias("own")), "similarity-near")
+    near = stage(near.select("id", "n", "shared", (-F.col("met") / F.col("n")).alias("apart")), "similarity-near")
     lists = stage(lists.join(near, "id"), "similarity-open")
-    center = lists.groupBy("band").agg(F.min(F.struct("own", "id", "n", "shared")).alias("best"))
+    center = lists.groupBy("band").agg(F.min(F.struct("apart", "id", "n", "shared")).alias("best"))
     most = F.least("shared", "best.shared")  # no overlap is larger
     stars = lists.join(center, "band").where((F.col("id") != F.col("best.id")) & (den * most >= num * (F.col("n") + F.col("best.n") - most)))
     stars = stage(stars.select(F.least("id", "best.id").alias("a"), F.greatest("id", "best.id").alias("b")).distinct(), "similarity-stars")
@@ -207,9 +182,10 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     placed = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
     placed = stage(placed.select("band", "place", "id", "n", "shared", "group"), "similarity-placed")
     mixed = placed.groupBy("band").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 < g2").select("band")
-    members = placed.join(mixed, "band", "left_semi").join(classes.select("id", "sketch"), "id")
-    more = open_pairs(members, parts_set, num, den).join(stars, ["a", "b"], "left_anti")
+    small, large = split_by_size(placed.join(mixed, "band", "left_semi"), "band", SMALL_LIST)
+    more = open_pairs(small.join(classes.select("id", "sketch"), "id"), parts_set, num, den).join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(count_overlaps(parts, stage(more, "similarity-pairs"), num, den))
+    links = links.unionByName(large_list_links(large, "band", parts, parts_set, num, den))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     joined = classes.drop("sketch").join(groups, classes["id"] == groups["node"], "left").select("n", "k2", "rep", "id", F.coalesce("component", "id").alias("group"))

@@ -17,13 +17,14 @@ is the global n-gram order, and ranges of it are the fragments.
    the others those leave that share less than t of their shingles with all others.
 3. Counting. Candidate pairs are counted fragment by fragment (a few coarse fragments of
    the same order), the partial overlaps are summed per pair, and the sum decides.
-4. Candidate lists are first read as stars around the member with the smallest share of
-   shingles of its own, which of edited copies is the one nearest to all. What the stars
+4. Candidate lists are first read as stars around the member with the largest overlap with
+   all sets on the average, which of edited copies is the one nearest to all. What the stars
    link is one component and needs no more pairs. Then every pair of members of a list that
-   are still in different components is a candidate as well, if it shares enough fragments
-   (k - d of either set) and if what either set shares with any other allows t. No similar
-   pair is in two components at the end, so components are exact without the pairs of a
-   large group.
+   are still in different components is a candidate as well, if what either set shares with
+   any other allows t: in lists of at most ``SMALL_LIST`` members as a row, if it shares
+   enough fragments (k - d of either set) or else meets in a larger list; in larger lists
+   in blocks of members (``list_links``). No similar pair is in two components at the end, so
+   components are exact without the pairs of a large group.
 
 Texts send their fragments, once per class and task, as packed rows to buckets whose number
 follows the shingles of the corpus; copies of a class meet there as one. Texts meet their
@@ -50,11 +51,13 @@ from pyspark.sql.types import LongType
 from eddyline.llm.blobs import deal, gather, mix
 from eddyline.llm.common import by_bytes, fresh, shuffle_parts, table, two_columns, with_least
 from eddyline.llm.components import components
+from eddyline.llm.list_links import large_list_links, split_by_size
 from eddyline.session import stage
 
 WORDS = 5
 SIMILARITY = (80, 100)
 FRAGMENTS = 4
+SMALL_LIST = 32
 CHUNK = 1 << 18
 BUCKET_RECORDS = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -247,8 +250,9 @@ def coarse_fragments(texts: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
-    """(id, shared): how many shingles of each set at least one other set of ``parts`` has.
-    Buckets of shingles send their counts on as packed rows, a bucket of ids each."""
+    """(id, shared, met): how many shingles of each set at least one other set of ``parts``
+    has, and the sum of its overlaps with all sets. Buckets of shingles send their counts on
+    as packed rows, a bucket of ids each."""
 
     def send(batches):
         for batch in batches:
@@ -269,20 +273,21 @@ def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
         first[1:] = h[1:] != h[:-1]
         head = np.flatnonzero(first)
         last = np.append(head[1:], len(h)) - 1
-        common = np.repeat(ids[head] != ids[last], last - head + 1)
-        who, count = np.unique(ids[common], return_counts=True)
-        return pa.Table.from_batches([deal((mix(who) % np.uint64(buckets)).astype(np.int64), [who, count.astype(np.int64)])])
+        times = np.repeat(last - head + 1, last - head + 1)
+        who, place = np.unique(ids[times > 1], return_inverse=True)
+        shared = np.bincount(place, minlength=len(who))
+        met = np.bincount(place, times[times > 1], minlength=len(who))
+        return pa.Table.from_batches([deal((mix(who) % np.uint64(buckets)).astype(np.int64), [who, shared.astype(np.int64), met.astype(np.int64)])])
 
     def add(key, rows):
-        who, count = gather(rows.column("blob").to_pylist(), [np.int64, np.int64])
+        who, shared, met = gather(rows.column("blob").to_pylist(), [np.int64] * 3)
         ids, place = np.unique(who, return_inverse=True)
-        total = np.zeros(len(ids), np.int64)
-        np.add.at(total, place, count)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(total, pa.int64())], ["id", "shared"])
+        sums = [np.bincount(place, c, minlength=len(ids)).astype(np.int64) for c in (shared, met)]
+        return pa.table([pa.array(c, pa.int64()) for c in (ids, *sums)], ["id", "shared", "met"])
 
     packed = "bucket int, blob binary"
     met = parts.select("id", "part").mapInArrow(send, packed).groupBy("bucket").applyInArrow(meet, packed)
-    return met.groupBy("bucket").applyInArrow(add, "id long, shared long")
+    return met.groupBy("bucket").applyInArrow(add, "id long, shared long, met long")
 
 
 def count_overlaps(parts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -312,9 +317,9 @@ def linked_sets(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     able = stage(able, "ngram-able")
     parts = stage(coarse_fragments(docs.join(able, docs["doc_id"] == able["rep"]).select("text", "id")), "ngram-fragments")
     near = shared_shingles(parts, buckets).join(sizes.select("id", "n"), "id").where(den * F.col("shared") >= num * F.col("n"))
-    near = stage(near.select("id", "n", "shared", (1 - F.col("shared") / F.col("n")).alias("own")), "ngram-near")
+    near = stage(near.select("id", "n", "shared", (-F.col("met") / F.col("n")).alias("apart")), "ngram-near")
     lists = stage(lists.join(near, "id"), "ngram-open")
-    center = lists.groupBy("fragment").agg(F.min(F.struct("own", "id"))["id"].alias("a"))
+    center = lists.groupBy("fragment").agg(F.min(F.struct("apart", "id"))["id"].alias("a"))
     stars = lists.join(center, "fragment").where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "odd")
     stars = stage(_sharing_enough(stars, sizes, num, den), "ngram-stars")
     links = stage(count_overlaps(parts, stars, num, den), "ngram-links")
@@ -323,13 +328,13 @@ def linked_sets(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     placed = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fragment", "odd", "id", "n", "shared", F.coalesce("component", "id").alias("group"))
     placed = stage(placed, "ngram-placed")
     mixed = placed.groupBy("fragment").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 < g2").select("fragment")
-    open_ = placed.join(mixed, "fragment", "left_semi")
-    left, right = (open_.select("fragment", "odd", F.col("id").alias(i), F.col("group").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}")) for i in "ab")
+    small, large = split_by_size(placed.join(mixed, "fragment", "left_semi"), "fragment", SMALL_LIST)
+    left, right = (small.select("fragment", "odd", F.col("id").alias(i), F.col("group").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}")) for i in "ab")
     most = F.least("sa", "sb")  # no overlap is larger
     apart = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (den * most >= num * (F.col("na") + F.col("nb") - most))
     more = left.join(right, ["fragment", "odd"]).where(apart).select("a", "b", "odd")
     more = stage(_sharing_enough(more, sizes, num, den).join(stars, ["a", "b"], "left_anti"), "ngram-pairs")
-    links = links.unionByName(count_overlaps(parts, more, num, den))
+    links = links.unionByName(count_overlaps(parts, more, num, den)).unionByName(large_list_links(large, "fragment", parts, buckets, num, den))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     joined = classes.join(groups, classes["id"] == groups["node"], "left").select("n", "k2", "rep", "id", F.coalesce("component", "id").alias("group"))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from eddyline.llm import fast_similarity as g
+from eddyline.llm import list_links
 from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -117,8 +118,9 @@ def near_copies(rng, n):
 
 
 def test_groups_of_all_sizes(spark, monkeypatch):
-    monkeypatch.setattr(g, "LIST_BLOCK", 4)
-    monkeypatch.setattr(g, "STRIP", 3)
+    monkeypatch.setattr(g, "SMALL_LIST", 5)
+    monkeypatch.setattr(list_links, "PART", 4)
+    monkeypatch.setattr(list_links, "COLUMNS", 7)
     rng = random.Random(6)
     texts = [t for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 17, 25, 40, 41, 60, 90, 140, 260) for _ in range(3) for t in near_copies(rng, n)]
     base = [f"b{i}" for i in range(120)]
@@ -131,6 +133,20 @@ def test_groups_of_all_sizes(spark, monkeypatch):
     compare(spark, list(enumerate(texts)))
 
 
+def test_overlaps_and_links_of_a_block(monkeypatch):
+    monkeypatch.setattr(list_links, "COLUMNS", 5)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))) for _ in range(14)]
+    got = list_links.overlaps(sets[:6], sets[6:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[6:]] for a in sets[:6]]
+    assert list_links.overlaps([], sets).shape == (0, 14)
+    base = np.arange(100)
+    near = [np.append(base[k:], 1000 + np.arange(k)) for k in (0, 5, 40, 45)]  # 0 and 1 are similar, 2 and 3 too
+    m = {"set": near, "n": np.full(4, 100), "shared": np.full(4, 100), "group": np.array([7, 8, 9, 10])}
+    a, b = list_links.block_links(m, np.arange(4), np.arange(4), 80, 100)
+    assert sorted(map(tuple, np.sort(np.stack([a, b], 1)).tolist())) == [(0, 1), (2, 3)]
+
+
 def test_odd_rows(spark, frame, empty):
     text = " ".join(f"word{i}" for i in range(30))
     df = frame(text, text.upper() + "\n", "one two", "one\ttwo", " \n ")

@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from eddyline.llm import components, ngram_join as g
+from eddyline.llm import components, list_links, ngram_join as g
 from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -71,6 +71,22 @@ def test_groups_of_all_sizes(spark):
     compare(spark, list(enumerate(texts)))
 
 
+def test_loose_groups_in_blocks_and_in_rows(spark, monkeypatch):
+    """Sets around the threshold: many lists with many components."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(160)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            words[rng.randrange(160)] = f"x{rng.randrange(5)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(list_links, "PART", 16)
+    for small in (3, 1000):
+        monkeypatch.setattr(g, "SMALL_LIST", small)
+        compare(spark, list(enumerate(texts)))
+
+
 def test_similar_pairs_share_a_fragment():
     """No pair at the threshold may be lost, whatever the sizes."""
     rng = np.random.default_rng(3)
