@@ -79,3 +79,20 @@ def with_least(df: DataFrame, keys: list[str], value: Column, out: str, how: str
     some = salted.groupBy(*keys, salt).agg(fold(out).alias(part))
     whole = some.groupBy(*keys).agg(fold(part).alias(out))
     return salted.drop(out).join(some.select(*keys, salt).join(whole, keys), [*keys, salt]).drop(salt)
+
+
+FILTER_BITS = 25
+
+
+def likely_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be an id of ``ids`` (its first column), so that
+    a join with few ids need not move all rows. The filter is a bitmap of 2^25 bits at most
+    (4 MB, whatever the number of ids) and lets other rows through as it fills up."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << FILTER_BITS)) + 1
+    spots = ids.select(place(ids.columns[0]).alias("p")).select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("bit"))
+    bucket, bits = fresh(df, "bitmap_bucket"), fresh(df, "bitmap_bits")
+    bitmap = spots.groupBy(F.col("bucket").alias(bucket)).agg(F.bitmap_construct_agg("bit").alias(bits))
+    marked = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(place(column)) == F.col(bucket))
+    bit = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring(bits, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop(bucket, bits)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.llm.blobs import deal, gather, mix
-from eddyline.llm.common import by_bytes, shuffle_parts, table, two_columns, with_least
+from eddyline.llm.common import by_bytes, likely_among, shuffle_parts, table, two_columns, with_least
 from eddyline.llm.components import components
 from eddyline.llm.list_links import large_list_links, split_by_size
 from eddyline.llm.ngram_join import SHINGLE_GROUPS_SQL, by_class, coarse_fragments, count_overlaps, set_key, shared_shingles, shingles
@@ -166,7 +166,7 @@ def linked_sets(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFr
     lists = stage(band_lists(classes, by_bands), "similarity-lists")
 
     able = stage(classes.join(lists.select("id").distinct(), "id").select("rep", "id"), "similarity-able")
-    texts = docs.join(able, docs["doc_id"] == able["rep"]).select("text", "id")
+    texts = likely_among(docs, "doc_id", able.select("rep")).join(able, F.col("doc_id") == F.col("rep")).select("text", "id")
     parts = stage(coarse_fragments(texts, words), "similarity-fragments")
     near = shared_shingles(parts, max(parts_set, (shingle_sum or 0) // BUCKET_RECORDS + 1))
     near = near.join(classes.select("id", "n"), "id").where(den * F.col("shared") >= num * F.col("n"))

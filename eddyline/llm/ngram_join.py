@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from eddyline.llm.blobs import deal, gather, mix
-from eddyline.llm.common import by_bytes, fresh, shuffle_parts, table, two_columns, with_least
+from eddyline.llm.common import by_bytes, fresh, likely_among, shuffle_parts, table, two_columns, with_least
 from eddyline.llm.components import components
 from eddyline.llm.list_links import large_list_links, split_by_size
 from eddyline.session import stage
@@ -315,7 +315,8 @@ def linked_sets(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     counts = lists.groupBy("id").agg(F.count_if("odd").alias("n_odd"), F.count_if(~F.col("odd")).alias("n_even"))
     able = counts.join(classes, "id").where("n_odd >= need_odd OR n_even >= need_even").select("rep", "id")
     able = stage(able, "ngram-able")
-    parts = stage(coarse_fragments(docs.join(able, docs["doc_id"] == able["rep"]).select("text", "id")), "ngram-fragments")
+    texts = likely_among(docs, "doc_id", able.select("rep")).join(able, F.col("doc_id") == F.col("rep")).select("text", "id")
+    parts = stage(coarse_fragments(texts), "ngram-fragments")
     near = shared_shingles(parts, buckets).join(sizes.select("id", "n"), "id").where(den * F.col("shared") >= num * F.col("n"))
     near = stage(near.select("id", "n", "shared", (-F.col("met") / F.col("n")).alias("apart")), "ngram-near")
     lists = stage(lists.join(near, "id"), "ngram-open")
