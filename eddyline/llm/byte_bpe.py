@@ -15,9 +15,11 @@ has a boundary in any case, so memory follows the cut, not the text.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eddyline.llm.common import by_bytes, id_type, table, two_columns
+from eddyline.llm.common import by_bytes, id_type, leave_no_memory, table, two_columns
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
-MEMO_PIECES = 200_000
+MEMO_BYTES = 24 << 20
+PIECE_BYTES = 160  # of an entry, besides its characters
+PART_BYTES = 512 << 10
 CUT_CHARS = 1 << 20
 _SAFE_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
@@ -74,26 +78,37 @@ class ByteBpe:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.held = 0
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, pieces: set[str]) -> None:
+        """Pieces and their ids, all ids in one array. The memo is emptied where it is full."""
         new = [p for p in pieces if p not in self.number]
-        if len(self.number) + len(new) > MEMO_PIECES and self.number:
+        need = sum(map(len, new)) + PIECE_BYTES * len(new)
+        if self.held + need > MEMO_BYTES and self.number:
             self._clear()
             new = list(pieces)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.number[piece] = len(self.ids)
-                self.ids.append(np.array(code.ids, dtype=np.uint32))
+            need = sum(map(len, new)) + PIECE_BYTES * len(new)
+        self.held += need
+        for a in range(0, len(new), 4_000):
+            part = new[a : a + 4_000]
+            codes = [code.ids for code in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            size = np.fromiter(map(len, codes), np.int64, len(codes))
+            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part))))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(codes), np.uint32, int(size.sum()))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         split = [self.pattern.findall(t) for t in texts]
-        self._learn({p for pieces in split for p in pieces})
-        ids, number = self.ids, self.number
-        none = np.zeros(0, dtype=np.uint32)
-        return [np.concatenate([ids[n] for n in map(number.__getitem__, pieces)]) if pieces else none for pieces in split]
+        self._learn(set(chain.from_iterable(split)))
+        pieces = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        size = self.size[pieces]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(self.start[pieces] - (ends - size), size) + np.arange(int(size.sum()))]
+        edges = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum([0, *map(len, split)])]
+        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
     def encode_text(self, text: str) -> np.ndarray:
         """Like ``encode`` for one text of any length."""
@@ -122,15 +137,18 @@ class ByteBpe:
             yield self
         finally:
             self._clear()
+            leave_no_memory()
 
 
 @lru_cache(maxsize=2)
 def load(model: str, pattern: str) -> ByteBpe:
+    # Spark's tasks are the parallelism; threads of their own would each keep a heap
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ByteBpe(model, pattern)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
-    for part in (p for batch in batches for p in by_bytes(batch, "text", 2 << 20)):
+    for part in (p for batch in batches for p in by_bytes(batch, "text", PART_BYTES)):
         texts = part.column("text").to_pylist()
         if max(map(len, texts)) > CUT_CHARS:
             yield part, texts, [bpe.encode_text(t) for t in texts]

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import bound_batches, by_bytes, held_out, id_type, table
+from eddyline.llm.common import bound_batches, by_bytes, held_out, id_type, table, tidy
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 512
 WINDOWS = 2
 BATCH_WINDOWS = 128
-MAX_LANGS = 256
+SAMPLE_DOCS = 20_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -126,21 +126,22 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, rate:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1000) -> Net | None:
-    """Train on a bounded sample of the labelled rows outside the held-out fold."""
+    """Train on a bounded sample of the labelled rows outside the held-out fold: about
+    ``docs_per_lang`` documents of each language, ``SAMPLE_DOCS`` in all."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("labelled"))
+    known = sizes.count()
+    if not known:
         return None
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages are labelled")
+    wanted = min(docs_per_lang, max(1, SAMPLE_DOCS // known))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, int(min(1.0, docs_per_lang / n) * (1 << 40)))])
-    chosen = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).where(F.col("text").rlike("\\p{L}"))
+    share = (F.least(F.lit(1.0), wanted / F.col("labelled")) * (1 << 40)).cast("long")
+    chosen = rows.withColumn("draw", draw).join(sizes, "lang").where(F.col("draw") < share).where(F.col("text").rlike("\\p{L}"))
     raw = chosen.select("lang", "draw", F.encode("text", "UTF-8").alias("raw")).withColumn("n", F.length("raw"))
     last = F.greatest(F.col("n") - WINDOW, F.lit(0)) + 1
     cut = [F.substring("raw", (F.lit(1) + F.pmod(F.xxhash64("draw", F.lit(k)), last)).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)]
-    sample = raw.select("lang", "draw", F.array(*cut).alias("windows")).orderBy("draw", "lang").limit(2 * docs_per_lang * len(sizes)).collect()
+    sample = raw.select("lang", "draw", F.array(*cut).alias("windows")).orderBy("draw", "lang").limit(2 * wanted * known).collect()
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})
@@ -172,6 +173,7 @@ def judge(texts: list[str | None], net: Net, tables) -> tuple[list[str], list[fl
 def predict(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: (doc_id, lang_pred, score)."""
 
+    @tidy
     def run(batches):
         tables = net.pairs() if net else None
         for batch in batches:
@@ -188,6 +190,7 @@ def predict(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: st
 def keep_known(df: DataFrame, net: Net | None, text_col: str = "text", min_score: float = 0.25) -> DataFrame:
     """The rows of ``df``, all columns, whose language is known with at least ``min_score``."""
 
+    @tidy
     def run(batches):
         tables = net.pairs() if net else None
         for batch in batches:

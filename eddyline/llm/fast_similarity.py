@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.llm.blobs import deal, gather, mix
-from eddyline.llm.common import by_bytes, likely_among, shuffle_parts, table, two_columns, with_least
+from eddyline.llm.common import by_bytes, likely_among, shuffle_parts, table, tidy, two_columns, with_least
 from eddyline.llm.components import components
 from eddyline.llm.list_links import large_list_links, split_by_size
 from eddyline.llm.ngram_join import SHINGLE_GROUPS_SQL, by_class, coarse_fragments, count_overlaps, set_key, shared_shingles, shingles
@@ -79,6 +79,7 @@ def short_sketch(sets: list[np.ndarray]) -> np.ndarray:
 def sketched(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, k1, k2, sketch): size and key of each text's set, and its sketch."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch, "text", 2 << 20):
@@ -102,6 +103,7 @@ def band_lists(classes: DataFrame, buckets: int) -> DataFrame:
     bands = COORDINATES // BAND
     places = np.arange(bands, dtype=np.uint64)
 
+    @tidy
     def send(batches):
         for batch in batches:
             if batch.num_rows:

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from eddyline.llm.blobs import deal, gather, mix
-from eddyline.llm.common import by_bytes, fresh, likely_among, shuffle_parts, table, two_columns, with_least
+from eddyline.llm.common import by_bytes, fresh, likely_among, shuffle_parts, table, tidy, two_columns, with_least
 from eddyline.llm.components import components
 from eddyline.llm.list_links import large_list_links, split_by_size
 from eddyline.session import stage
@@ -127,6 +127,7 @@ def sets(docs: DataFrame, num: int, den: int) -> DataFrame:
     """(doc_id, n, k1, k2, need_even, need_odd): size and key of each text's set, and how
     many fragments it must share in its join class of that parity to have a partner."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch, "text"):
@@ -193,6 +194,7 @@ def shared_fragments(docs: DataFrame, buckets: int, num: int, den: int) -> DataF
     """(fragment, odd, id): every fragment part that more than one class has, and whether its
     join class is odd."""
 
+    @tidy
     def send(batches):
         seen: set[tuple] = set()
         for batch in batches:
@@ -233,6 +235,7 @@ def shared_fragments(docs: DataFrame, buckets: int, num: int, den: int) -> DataF
 def coarse_fragments(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, f, n, part): the sets of ``texts`` (text, id), cut into a few fragments."""
 
+    @tidy
     def cut(batches):
         edges = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(32)) // np.uint64(FRAGMENTS) << np.uint64(32)
         for batch in batches:
@@ -254,6 +257,7 @@ def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
     has, and the sum of its overlaps with all sets. Buckets of shingles send their counts on
     as packed rows, a bucket of ids each."""
 
+    @tidy
     def send(batches):
         for batch in batches:
             column = batch.column("part")

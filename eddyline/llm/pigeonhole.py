@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import bound_batches, by_bytes, id_type, table, two_columns
+from eddyline.llm.common import bound_batches, by_bytes, id_type, table, two_columns, tidy
 from eddyline.session import stage
 
 ERROR_RATE = 0.06
@@ -169,6 +169,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def _scan(docs: DataFrame, items: tuple, rate: float, schema: str) -> DataFrame:
     """Occurrences of one block of items in all texts."""
 
+    @tidy
     def run(batches):
         matcher = _matcher(items, rate)
         for batch in batches:
@@ -204,6 +205,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     """The rows of ``df``, all columns, without any occurrence of an item."""
 
     def clean(items: tuple):
+        @tidy
         def run(batches):
             matcher = _matcher(items, rate)
             for batch in batches:
