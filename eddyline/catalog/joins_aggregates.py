@@ -465,12 +465,11 @@ def _(t):
     return rows.where("timeout_duration_s is not null").select(*key, "timeout_duration_s")
 
 
-@register("cum_count_scope", f"""SELECT {KEY}, CAST(sum(f) OVER w AS BIGINT) AS cum_all, CAST(sum(f * h) OVER w AS BIGINT) AS cum_home, CAST(sum(f * (1 - h)) OVER w AS BIGINT) AS cum_away FROM (
-SELECT s.gameId, orderNumber, period, CASE WHEN actionType = 'timeout' AND subType <> 'challenge' THEN 1 ELSE 0 END AS f, CASE WHEN teamId = home_teamId THEN 1 ELSE 0 END AS h
-FROM spine s JOIN home USING (gameId)) q WINDOW w AS (PARTITION BY gameId, period ORDER BY orderNumber {UPTO})""")
+@register("cum_count_scope", f"""SELECT {KEY}, CAST(sum(f) OVER w AS BIGINT) AS cum_all, CAST(sum(f * h) OVER w AS BIGINT) AS cum_home, CAST(sum(f * v) OVER w AS BIGINT) AS cum_away FROM (
+SELECT s.gameId, orderNumber, period, CASE WHEN actionType = 'timeout' AND subType <> 'challenge' THEN 1 ELSE 0 END AS f, CASE WHEN teamId = home_teamId THEN 1 ELSE 0 END AS h, CASE WHEN teamId <> home_teamId THEN 1 ELSE 0 END AS v
+FROM spine s LEFT JOIN home USING (gameId)) q WINDOW w AS (PARTITION BY gameId, period ORDER BY orderNumber {UPTO})""")
 def _(t):
-    home = state.home_team(t.spine)
-    return classify.cumulative_by_scope(t.spine.join(home.select("gameId"), "gameId", "left_semi"), home).select(*key, "cum_all", "cum_home", "cum_away")
+    return classify.cumulative_by_scope(t.spine, state.home_team(t.spine)).select(*key, "cum_all", "cum_home", "cum_away")
 
 
 @register("cum_mandatory", "SELECT gameId, orderNumber, CAST(rk AS BIGINT) AS rk FROM tos WHERE fl")

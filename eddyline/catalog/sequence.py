@@ -81,13 +81,13 @@ def _(t):
 
 @register("slot_owner_default", f"""SELECT timeout_cause, (e.seconds_remaining // 180) * 180 AS bin, count(*) AS n,
 {R('avg(CASE WHEN rk = 1 THEN (e.teamId = e.home_teamId)::INT WHEN rk = 2 THEN (e.teamId <> e.home_teamId)::INT END)', 'conformance')}
-FROM en e JOIN tos t ON t.gameId = e.gameId AND t.orderNumber = e.orderNumber WHERE fl AND NOT ch AND rk <= 2 AND e.home_teamId IS NOT NULL GROUP BY 1, 2""")
+FROM en e JOIN tos t ON t.gameId = e.gameId AND t.orderNumber = e.orderNumber WHERE fl AND NOT ch AND rk <= 2 GROUP BY 1, 2""")
 def _(t):
     rows = classify.prepare_interventions(t.spine, state.home_team(t.spine))
     rows = classify.role_and_cause(rows, F.lit(classify.ABSORB_BUFFER))
     home = F.col("teamId") == F.col("home_teamId")
     conforms = F.when(F.col("_rank") == 1, home).otherwise(~home)
-    rows = rows.where(F.col("_flag") & ~F.col("_challenge") & (F.col("_rank") <= 2) & F.col("home_teamId").isNotNull())
+    rows = rows.where(F.col("_flag") & ~F.col("_challenge") & (F.col("_rank") <= 2))
     bins = F.floor(F.col("seconds_remaining") / 180) * 180
     return rows.groupBy("timeout_cause", bins.alias("bin")).agg(
         F.count("*").alias("n"), r6(F.avg(conforms.cast("int")), "conformance")

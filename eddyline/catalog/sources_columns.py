@@ -267,10 +267,10 @@ def _(t):
     return C.cast_float_to_int(rows, ["qty", "price"])
 
 
-@register("parse_timestamps", f"SELECT {KEY}, epoch_us(timeActual) AS us FROM raw WHERE orderNumber % 17 <> 0")
+@register("parse_timestamps", f"SELECT {KEY}, CASE WHEN orderNumber % 17 <> 0 THEN epoch_us(timeActual) END AS us FROM raw")
 def _(t):
     raw = C.parse_timestamps(adapter.as_raw_feed(t.spine), ["timeActual"])
-    return raw.where("timeActual is not null").select(*key, F.unix_micros("timeActual").alias("us"))
+    return raw.select(*key, F.unix_micros("timeActual").alias("us"))
 
 
 @register("reorder_columns", "SELECT o_orderdate::DATE AS o_orderdate, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
@@ -331,10 +331,10 @@ def _xy(t):
     "court_xy",
     f"""SELECT {KEY}, round_even(CASE side WHEN 'right' THEN 5 * (y - 50) WHEN 'left' THEN -5 * (y - 50) END, 0)::BIGINT AS cx,
 round_even(CASE side WHEN 'right' THEN -9.4::DOUBLE * x + 887.5::DOUBLE WHEN 'left' THEN 9.4::DOUBLE * x - 52.5::DOUBLE END, 0)::BIGINT AS cy
-FROM (SELECT gameId, orderNumber, {XY} FROM raw) q WHERE side IS NOT NULL""",
+FROM (SELECT gameId, orderNumber, {XY} FROM raw) q""",
 )
 def _(t):
-    rows = _xy(t).where("side is not null")
+    rows = _xy(t)
     return longs(rows.select(*key, C.court_x(F.col("y"), F.col("side")).alias("cx"), C.court_y(F.col("x"), F.col("side")).alias("cy")), ["cx", "cy"])
 
 
@@ -360,9 +360,9 @@ def _(t):
     )
 
 
-@register("alias_columns", f"SELECT {KEY}, seconds_remaining AS clock_seconds, subType AS subType_clean FROM raw WHERE subType IS NOT NULL")
+@register("alias_columns", f"SELECT {KEY}, seconds_remaining AS clock_seconds, subType AS subType_clean FROM raw")
 def _(t):
-    return C.alias_columns(t.spine).where("subType is not null").select(*key, "clock_seconds", "subType_clean")
+    return C.alias_columns(t.spine).select(*key, "clock_seconds", "subType_clean")
 
 
 @register("rename_keys", "SELECT PLAYER_ID AS personId, TEAM_ID AS teamId, season_int AS season, GP FROM adv")
@@ -402,11 +402,11 @@ def _(t):
     return cleaning.clean_older_feed(adapter.as_raw_feed(t.spine), dates).select(*key, "game_date", "scoreHome", "scoreAway")
 
 
-@register("perspective_flip", f"SELECT {KEY}, CASE WHEN teamId = home_teamId THEN score_margin ELSE -score_margin END AS mine, -sign(streak)::BIGINT * score_margin AS sufferer FROM en WHERE home_teamId IS NOT NULL")
+@register("perspective_flip", f"SELECT {KEY}, CASE WHEN teamId = home_teamId THEN score_margin ELSE -score_margin END AS mine, -sign(streak)::BIGINT * score_margin AS sufferer FROM en")
 def _(t):
     margin = F.col("score_margin")
     flip = C.signed_for(margin, F.col("teamId") == F.col("home_teamId"))
-    return t.enriched.where("home_teamId is not null").select(
+    return t.enriched.select(
         *key, flip.alias("mine"), (-F.signum("streak").cast("long") * margin).alias("sufferer")
     )
 

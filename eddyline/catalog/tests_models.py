@@ -485,10 +485,10 @@ SNAP = ["score_margin", "period", "seconds_remaining", "streak"]
 
 
 @register("wp_snapshots", f"""SELECT p.gameId, p.possession_id, {', '.join('p.' + c for c in SNAP)}, p.is_clutch, p.possession = pr.teamA AS poss_is_home, f.home_won, {R('coalesce(h.wpct, 0.5)', 'home_wpct')}, {R('coalesce(a.wpct, 0.5)', 'away_wpct')}, {R('coalesce(h.wpct - a.wpct, 0)', 'wpct_diff')}
-FROM possn p JOIN home ON home.gameId = p.gameId JOIN pairs pr ON pr.gameId = p.gameId AND pr.teamA = home_teamId JOIN fin f ON f.gameId = p.gameId
+FROM possn p LEFT JOIN home ON home.gameId = p.gameId LEFT JOIN pairs pr ON pr.gameId = p.gameId AND pr.teamA = home_teamId LEFT JOIN fin f ON f.gameId = p.gameId
 LEFT JOIN rec h ON h.season = p.season AND h.teamId = pr.teamA LEFT JOIN rec a ON a.season = p.season AND a.teamId = pr.teamB""")
 def _(t):
-    rows = winprob.snapshots(t.enriched, t.spine).where("home_teamId is not null")
+    rows = winprob.snapshots(t.enriched, t.spine)
     return rows.select("gameId", "possession_id", *SNAP, "is_clutch", "poss_is_home", "home_won", r6("home_wpct"), r6("away_wpct"), r6("wpct_diff"))
 
 
@@ -516,6 +516,64 @@ def _(t):
     return both.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("gameId").alias("games"))
 
 
+# snapshots with all features as numbers, and the example model's prediction
+SNAPS = {
+    "snp": """SELECT p.gameId, p.possession_id, p.score_margin::DOUBLE AS score_margin, (p.possession = pr.teamA)::INT::DOUBLE AS poss_is_home, p.streak::DOUBLE AS streak, f.home_won::INT AS y,
+coalesce(h.wpct, 0.5) AS home_wpct, coalesce(a.wpct, 0.5) AS away_wpct,
+CASE WHEN ('0x' || substr(md5('7:' || p.gameId::VARCHAR), 1, 6))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part
+FROM possn p JOIN home ON home.gameId = p.gameId JOIN pairs pr ON pr.gameId = p.gameId AND pr.teamA = home_teamId JOIN fin f ON f.gameId = p.gameId
+LEFT JOIN rec h ON h.season = p.season AND h.teamId = pr.teamA LEFT JOIN rec a ON a.season = p.season AND a.teamId = pr.teamB
+WHERE p.possession IS NOT NULL AND f.home_won IS NOT NULL AND score_margin IS NOT NULL AND streak IS NOT NULL""",
+    "wpf": "SELECT *, 1 / (1 + exp(-(0.05 + 0.12 * score_margin + 0.1 * poss_is_home + 0.02 * streak + 1.5 * home_wpct - 1.5 * away_wpct))) AS p FROM snp",
+    "wpr": "SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM wpf WHERE part = 'test'",
+    "wpa": """SELECT e.gameId, e.orderNumber, e.time_bucket, CASE WHEN is_home_calling THEN a.p ELSE 1 - a.p END AS pre, CASE WHEN is_home_calling THEN b.p ELSE 1 - b.p END AS post
+FROM evw e LEFT JOIN wpf a ON a.gameId = e.gameId AND a.possession_id = e.possession_id - 6 LEFT JOIN wpf b ON b.gameId = e.gameId AND b.possession_id = e.possession_id + 6""",
+    "wps": "SELECT time_bucket, count(*) AS n, avg(post - pre) AS mean, stddev_samp(post - pre) AS std, avg(post - pre) / (stddev_samp(post - pre) / sqrt(count(*))) AS t, avg(pre) AS wp_pre_mean, avg(post) AS wp_post_mean FROM wpa WHERE post - pre IS NOT NULL GROUP BY time_bucket",
+    "wpt": f"SELECT *, {p_t('t', '(n - 1)')} AS p FROM wps",
+}
+
+
+def _fixed(rows):
+    return winprob.EXAMPLE.predict(rows)
+
+
+@register("wp_train_fixed", f"SELECT y::DOUBLE AS label, count(*) AS n, {R('avg(p)', 'mean_p')} FROM wpf WHERE part = 'train' GROUP BY y", SNAPS)
+def _(t):
+    train_rows = _model(t)[1]
+    return _fixed(train_rows).groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("p_home"), "mean_p"))
+
+
+@register("wp_evaluate_fixed", f"SELECT count(*) AS n, {R('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'log_loss')}, {R('avg(pow(p - y, 2))', 'brier')}, {R('avg(y)', 'base_rate')}, {R('(sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y)))', 'auc')} FROM wpr", SNAPS)
+def _(t):
+    test_rows = _model(t)[2]
+    return rounded(winprob.evaluate(_fixed(test_rows)), ["log_loss", "brier", "base_rate", "auc"])
+
+
+def _fixed_added(t):
+    scored = _fixed(winprob.as_features(_model(t)[0]).dropna(subset=winprob.FEATURES))
+    return winprob.wp_added(windows.event_windows(t.enriched, t.possessions), scored)
+
+
+@register("wp_added_fixed", f"SELECT gameId, orderNumber, {R('pre', 'wp_pre_calling')}, {R('post', 'wp_post_calling')}, {R('post - pre', 'wp_added_calling')} FROM wpa", SNAPS)
+def _(t):
+    columns = ["wp_pre_calling", "wp_post_calling", "wp_added_calling"]
+    return rounded(_fixed_added(t).select(*key, *columns), columns)
+
+
+@register("wp_added_summary_fixed", f"SELECT time_bucket, n, {R('mean', 'mean')}, {R('std', 'std')}, {R('t', 't_stat')}, {R('p', 'p_value')}, {sig('p')}, {R('wp_pre_mean', 'wp_pre_mean')}, {R('wp_post_mean', 'wp_post_mean')} FROM wpt", SNAPS)
+def _(t):
+    return rounded(winprob.wp_added_summary(_fixed_added(t), ["time_bucket"]), ["mean", "std", "t_stat", "p_value", "wp_pre_mean", "wp_post_mean"])
+
+
+WP_FEATURES = [*winprob.FEATURES, "intercept"]
+
+
+@register("wp_certificate", "SELECT unnest([" + ", ".join(f"'{f}'" for f in WP_FEATURES) + "]) AS feature, true AS ok")
+def _(t):
+    _, train_rows, _, model = _model(t)
+    return winprob.certificate(model, train_rows).select("feature", "ok")
+
+
 @register("wp_train")
 def _(t):
     _, train_rows, _, model = _model(t)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,13 @@ def first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return df.groupBy(*keys).agg(picked).select("_row.*")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Like a join on ``keys``, but a null key meets a null key."""
+    own = {k: f"_r_{k}" for k in keys}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in own.items()])
+    return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,

@@ -10,9 +10,9 @@ here works in three steps that never do:
 3. ``finish``: the carried state is joined back on (keys, block) and combined.
 
 The join in step 3 meets the layout of step 1, so only the block summaries move.
-A null key is a key of its own. A join drops nulls, so unless scans are chained in one
-layout, keys that may be null are laid out by (is null, value or a default). Chained
-scans (``keep_block``, ``block`` None) need keys without nulls.
+A null key is a key of its own. A join drops nulls, so keys that may be null are laid out by
+(is null, value or a default). These columns stay on the rows together with the block number
+(``keep_block``), and later scans and joins in the same layout use them.
 """
 
 from __future__ import annotations
@@ -373,14 +373,20 @@ def scan(
     along it. Reverse steps read the rows from the far end. ``attach`` holds at most
     one row per key; its columns ride on the block summaries, so joining it costs
     no shuffle of the rows and a hot key stays split. ``keep_block`` leaves the
-    block number on the rows; a later scan with ``block`` None then works in the
-    layout of this one, without another shuffle.
+    layout on the rows (``layout_of``); a later scan with ``block`` None then works in
+    the layout of this one, without another shuffle.
     """
     keys, order = list(keys), list(order)
-    wanted = [c for c in df.columns if c != BLOCK] + [s.out for s in steps]
-    if block is not None and not keep_block:
-        df, attach, steps, keys, extra = _without_nulls(df, attach, steps, keys)
-        wanted = wanted + extra
+    wanted = [c for c in df.columns if not _is_layout(c)] + [s.out for s in steps]
+    if attach is not None:
+        wanted += [c for c in attach.columns if c not in keys and c not in wanted]
+    loose = _loose(df, keys) if block is not None else [k for k in keys if f"_k_{k}" in df.columns]
+    if block is not None and loose:
+        df = df.withColumns(_surrogates(df, loose))
+    if loose:
+        attach = attach.withColumns(_surrogates(attach, loose)).drop(*loose) if attach is not None else None
+        keys = _split(keys, loose)
+        steps = [replace(s, keys=keys) if hasattr(s, "keys") else s for s in steps]
     # a plain column keeps the aggregation buffers flat, a struct would force sorting
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     ahead = Window.partitionBy(*keys, BLOCK).orderBy(*order)
@@ -398,11 +404,10 @@ def scan(
     blocks = reduce(lambda d, s: s.carry(d, blocks_back if s.reverse else blocks_ahead), steps, blocks)
     carried = [c for s in steps for c in s.carried()]
     if attach is not None:
-        extra = [c for c in attach.columns if c not in keys]
+        carried = carried + [c for c in attach.columns if c not in keys]
         blocks = blocks.join(attach, keys, "left") if keys else blocks.join(attach)
-        carried, wanted = carried + extra, wanted + [c for c in extra if c not in wanted]
     if keep_block:
-        wanted = wanted + [BLOCK]
+        wanted += [BLOCK, *(k for k in keys if _is_layout(k))]
 
     joined = local.join(blocks.select(*keys, BLOCK, *carried), [*keys, BLOCK], "inner")
     return reduce(lambda d, s: s.finish(d), steps, joined).select(*wanted)
@@ -414,25 +419,43 @@ def _filler(kind: DataType) -> Column:
     return F.lit(False) if isinstance(kind, BooleanType) else F.lit("").cast("string")
 
 
-def _without_nulls(df, attach, steps, keys):
-    """The inputs of a scan with each nullable key split into (is null, value)."""
-    kinds = {f.name: f for f in df.schema.fields}
-    loose = [k for k in keys if kinds[k].nullable]
-    if not loose:
-        return df, attach, steps, keys, []
-    columns = {}
+def _is_layout(column: str) -> bool:
+    return column == BLOCK or column.startswith(("_k_", "_z_"))
+
+
+def _loose(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The keys that may be null."""
+    return [f.name for f in df.schema.fields if f.name in keys and f.nullable]
+
+
+def _split(keys: Sequence[str], loose: Sequence[str]) -> list[str]:
+    return [c for k in keys for c in ([f"_z_{k}", f"_k_{k}"] if k in loose else [k])]
+
+
+def _surrogates(df: DataFrame, loose: Sequence[str]) -> dict[str, Column]:
+    """Columns without nulls that stand for each of the keys: (is null, value or a default)."""
+    kinds, columns = {f.name: f.dataType for f in df.schema.fields}, {}
     for k in loose:
-        kind = kinds[k].dataType
-        plain = F.col(k) if isinstance(kind, (NumericType, BooleanType)) else F.col(k).cast("string")
-        columns[f"_k_{k}"] = F.coalesce(plain, _filler(kind))
+        plain = F.col(k) if isinstance(kinds[k], (NumericType, BooleanType)) else F.col(k).cast("string")
+        columns[f"_k_{k}"] = F.coalesce(plain, _filler(kinds[k]))
         columns[f"_z_{k}"] = F.col(k).isNull()
-    split = [c for k in keys for c in ([f"_z_{k}", f"_k_{k}"] if k in loose else [k])]
-    extra = []
-    if attach is not None:
-        extra = [c for c in attach.columns if c not in keys]
-        attach = attach.withColumns(columns).drop(*loose)
-    steps = [replace(s, keys=split) if hasattr(s, "keys") else s for s in steps]
-    return df.withColumns(columns), attach, steps, split, extra
+    return columns
+
+
+def layout_of(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The columns rows are laid out by after a scan with ``keep_block``."""
+    return _split(keys, [k for k in keys if f"_k_{k}" in df.columns]) + [BLOCK]
+
+
+def into_layout(other: DataFrame, df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """``other`` with the layout columns of ``df`` in place of its keys, for a join in that
+    layout."""
+    loose = [k for k in keys if f"_k_{k}" in df.columns]
+    return other.withColumns({**_surrogates(other, loose), BLOCK: block}).drop(*loose)
+
+
+def drop_layout(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if _is_layout(c)])
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, span: int) -> DataFrame:

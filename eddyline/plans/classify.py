@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
+from eddyline.operators.joins import join_null_safe
 from eddyline.operators.scan import Lag, Sum, scan
 
 # Fixed values of the published rule tables: periods and the clock marks (seconds
@@ -75,11 +76,11 @@ def prepare_interventions(spine: DataFrame, home: DataFrame | None, rules: Rules
     first = rows.where(~F.col("_challenge") & F.col(s.team).isNotNull()).groupBy(*key).agg(F.min(s.order).alias("_first"))
     # a flagged challenge still moves the slot counter
     rows = scan(rows, [s.entity, s.period], [s.order], s.order_block(), [Sum("_rank", F.col("_flag").cast("long"))])
-    rows = rows.join(first, key, "left").withColumn("_is_first", F.coalesce(F.col(s.order) == F.col("_first"), F.lit(False)))
+    rows = join_null_safe(rows, first, key, "left").withColumn("_is_first", F.coalesce(F.col(s.order) == F.col("_first"), F.lit(False)))
     if home is None:
         rows = rows.withColumn("home_teamId", F.lit(None).cast("long"))
     else:
-        rows = rows.join(home, s.entity, "left")
+        rows = join_null_safe(rows, home, [s.entity], "left")
     return rows.withColumn("_triggers", triggers_for(F.col(s.period), rules.slots))
 
 
@@ -295,7 +296,7 @@ VARIANTS = {
 
 def cumulative_by_scope(spine: DataFrame, home: DataFrame, s: Spine = SPINE) -> DataFrame:
     """Running count of full interventions in (entity, period): all, home, away."""
-    rows = spine.join(home, s.entity, "left")
+    rows = join_null_safe(spine, home, [s.entity], "left")
     full = (F.lower(s.action) == "timeout") & ~F.coalesce(F.col(s.sub).isin(*CHALLENGES), F.lit(False))
     at_home = F.coalesce(F.col(s.team) == F.col("home_teamId"), F.lit(False))
     at_away = F.coalesce(F.col(s.team) != F.col("home_teamId"), F.lit(False))

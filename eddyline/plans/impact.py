@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
 from eddyline.operators.asof import nearest_shifted
+from eddyline.operators.joins import join_null_safe
 from eddyline.operators.scan import Changes, Last, scan
 from eddyline.session import stage
 
@@ -32,7 +33,7 @@ def forward_scores(
     """
     shifts = [int(m * 60) if float(m * 60).is_integer() else m * 60.0 for m in minutes]
     found = nearest_shifted(rows, clock_states(spine, s), [s.entity], s.clock, shifts, s.clock_span, ["h", "a", "o"])
-    joined = rows.join(found, [s.entity, s.clock], "left")
+    joined = join_null_safe(rows, found, [s.entity, s.clock], "left")
     home = F.col("match")["h"] - F.col(s.home)
     away = F.col("match")["a"] - F.col(s.away)
     out = (

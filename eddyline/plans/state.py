@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
-from eddyline.operators.scan import BLOCK, Changes, Lag, SegmentTotal, Streak, Sum, scan
+from eddyline.operators.joins import join_null_safe
+from eddyline.operators.scan import Changes, Lag, SegmentTotal, Streak, Sum, drop_layout, into_layout, layout_of, scan
 
 def net_points(s: Spine = SPINE) -> Column:
     """Score gained by home minus away against the previous row, 0 at the start."""
@@ -215,8 +216,7 @@ def running_ppp(poss: DataFrame, s: Spine = SPINE) -> DataFrame:
 
 def sides(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
     """Home and away team, one row per entity."""
-    home = home_team(spine, s)
-    others = teams(spine, s).join(home, s.entity)
+    others = join_null_safe(teams(spine, s), home_team(spine, s), [s.entity])
     away = F.min(F.when(F.col(s.team) != F.col("home_teamId"), F.col(s.team)))
     return others.groupBy(s.entity, "home_teamId").agg(away.alias("away_teamId"))
 
@@ -260,7 +260,8 @@ def enrich(spine: DataFrame, labels: DataFrame, teams_of: DataFrame, s: Spine =
     rows = rows.withColumn("score_margin", margin).withColumn(
         "is_clutch", (F.abs(margin) <= 5) & (F.col(s.clock) >= 2400)
     )
-    rows = rows.join(labels.withColumn(BLOCK, block), [s.entity, BLOCK, s.order], "left").drop(BLOCK)
+    own = into_layout(labels, rows, [s.entity], block)
+    rows = drop_layout(rows.join(own, [*layout_of(rows, [s.entity]), s.order], "left"))
     return rows.withColumn("timeout_role", F.coalesce("timeout_role", F.lit(""))).withColumn(
         "timeout_cause", F.coalesce("timeout_cause", F.lit(""))
     )

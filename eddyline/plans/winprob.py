@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -82,6 +84,45 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("p_home", vector_to_array("probability")[1]).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
+@dataclass(frozen=True)
+class Fixed:
+    """A model given by its intercept and its weights on the features as they are: stored
+    coefficients are applied without a fit."""
+
+    intercept: float
+    weights: dict[str, float]
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        score = sum((F.lit(w) * F.col(f) for f, w in self.weights.items()), F.lit(self.intercept))
+        return rows.withColumn("p_home", 1 / (1 + F.exp(-score)))
+
+
+# Parameters of an example model: the margin and the strength of the sides.
+EXAMPLE = Fixed(0.05, {"score_margin": 0.12, "poss_is_home": 0.1, "streak": 0.02, "home_wpct": 1.5, "away_wpct": -1.5})
+
+
+def certificate(model: PipelineModel, train_rows: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(feature, gradient, curvature, distance, ok): whether the fitted coefficients are the
+    optimum of the penalised likelihood. One aggregation gives the gradient and the matrix of
+    second derivatives at the coefficients; a Newton step bounds how far the optimum is."""
+    fitted, names = model.stages[-1], [*FEATURES, "intercept"]
+    rows = model.transform(train_rows).select(F.col("label").alias("y"), vector_to_array("probability")[1].alias("p"), vector_to_array("features").alias("x"))
+    x = [F.col("x")[k] for k in range(len(FEATURES))] + [F.lit(1.0)]
+    gradient = [F.avg((F.col("p") - F.col("y")) * v).alias(f"g{k}") for k, v in enumerate(x)]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    second = [F.avg(F.col("p") * (1 - F.col("p")) * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]
+    found = rows.agg(*gradient, *second).first()
+    penalty = fitted.getRegParam() * np.array([1.0] * len(FEATURES) + [0.0])
+    g = np.array([found[f"g{k}"] for k in range(len(x))]) + penalty * np.append(fitted.coefficients.toArray(), fitted.intercept)
+    h = np.diag(penalty)
+    for i, j in pairs:
+        h[i, j] += found[f"h{i}_{j}"]
+        h[j, i] = h[i, j]
+    step = np.linalg.lstsq(h, g, rcond=None)[0]
+    out = [(n, float(a), float(h[k, k]), float(abs(d)), bool(abs(a) <= tolerance and abs(d) <= 100 * tolerance)) for k, (n, a, d) in enumerate(zip(names, g, step))]
+    return train_rows.sparkSession.createDataFrame(out, "feature string, gradient double, curvature double, distance double, ok boolean")
+
+
 def evaluate(scored: DataFrame) -> DataFrame:
     """Log-loss, Brier score, AUC and base rate in exact arithmetic over all rows."""
     y, p = F.col("label"), F.least(F.greatest(F.col("p_home"), F.lit(1e-15)), F.lit(1 - 1e-15))

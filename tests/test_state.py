@@ -1,4 +1,5 @@
 import pytest
+from frames import same_rows
 from pyspark.sql import functions as F
 
 from eddyline.functions import columns as C
@@ -108,3 +109,30 @@ def test_checks_flag_broken_rows(spark, tables):
 def test_possession_points_add_up(tables):
     live = tables.enriched.where("possession_id is not null").agg(F.sum("points_scored")).first()[0]
     assert tables.possessions.agg(F.sum("possession_points")).first()[0] == live
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_without_an_entity_keep_their_state(spark, tables):
+    """One game's id is replaced by null: its rows get what they got with the id."""
+    from eddyline.plans import classify
+    from eddyline.session import reuse_layout
+
+    game = tables.spine.first()["gameId"]
+    nameless = tables.spine.withColumn("gameId", F.when(F.col("gameId") != game, F.col("gameId")))
+    with reuse_layout(spark):
+        found = {}
+        for name, rows in (("known", tables.spine), ("null", nameless)):
+            sides = state.sides(rows)
+            labels = classify.classify_events(rows, sides.drop("away_teamId"))
+            enriched = state.enrich(rows, labels, sides).cache()
+            found[name] = enriched, impact.run_impact(enriched)
+            assert enriched.columns == found["known"][0].columns and not [c for c in enriched.columns if c.startswith("_")]
+        for known, null in zip(found["known"], found["null"]):
+            known = known.where(F.col("gameId") == game).drop("gameId")
+            null = null.where("gameId IS NULL").drop("gameId")
+            assert known.count() > 0 and same_rows(known, null)
+        assert state.with_streak(nameless).count() == nameless.count()
+        assert _exchanges(state.with_streak(nameless)) <= 7

@@ -217,3 +217,7 @@ def test_model_finds_a_planted_signal(spark):
     score = winprob.evaluate(winprob.predict(model, test_rows)).first()
     assert score["auc"] > 0.85 and score["brier"] < 0.2
     assert winprob.coefficients(model, train_rows).first()["feature"] == "score_margin"
+    proof = winprob.certificate(model, train_rows).collect()
+    assert all(r["ok"] for r in proof) and len(proof) == 11
+    early = winprob.train(train_rows, max_iter=2)
+    assert not all(r["ok"] for r in winprob.certificate(early, train_rows).collect())
