@@ -27,7 +27,7 @@ COLUMNS = 8192
 def split_by_size(lists: DataFrame, key: str, small: int) -> tuple[DataFrame, DataFrame]:
     """The rows of lists of at most ``small`` members, and the others with column ``size``."""
     sizes = lists.groupBy(key).agg(F.count("*").alias("size"))
-    sized = lists.join(sizes, key)
+    sized = stage(lists.join(sizes, key), "sized-lists")
     return sized.where(F.col("size") <= small).drop("size"), sized.where(F.col("size") > small)
 
 
