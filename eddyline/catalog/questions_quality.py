@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from eddyline.catalog.common import r6, rounded
 from eddyline.catalog.oracle_parts import UPTO, W, oracle
 from eddyline.catalog.oracle_parts import r6 as R
+from eddyline.functions import columns as C
 from eddyline.operators import joins
-from eddyline.plans import quality, questions
+from eddyline.plans import quality, questions, state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,7 +60,8 @@ def _(t):
     return quality.check_order_unique(t.spine)
 
 
-MONO = f"""SELECT col AS "column", count(*) FILTER (WHERE bad) AS n_bad, min(gameId) FILTER (WHERE bad) AS first_bad, CASE WHEN col = 'game_seconds_elapsed' THEN 'warning' ELSE 'error' END AS severity FROM (
+IDS = "array_to_string(list(gameId ORDER BY gameId) FILTER (WHERE bad)[1:5], ',')"
+MONO = f"""SELECT col AS "column", count(*) FILTER (WHERE bad) AS n_bad, coalesce({IDS}, '') AS bad_ids, CASE WHEN col = 'game_seconds_elapsed' THEN 'warning' ELSE 'error' END AS severity FROM (
 SELECT gameId, 'scoreHome' AS col, bool_or(coalesce(h < ph, FALSE)) AS bad FROM mono GROUP BY 1 UNION ALL
 SELECT gameId, 'scoreAway', bool_or(coalesce(scoreAway < pa, FALSE)) FROM mono GROUP BY 1 UNION ALL
 SELECT gameId, 'game_seconds_elapsed', bool_or(coalesce(g < pg, FALSE)) FROM mono GROUP BY 1) q GROUP BY col"""
@@ -74,7 +76,11 @@ def _(t):
     broken = t.spine.withColumn("scoreHome", F.col("scoreHome") - F.when(o % 301 == 0, 1).otherwise(0)).withColumn(
         "game_seconds_elapsed", F.col("game_seconds_elapsed") - 40 * (o % 2)
     )
-    return quality.check_monotone(broken)
+    return joined_ids(quality.check_monotone(broken))
+
+
+def joined_ids(df):
+    return df.withColumn("bad_ids", F.concat_ws(",", F.col("bad_ids").cast("array<string>")))
 
 
 RANGES = {
@@ -88,6 +94,13 @@ def _(t):
     return quality.check_ranges(t.spine.withColumn("game_seconds_elapsed", F.col("game_seconds_elapsed") - 30))
 
 
+@register("check_bad_ids", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS \"check\", count(*) FILTER (WHERE bad) AS n_bad, coalesce({IDS}, '') AS bad_ids FROM (SELECT gameId, bool_or(coalesce({c}, FALSE)) AS bad FROM (SELECT *, game_seconds_elapsed - 30 AS g FROM spine) r GROUP BY gameId) q" for n, c in RANGES.items()) + ") z")
+def _(t):
+    off = t.spine.withColumn("game_seconds_elapsed", F.col("game_seconds_elapsed") - 30)
+    return joined_ids(quality.bad_entity_ids(off, quality.range_rules()))
+
+
 @register("check_intervals", failures_sql({"end before start": "o < i", "empty": "o = i"}, "stints"))
 def _(t):
     return quality.check_intervals(t.stints, "in_game_seconds", "out_game_seconds")
@@ -97,13 +110,22 @@ CONSISTENT = {
     "score_margin": "m2 IS DISTINCT FROM scoreHome - scoreAway", "is_clutch": "is_clutch IS DISTINCT FROM (abs(scoreHome - scoreAway) <= 5 AND game_seconds_elapsed >= 2400)",
     "IsPlayoff": "IsPlayoff IS DISTINCT FROM (season_type = 'po')", "possession points iff id": "(possession_id IS NULL) <> (possession_points IS NULL)",
     "id iff live possession": "(possession_id IS NOT NULL) <> (possession > 0)", "role iff intervention": "(actionType = 'timeout') <> (timeout_role <> '')",
+    "points 0-3": "points_scored NOT IN (0, 1, 2, 3)", "shot value 1-3": "sv NOT IN (1, 2, 3)", "outcome known": "oc NOT IN (" + ", ".join(f"'{o}'" for o in quality.OUTCOMES) + ") AND NOT starts_with(oc, 'ft_')",
 }
 
 
-@register("check_consistency", failures_sql(CONSISTENT, "(SELECT *, score_margin + CASE WHEN orderNumber % 50 = 0 THEN 1 ELSE 0 END AS m2 FROM en) q"))
+@register("check_consistency", failures_sql(CONSISTENT, "(SELECT e.*, score_margin + CASE WHEN orderNumber % 50 = 0 THEN 1 ELSE 0 END AS m2, CASE actionType WHEN '3pt' THEN 3 WHEN '2pt' THEN 2 + CASE WHEN orderNumber % 70 = 0 THEN 3 ELSE 0 END END AS sv, CASE WHEN orderNumber % 90 = 0 THEN 'unheard of' ELSE possession_outcome END AS oc FROM en e LEFT JOIN outc USING (gameId, possession_id)) q"))
 def _(t):
-    off = F.when(F.col("orderNumber") % 50 == 0, 1).otherwise(0)
-    return quality.check_consistency(t.enriched.withColumn("score_margin", F.col("score_margin") + off))
+    # some rows are put out of order, which the checks must notice
+    o = F.col("orderNumber")
+    rows = t.enriched.join(state.possession_outcomes(t.plays), ["gameId", "possession_id"], "left")
+    value = C.shot_value(F.col("actionType"))
+    rows = rows.withColumns({
+        "score_margin": F.col("score_margin") + F.when(o % 50 == 0, 1).otherwise(0),
+        "shot_value": F.when((F.col("actionType") == "2pt") & (o % 70 == 0), 5).otherwise(value),
+        "possession_outcome": F.when(o % 90 == 0, F.lit("unheard of")).otherwise(F.col("possession_outcome")),
+    })
+    return quality.check_consistency(rows)
 
 
 @register("check_alignment", f"SELECT count(*) AS rows_before, CAST(sum(coalesce(n, 1)) AS BIGINT) AS rows_after, {R('avg((n IS NOT NULL)::INT)', 'coverage')} FROM spine s LEFT JOIN (SELECT gameId, personId, count(*) AS n FROM stints GROUP BY ALL) b USING (gameId, personId)")

@@ -372,11 +372,11 @@ def _(t):
 
 @register(
     "derive_missing_columns",
-    f"SELECT {KEY}, seconds_remaining::DOUBLE AS seconds_remaining, game_seconds_elapsed::DOUBLE AS game_seconds_elapsed, seconds_remaining AS pc_seconds FROM raw",
+    f"SELECT {KEY}, seconds_remaining::DOUBLE AS seconds_remaining, game_seconds_elapsed::DOUBLE AS game_seconds_elapsed, seconds_remaining AS pc_seconds, 0.0::DOUBLE AS shotValue, NULL::DATE AS game_date, NULL::DATE AS game_date_ffill FROM raw",
 )
 def _(t):
     feed = t.spine.select(*key, "period", adapter.iso_clock(F.col("seconds_remaining")).alias("clock"))
-    return C.older_feed_columns(feed).select(*key, "seconds_remaining", "game_seconds_elapsed", "pc_seconds")
+    return C.older_feed_columns(feed).select(*key, "seconds_remaining", "game_seconds_elapsed", "pc_seconds", "shotValue", F.to_date("game_date").alias("game_date"), F.to_date("game_date_ffill").alias("game_date_ffill"))
 
 
 CLEAN_SQL = f"""SELECT gameId, orderNumber, actionType, seconds_remaining::DOUBLE AS seconds_remaining,

@@ -158,6 +158,8 @@ def older_feed_columns(df: DataFrame) -> DataFrame:
         {"game_seconds_elapsed": game_elapsed(period, F.col("seconds_elapsed"))},
         {"pc_seconds": F.bround("seconds_remaining", 0).cast("long"), },
         {"IsPlayoff": F.col("season_type").isin("po", "playoffs")} if "season_type" in df.columns else {},
+        {"shotValue": F.lit(0.0)},
+        {name: F.lit(None).cast("timestamp") for name in ("game_date", "game_date_ffill")},
     ):
         df = derive_missing(df, step)
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
@@ -46,16 +46,37 @@ def check_order_unique(df: DataFrame, s: Spine = SPINE) -> DataFrame:
     return check_unique_key(df, [s.entity, s.order])
 
 
+BAD_IDS = 5
+
+
+def bad_ids(flags: DataFrame, entity: str, names: Sequence[str], n: int = BAD_IDS) -> DataFrame:
+    """(check, n_bad, bad_ids): of one row per entity with a flag per check, the number of
+    flagged entities and the ``n`` smallest ids. Tasks keep their ``n`` smallest per check
+    before anything moves, so the list is merged from a few rows of each task."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(F.col(c), F.lit(False)).alias("bad")) for c in names])
+    long = flags.select(F.col(entity).alias("id"), F.explode(pairs).alias("r")).select("id", "r.*")
+    place = F.row_number().over(Window.partitionBy("check").orderBy("id"))
+    few = long.where("bad").select("check", "id").withColumn("place", place).where(F.col("place") <= n)
+    lists = few.groupBy("check").agg(F.array_sort(F.collect_list("id")).alias("bad_ids"))
+    counts = long.groupBy("check").agg(F.count_if("bad").alias("n_bad"))
+    return counts.join(lists, "check", "left").withColumn("bad_ids", F.coalesce("bad_ids", F.array().cast(lists.schema["bad_ids"].dataType)))
+
+
+def bad_entity_ids(df: DataFrame, rules: Mapping[str, Column], n: int = BAD_IDS, s: Spine = SPINE) -> DataFrame:
+    """(check, n_bad, bad_ids) for rules on rows: entities with a row that breaks each rule, all
+    rules in one pass."""
+    per = df.groupBy(s.entity).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(name) for name, c in rules.items()])
+    return bad_ids(per, s.entity, list(rules), n)
+
+
 def check_monotone(df: DataFrame, s: Spine = SPINE) -> DataFrame:
-    """Entities whose scores or clock fall; ``bad_entities`` lists ids."""
+    """Entities whose scores or clock fall, with the five smallest ids of each check."""
     columns = [s.home, s.away, s.clock]
     rows = scan(df, [s.entity], [s.order], s.order_block(), [Lag(f"_p_{c}", F.col(c)) for c in columns])
     per = rows.groupBy(s.entity).agg(
         *[F.coalesce(F.bool_or(F.col(c) < F.col(f"_p_{c}")), F.lit(False)).alias(c) for c in columns]
     )
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("bad")) for c in columns])
-    long = per.select(s.entity, F.explode(pairs).alias("r")).select(s.entity, "r.*")
-    out = long.groupBy("column").agg(F.count_if("bad").alias("n_bad"), F.min(F.when(F.col("bad"), F.col(s.entity))).alias("first_bad"))
+    out = bad_ids(per, s.entity, columns).withColumnRenamed("check", "column")
     severity = F.when(F.col("column") == s.clock, F.lit("warning")).otherwise(F.lit("error"))
     return out.withColumn("severity", severity)
 
@@ -65,8 +86,8 @@ def bad_entities(df: DataFrame, condition: Column, n: int = 5, s: Spine = SPINE)
     return df.where(condition).select(s.entity).distinct().orderBy(s.entity).limit(n)
 
 
-def check_ranges(df: DataFrame, s: Spine = SPINE) -> DataFrame:
-    rules = {
+def range_rules(s: Spine = SPINE) -> dict[str, Column]:
+    return {
         "period 1-10": ~F.col(s.period).between(1, 10),
         "clock >= 0": F.col(s.clock) < 0,
         "remaining >= 0": F.col(s.remaining) < 0,
@@ -75,15 +96,26 @@ def check_ranges(df: DataFrame, s: Spine = SPINE) -> DataFrame:
         "season 2000-2100": ~F.col(s.season).between(2000, 2100),
         "season type known": ~F.col(s.season_type).isin("rg", "po"),
     }
-    return count_failures(df, rules)
+
+
+def check_ranges(df: DataFrame, s: Spine = SPINE) -> DataFrame:
+    return count_failures(df, range_rules(s))
 
 
 def check_intervals(df: DataFrame, start: str, end: str) -> DataFrame:
     return count_failures(df, {"end before start": F.col(end) < F.col(start), "empty": F.col(end) == F.col(start)})
 
 
-def check_consistency(df: DataFrame, s: Spine = SPINE) -> DataFrame:
-    """Stored columns against their recomputation."""
+# How a possession can end, besides free throws (``ft_x_of_y``).
+OUTCOMES = (
+    "made_2pt", "made_3pt", "made_2pt_and1", "made_3pt_and1", "miss", "miss_def_reb",
+    "turnover_live", "turnover_dead", "end_of_period", "violation", "other",
+)
+
+
+def consistency_rules(columns: Sequence[str], s: Spine = SPINE) -> dict[str, Column]:
+    """Stored columns against their recomputation, and against the values they may hold
+    where those columns are there."""
     margin = F.col(s.home) - F.col(s.away)
     clutch = (F.abs(margin) <= 5) & (F.col(s.clock) >= 2400)
     rules = {
@@ -94,7 +126,17 @@ def check_consistency(df: DataFrame, s: Spine = SPINE) -> DataFrame:
         "id iff live possession": F.col("possession_id").isNotNull() != (F.col(s.possession) > 0),
         "role iff intervention": (F.col(s.action) == "timeout") != (F.col("timeout_role") != ""),
     }
-    return count_failures(df, rules)
+    outcome = F.col("possession_outcome")
+    optional = {
+        s.points: ("points 0-3", ~F.col(s.points).isin(0, 1, 2, 3)),
+        "shot_value": ("shot value 1-3", ~F.col("shot_value").isin(1, 2, 3)),
+        "possession_outcome": ("outcome known", ~outcome.isin(*OUTCOMES) & ~outcome.startswith("ft_")),
+    }
+    return rules | {name: rule for column, (name, rule) in optional.items() if column in columns}
+
+
+def check_consistency(df: DataFrame, s: Spine = SPINE) -> DataFrame:
+    return count_failures(df, consistency_rules(df.columns, s))
 
 
 def check_alignment(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
