@@ -30,6 +30,30 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
 
 
+PAIRS_PER_KEY = 1_000_000
+
+
+def hot_buckets(pts: DataFrame, pieces: DataFrame, cells: Sequence[str], pairs: int) -> DataFrame:
+    """(cells, _salts): the cells whose points times intervals exceed ``pairs``, and over how
+    many salts their points go. A cell of one interval and many points counts too."""
+    n = pts.groupBy(*cells).agg(F.count("*").alias("_np"))
+    m = pieces.groupBy(*cells).agg(F.count("*").alias("_ni"))
+    load = F.col("_np").cast("double") * F.col("_ni")
+    salts = F.least(F.ceil(load / pairs), F.col("_np")).cast("int")
+    return n.join(m, list(cells)).where(load > pairs).select(*cells, salts.alias("_salts"))
+
+
+def salted_sides(pts: DataFrame, pieces: DataFrame, cells: Sequence[str], pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on (cells, _salt): the points of a hot cell are dealt over salts
+    and its intervals are repeated for each of them. There are few hot cells, at most all
+    pairs divided by ``pairs``, so marking the rows moves no more than they would anyway."""
+    hot = hot_buckets(pts, pieces, cells, pairs)
+    one = F.coalesce("_salts", F.lit(1))
+    left = pts.join(hot, list(cells), "left").withColumn("_salt", F.pmod(F.xxhash64(*pts.columns), one).cast("int")).drop("_salts")
+    right = pieces.join(hot, list(cells), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return left, right
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -38,17 +62,20 @@ def interval_join(
     start: str,
     end: str,
     width: int = 60,
+    pairs_per_key: int = PAIRS_PER_KEY,
 ) -> DataFrame:
     """Each point with every interval of its key that contains it: start <= t < end.
 
     Intervals are cut into clock buckets, which join on equality; a bucket holds
-    only the intervals alive in it.
+    only the intervals alive in it. Counts of both sides per bucket tell which buckets
+    are hot; these are split over salts.
     """
     lo, hi = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
     pieces = intervals.where(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
     pts = points.withColumn("_bucket", F.floor(F.col(time) / width))
-    joined = pts.join(pieces, [*keys, "_bucket"])
-    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_bucket")
+    left, right = salted_sides(pts, pieces, [*keys, "_bucket"], pairs_per_key)
+    joined = left.join(right, [*keys, "_bucket", "_salt"])
+    return joined.where((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_bucket", "_salt")
 
 
 def asof_backward_bounded(
@@ -101,6 +128,24 @@ def cumulative_at(rows: DataFrame, keys: Sequence[str], clock: str, values: Sequ
     return out.select(*keys, clock, *[s.out for s in steps])
 
 
+def total_before(
+    asked: DataFrame, rows: DataFrame, keys: Sequence[str], clock: str, value: str, at: str, span: int
+) -> DataFrame:
+    """``asked`` with column ``before``: the sum of ``value`` over the rows of its key whose
+    clock is earlier than ``at``; 0 where there is none. One lookup per distinct question."""
+    sums = rows.where(F.col(clock).isNotNull()).groupBy(*keys, F.col(clock).cast("double").alias("_t")).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_v"))
+    totals = scan(sums, keys, ["_t"], block_of("_t", span), [Sum("_c", F.col("_v"))])
+    lookup = totals.select(*keys, "_t", "_c", "_v")
+    questions = asked.select(*keys, F.col(at).cast("double").alias("_t")).distinct()
+    hit = F.col("backward")
+    # a lookup row at the very time is counted in its running total, but is not earlier
+    found = asof(lookup, questions, keys, "_t", ["_c", "_v"], span, directions=("backward",))
+    before = F.coalesce(hit["_c"] - F.when(hit["_t"] == F.col("_t"), hit["_v"]).otherwise(F.lit(0)), F.lit(0)).alias("before")
+    answers = found.select(*keys, F.col("_t").alias("_at_time"), before)
+    named = asked.withColumn("_at_time", F.col(at).cast("double"))
+    return join_null_safe(named, answers, [*keys, "_at_time"], "left").drop("_at_time")
+
+
 def forward_sum(
     queries: DataFrame, rows: DataFrame, keys: Sequence[str], clock: str, values: Sequence[str], horizon: int, span: int
 ) -> DataFrame:

@@ -162,3 +162,36 @@ def test_value_blocks_give_the_same_ranks(spark):
 def test_histogram_closes_the_last_bin(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (9.99,), (10.0,), (10.5,), (-1.0,)], "v double")
     assert {r["bin"]: r["n"] for r in A.histogram(df, [], "v", 0, 5, 2).collect()} == {0: 2, 1: 2}
+
+
+def test_interval_join_splits_hot_buckets(spark):
+    """One entity holds a third of the rows, all of them in one bucket."""
+    points = [(1, i % 50, i) for i in range(600)] + [(2 + i % 40, (i * 7) % 300, 1000 + i) for i in range(1200)]
+    intervals = [(1, a, a + 30, a) for a in range(0, 50, 2)] + [(k, a, a + 25, 100 * k + a) for k in range(2, 42) for a in range(0, 300, 60)]
+    pts = spark.createDataFrame(points, "g long, t long, p long")
+    spans = spark.createDataFrame(intervals, "g long, a long, b long, i long")
+    got = {(r["p"], r["i"]) for r in joins.interval_join(pts, spans, ["g"], "t", "a", "b", width=60, pairs_per_key=200).collect()}
+    want = {(p, i) for g, t, p in points for h, a, b, i in intervals if g == h and a <= t < b}
+    assert got == want
+    cut = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("a") / 60), F.floor(F.col("b") / 60))))
+    left, right = joins.salted_sides(pts.withColumn("_bucket", F.floor(F.col("t") / 60)), cut, ["g", "_bucket"], 200)
+    key = ["g", "_bucket", "_salt"]
+    load = left.groupBy(*key).count().join(right.groupBy(*key).agg(F.count("*").alias("m")), key).select((F.col("count") * F.col("m")).alias("n"))
+    sizes = sorted(r["n"] for r in load.collect())
+    assert sizes[-1] <= 2 * 200 and left.count() == len(points)
+    whole = left.groupBy("g", "_bucket").count().join(right.dropDuplicates(["g", "_bucket", "i"]).groupBy("g", "_bucket").agg(F.count("*").alias("m")), ["g", "_bucket"])
+    assert whole.agg(F.max(F.col("count") * F.col("m"))).first()[0] > 10_000
+
+
+def test_total_before_is_strict(spark):
+    rows = spark.createDataFrame([(1, 5.0, 2), (1, 5.0, 3), (1, 9.0, 10), (2, 1.0, 7), (None, 4.0, 1)], "g long, t double, v long")
+    asked = spark.createDataFrame([(1, 5.0), (1, 5.5), (1, 9.0), (1, 100.0), (2, 0.0), (3, 8.0), (None, 5.0)], "g long, x double")
+    got = {(r["g"], r["x"]): r["before"] for r in joins.total_before(asked, rows, ["g"], "t", "v", "x", 60).collect()}
+    assert got == {(1, 5.0): 0, (1, 5.5): 5, (1, 9.0): 5, (1, 100.0): 15, (2, 0.0): 0, (3, 8.0): 0, (None, 5.0): 1}
+
+
+def test_fatigue_forms_no_pairs(tables):
+    from eddyline.plans import questions
+
+    plan = questions.fatigue_by_stint_minute(tables.enriched, tables.stints, min_minutes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" not in plan and "NestedLoop" not in plan
