@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine, block_of
 from eddyline.operators.asof import asof
-from eddyline.operators.scan import Last, Sum, scan
+from eddyline.operators.scan import Last, Max, Sum, scan
+from eddyline.session import stage
 
 
 def first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -166,6 +168,27 @@ def forward_sum(
     return queries.join(diffs, [*keys, clock], "left")
 
 
+def ranges_of(lo: Column, hi: Column, levels: int) -> Column:
+    """The whole numbers lo … hi as an array of (level, node): node n of a level stands for
+    the 2^level numbers from n 2^level on. There are at most two nodes a level."""
+    kind = "array<struct<level:int,node:bigint>>"
+    start = F.struct(lo.cast("long").alias("l"), (hi + 1).cast("long").alias("r"), F.array().cast(kind).alias("nodes"))
+
+    def one(take: Column, level: Column, node: Column) -> Column:
+        return F.when(take, F.array(F.struct(level.alias("level"), node.alias("node")))).otherwise(F.array().cast(kind))
+
+    def step(acc: Column, level: Column) -> Column:
+        l, r = acc["l"], acc["r"]
+        from_left = (l < r) & (F.pmod(l, F.lit(2)) == 1)
+        after = F.when(from_left, l + 1).otherwise(l)
+        from_right = (after < r) & (F.pmod(r, F.lit(2)) == 1)
+        upto = F.when(from_right, r - 1).otherwise(r)
+        nodes = F.concat(acc["nodes"], one(from_left, level, l), one(from_right, level, upto))
+        return F.struct(F.floor(after / 2).alias("l"), F.floor(upto / 2).alias("r"), nodes.alias("nodes"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["nodes"])
+
+
 def first_after(
     triggers: DataFrame,
     events: DataFrame,
@@ -178,36 +201,51 @@ def first_after(
     """For each trigger row, the first event of its key that comes after it by order and
     whose clock is at most ``within`` later; nulls where there is none.
 
-    Clocks may run back, so an event that lies outside the window does not hide a later
-    one inside it: each whole second of the window is asked for its next event by order,
-    and the smallest order wins. Cost is triggers x seconds, no pair is formed.
+    One scan finds the next event by order, which is the answer if its clock is in the
+    window, and the earliest clock of all later events, which tells whether there is any
+    answer. Only where the clock runs back is neither so: there the window is cut into
+    ranges of seconds, at most two per power of two, each is asked for its next event by
+    order, and the smallest order wins. No pair is formed.
     """
     names = [s.order, s.clock, *payload]
-    second = F.floor(F.col(s.clock)).cast("long")
     boxed = F.struct(*names)
-    left = events.where(F.col(s.clock).isNotNull()).select(*keys, s.order, second.alias("_sec"), boxed.alias("_ev"), F.lit(0).alias("_q"))
-    asked = triggers.where(F.col(s.clock).isNotNull()).select(*keys, s.order, F.col(s.clock).alias("_tc")).distinct()
-    seconds = F.sequence(F.floor("_tc").cast("long"), F.floor(F.col("_tc") + within).cast("long"))
-    right = asked.withColumn("_sec", F.explode(seconds)).withColumn("_q", F.lit(1))
-    # a second without events has no answer
-    right = right.join(left.select(*keys, "_sec").distinct(), [*keys, "_sec"], "left_semi")
-    if s.clock in events.columns and dict(events.dtypes)[s.clock] in ("double", "float", "decimal"):
-        # inside the first and the last second the clock itself decides
-        edge = (F.col("_sec") == F.floor("_tc")) | (F.col("_sec") == F.floor(F.col("_tc") + within))
-        inner, outer = right.where(~edge), right.where(edge)
-        parts = [_next_in(left, inner, keys, s, ["_sec"], names)]
-        exact = left.withColumn("_at", F.col("_ev")[s.clock])
-        clocks = exact.select(*keys, "_sec", "_at").distinct()
-        outer = outer.join(clocks, [*keys, "_sec"]).where((F.col("_at") >= F.col("_tc")) & (F.col("_at") <= F.col("_tc") + within))
-        parts.append(_next_in(exact, outer, keys, s, ["_sec", "_at"], names))
-        found = parts[0].unionByName(parts[1])
-    else:
-        found = _next_in(left, right, keys, s, ["_sec"], names)
+    left = events.where(F.col(s.clock).isNotNull()).select(*keys, s.order, F.col(s.clock).alias("_at"), boxed.alias("_ev"), F.lit(0).alias("_q"))
+    asked = triggers.where(F.col(s.clock).isNotNull()).select(*keys, s.order, F.col(s.clock).alias("_tc")).distinct().withColumn("_q", F.lit(1))
+    steps = [Last("_next", F.col("_ev"), inclusive=False, reverse=True), Max("_soon", -F.col("_at"), reverse=True)]
+    seen = scan(left.unionByName(asked, allowMissingColumns=True), keys, [s.order, "_q"], s.order_block(), steps).where("_q = 1")
+    hit = F.col("_next")[s.clock]
+    state = F.when(F.col("_next").isNull() | (-F.col("_soon") > F.col("_tc") + within), "none").when((hit >= F.col("_tc")) & (hit <= F.col("_tc") + within), "next").otherwise("open")
+    seen = stage(seen.select(*keys, s.order, "_tc", "_next", state.alias("_state")), "next-events")
+
+    found = seen.where("_state = 'next'").select(*keys, s.order, "_next").unionByName(_in_ranges(left, seen.where("_state = 'open'"), keys, s, within, names))
     first = found.groupBy(*keys, s.order).agg(F.min_by("_next", F.col("_next")[s.order]).alias("_next"))
     first = first.select(*keys, s.order, *[F.col("_next")[c].alias(prefix + c) for c in names])
     return triggers.join(first, [*keys, s.order], "left")
 
 
+def _in_ranges(left: DataFrame, open_: DataFrame, keys: Sequence[str], s: Spine, within: int, names: Sequence[str]) -> DataFrame:
+    """(keys, order, _next) of triggers after which the clock runs back."""
+    second = F.floor("_at").cast("long")
+    low, high = F.floor("_tc").cast("long"), F.floor(F.col("_tc") + within).cast("long")
+    whole = dict(left.dtypes)["_at"] not in ("double", "float") and not dict(left.dtypes)["_at"].startswith("decimal")
+    levels = max(1, math.ceil(math.log2(within + 2)))
+    of_interest = left.join(open_.select(*keys).distinct(), list(keys), "left_semi")
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(second / F.pow(F.lit(2), k)).cast("long").alias("node")))
+    by_range = of_interest.withColumn("_n", F.explode(nodes)).select(*keys, s.order, "_ev", "_q", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+    inner = ranges_of(low, high, levels) if whole else ranges_of(low + 1, high - 1, levels)
+    asked = open_.select(*keys, s.order, F.lit(1).alias("_q"), F.explode(inner).alias("_n"))
+    asked = asked.select(*keys, s.order, "_q", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+    found = _next_in(by_range, asked, keys, s, ["_level", "_node"], names)
+    if whole:
+        return found
+    # inside the first and the last second the clock itself decides
+    seconds = F.explode(F.array_distinct(F.array(low, high)))
+    outer = open_.select(*keys, s.order, "_tc", F.lit(1).alias("_q"), seconds.alias("_sec"))
+    exact = of_interest.withColumn("_sec", second)
+    outer = outer.join(exact.select(*keys, "_sec", "_at").distinct(), [*keys, "_sec"]).where((F.col("_at") >= F.col("_tc")) & (F.col("_at") <= F.col("_tc") + within))
+    return found.unionByName(_next_in(exact, outer, keys, s, ["_sec", "_at"], names))
+
+
 def _next_in(left: DataFrame, right: DataFrame, keys: Sequence[str], s: Spine, within: Sequence[str], names: Sequence[str]) -> DataFrame:
     """For each asked row, the next event by order that shares ``keys`` and ``within``."""
     rows = left.select(*keys, s.order, *within, "_ev", "_q").unionByName(right.select(*keys, s.order, *within, "_q"), allowMissingColumns=True)

@@ -195,3 +195,11 @@ def test_fatigue_forms_no_pairs(tables):
 
     plan = questions.fatigue_by_stint_minute(tables.enriched, tables.stints, min_minutes=1)._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" not in plan and "NestedLoop" not in plan
+
+
+def test_ranges_cover_the_window_with_few_nodes(spark):
+    rows = [(lo, lo + n) for lo in range(0, 70, 7) for n in (0, 1, 5, 31, 60, 61)] + [(5, 4)]
+    df = spark.createDataFrame(rows, "lo long, hi long")
+    for r in df.select("lo", "hi", joins.ranges_of(F.col("lo"), F.col("hi"), 6).alias("nodes")).collect():
+        covered = sorted(x for n in r["nodes"] for x in range(n["node"] << n["level"], (n["node"] + 1) << n["level"]))
+        assert covered == list(range(r["lo"], r["hi"] + 1)) and len(r["nodes"]) <= 2 * 6
