@@ -12,6 +12,7 @@ from eddyline.operators import aggregates as A
 from eddyline.operators import joins, matching
 from eddyline.operators.asof import nearest_shifted
 from eddyline.operators.scan import Changes, Lag, Max, Sum, scan
+from eddyline.streaming import ordered
 from eddyline.plans import classify, cleaning, impact, questions, state, windows
 from eddyline.config import SPINE as S
 
@@ -493,6 +494,13 @@ def _(t):
     return by_order(t, [Changes("segment", F.col("teamId"), F.lit(True))], t.spine).select(*key, "segment")
 
 
+@register("stream_segment_ids", f"SELECT {KEY}, CAST(sum(f) OVER ({W} {UPTO}) AS BIGINT) AS segment FROM (SELECT gameId, orderNumber, CASE WHEN lag(teamId) OVER ({W}) = teamId THEN 0 ELSE 1 END AS f FROM raw) q")
+def _(t):
+    # the log as files that arrive in four chunks, a tenth of the rows one chunk late
+    log = ordered.as_arrivals(t.spine.select(*key, "timeActual", "teamId"), "timeActual", "segments")
+    return ordered.run_available(ordered.segment_ids(log, ["gameId"], "orderNumber", "timeActual", "teamId", "16 days"), "segments")
+
+
 @register("first_in_group", "SELECT gameId, period, min(orderNumber) AS orderNumber, arg_min(actionType, orderNumber) AS actionType FROM raw GROUP BY gameId, period")
 def _(t):
     return joins.first_in_group(t.spine.select("gameId", "period", "orderNumber", "actionType"), ["gameId", "period"], ["orderNumber"])

@@ -13,6 +13,7 @@ from eddyline.functions import distributions as D
 from eddyline.functions.predicates import SampleSpec
 from eddyline.plans import decisions, resampling, samples, stats, windows, winprob
 from eddyline.session import stage
+from eddyline.streaming import ordered
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -454,6 +455,22 @@ def _(t):
     return rounded(stats.sprt(points(t), ["season_type"], "value", "orderNumber"), ["final_llr"])
 
 
+STREAM = {
+    "ss": "SELECT season_type, row_number() OVER w AS i, sum((42 - 36) / 900.0::DOUBLE * (value - (42 + 36) / 2.0)) OVER w AS c FROM spine WHERE actionType = 'timeout' WINDOW w AS (PARTITION BY season_type ORDER BY orderNumber ROWS UNBOUNDED PRECEDING)",
+    "sd": "SELECT *, c >= ln(0.9 / 0.05) AS up, (c >= ln(0.9 / 0.05) OR c <= ln(0.1 / 0.95)) AS hit FROM ss",
+}
+
+
+@register("stream_sprt", f"""SELECT season_type, max(i) AS n, {R('arg_max(c, i)', 'final_llr')}, min(i) FILTER (WHERE hit) AS decision_n,
+CASE WHEN min(i) FILTER (WHERE hit) IS NULL THEN 'continue' WHEN arg_min(up, i) FILTER (WHERE hit) THEN 'reject' ELSE 'accept' END AS decision FROM sd GROUP BY season_type""", STREAM)
+def _(t):
+    calls = t.spine.where("actionType = 'timeout'").select("season_type", "orderNumber", "timeActual", "value")
+    log = ordered.as_arrivals(calls, "timeActual", "sprt")
+    tested = ordered.sprt(log, ["season_type"], "orderNumber", "timeActual", "value", "16 days", theta_0=36.0, theta_1=42.0, sigma2=900.0)
+    last = ordered.run_available(tested, "sprt").groupBy("season_type").agg(F.max_by(F.struct("n", "llr", "decision_n", "decision"), "n").alias("r")).select("season_type", "r.*")
+    return rounded(last.withColumnRenamed("llr", "final_llr"), ["final_llr"])
+
+
 @register("test_joint_detect_estimate", f"""SELECT season_type, {R('(n_a + n_b) * ' + lnv('pv') + ' - n_a * ' + lnv('pa') + ' - n_b * ' + lnv('pb'), 'glrt_stat')}, {R('ma', 'theta_hat')}, {R('mb', 'theta_0')},
 {R('ma - 1.959963984540054 * sqrt(pa) / sqrt(n_a)', 'ci_low')}, {R('ma + 1.959963984540054 * sqrt(pa) / sqrt(n_a)', 'ci_high')}, {R('(ma - mb) / (sqrt(pb) + 1e-15)', 'effect_size')} FROM m""", BOTH)
 def _(t):
