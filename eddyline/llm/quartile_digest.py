@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from eddyline.llm.common import by_bytes, id_type, shuffle_parts, table, two_columns
 
@@ -183,7 +184,7 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ]
         yield pa.RecordBatch.from_arrays(columns, names)
 
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = to_arrow_type(df.schema[id_col].dataType)
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(df, work, schema, id_col, text_col)
 

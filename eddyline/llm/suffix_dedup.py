@@ -17,8 +17,9 @@ candidate regions only, chosen without loss:
    Kasai's rule gives the common prefixes of neighbours, and stretches of at least
    ``LENGTH`` are classes of equal windows; all but the earliest are repeats.
 4. An anchor with very many different runs (a passage in a large part of all documents)
-   is dealt over many shards. The sorted class lists of its shards are merged: each list is
-   looked up in the joint key list by binary search, and the earliest window of a key stays.
+   is dealt over as many shards as its bytes fill. The sorted class lists of its shards are
+   merged: each list is looked up in the joint key list by binary search, and the earliest
+   window of a key stays.
 
 Runs travel as packed rows; a task sends one of equal runs and settles the others itself.
 Documents are met with their repeats by buckets of the id, one shuffle of the texts to cut
@@ -59,7 +60,7 @@ _BYTES = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64)
 
 RUN = [np.int64, np.int64, np.int64, np.int32, np.uint64, np.uint64, np.uint8]  # id, text key, start, windows, anchor, bytes' hash, mark
 SPANS = [np.int64, np.int64, np.int64, np.int64]  # id, text key, start, end
-NEED = [np.int64, np.int64, np.int64, np.int32, np.uint64, np.uint8]  # id, text key, start, windows, anchor, crowded
+NEED = [np.int64, np.int64, np.int64, np.int32, np.uint64, np.uint16]  # id, text key, start, windows, anchor, shards (0: one)
 SELF, MARKER, CROWDED = 1, 2, 4
 
 
@@ -221,7 +222,7 @@ def _meet(buckets: int):
             out.append(("span", -1 - made.column("bucket").to_numpy(), made.column("blob").to_pylist()))
         if len(wanted):
             wanted = wanted[np.lexsort((run[2][wanted], run[0][wanted]))]
-            need = [run[k][wanted] for k in range(5)] + [np.isin(run[4][wanted], crowded).astype(np.uint8)]
+            need = [run[k][wanted] for k in range(5)] + [_shards_of(run[4][wanted], run[3][wanted], crowded)]
             made = deal(_bucket(need[0], buckets), need, (0, 2))
             out.append(("need", made.column("bucket").to_numpy(), made.column("blob").to_pylist()))
         return _rows(out)
@@ -229,6 +230,17 @@ def _meet(buckets: int):
     return meet
 
 
+def _shards_of(anchors: np.ndarray, windows: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """Over how many shards the runs of each run's anchor go, from their bytes; 0 for one. A
+    bucket has all runs of an anchor, or about one in ``SPREAD`` of a crowded one."""
+    names, place = np.unique(anchors, return_inverse=True)
+    many = np.isin(names, crowded)
+    total = np.bincount(place, windows.astype(np.int64) - 1 + LENGTH, minlength=len(names)) * np.where(many, SPREAD, 1)
+    shards = np.ceil(total / SHARD_BYTES)
+    shards = np.where(many, np.maximum(shards, SPREAD), np.where(shards > 1, shards, 0))
+    return np.minimum(shards, 65535).astype(np.uint16)[place]
+
+
 def _rows(out: list) -> pa.Table:
     return pa.table(
         [
@@ -250,7 +262,7 @@ def _cut(buckets: int):
         ids, keys, start, size, anchor, crowd = gather(rows.column("blob").to_pylist(), NEED, (0, 2))
         texts = _texts(docs, set(zip(ids.tolist(), keys.tolist())))
         shard = (anchor % np.uint64(buckets)).astype(np.int64)
-        salt = mix(ids.astype(np.uint64) + np.uint64(11)) % np.uint64(SPREAD)
+        salt = mix(ids.astype(np.uint64) + np.uint64(11)) % np.maximum(crowd, 1).astype(np.uint64)
         shard[crowd > 0] = ((anchor + salt) % np.uint64(buckets)).astype(np.int64)[crowd > 0]
         out: dict[int, list] = {}
         for i, k, s, n, a, c, to in zip(*(x.tolist() for x in (ids, keys, start, size, anchor, crowd, shard))):
@@ -465,7 +477,9 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            ids = batch.column("doc_id").fill_null(0).to_numpy().copy()
+            for i in np.flatnonzero(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)):
+                ids[i] = text_key(batch.column("text")[int(i)].as_py().encode())
             bucket = pa.array(_bucket(ids, buckets).astype(np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), bucket], ["doc_id", "text", "bucket"])
 

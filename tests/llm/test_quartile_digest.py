@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 from eddyline.llm import quartile_digest as q
+from pyspark.sql import functions as F
 
 
 def check(rows, got):
@@ -50,3 +51,11 @@ def test_chunks_do_not_change_counts(monkeypatch):
     whole = q.counts_of(raw)
     monkeypatch.setattr(q, "CHUNK", 777)
     assert (q.counts_of(raw) == whole).all()
+
+
+def test_ids_of_other_types(spark):
+    rows = [(i, f"text number {i} " * 20) for i in range(5)]
+    for kind in ("smallint", "tinyint", "decimal(9,2)"):
+        df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = {int(r["doc_id"]): r["n_chars"] for r in q.edited_pairs(df).collect()}
+        assert got == {i: len(t) for i, t in rows}

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from eddyline.llm import suffix_dedup as s
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,8 +63,10 @@ def test_against_brute_force(spark):
     compare(spark, list(enumerate(texts())))
 
 
-def test_crowded_anchors_are_merged(spark, monkeypatch):
-    monkeypatch.setattr(s, "CROWD", 2)
+@pytest.mark.parametrize("crowd", [2, 10**9])
+def test_crowded_anchors_are_merged(spark, monkeypatch, crowd):
+    """Noticed by one batch, or from the bytes of an anchor over the corpus."""
+    monkeypatch.setattr(s, "CROWD", crowd)
     monkeypatch.setattr(s, "SHARD_BYTES", 2000)
     monkeypatch.setattr(s, "REGION", 50)
     compare(spark, list(enumerate(texts(8))))
