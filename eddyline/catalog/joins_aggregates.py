@@ -545,7 +545,7 @@ def _(t):
 @register("sort_result", "SELECT time_bucket, sort_key::BIGINT AS sort_key, n FROM (SELECT time_bucket, count(*) AS n, CASE time_bucket WHEN 'Q1' THEN 0 WHEN 'Q2' THEN 1 WHEN 'Q3' THEN 2 WHEN 'Q4_early' THEN 3 WHEN 'Q4_clutch' THEN 4 ELSE 5 END AS sort_key FROM evw GROUP BY 1) q")
 def _(t):
     order = ["Q1", "Q2", "Q3", "Q4_early", "Q4_clutch", "OT"]
-    rows = windows.event_windows(t.enriched, t.possessions).groupBy("time_bucket").agg(F.count("*").alias("n"))
+    rows = t.events.groupBy("time_bucket").agg(F.count("*").alias("n"))
     position = F.array_position(F.array(*map(F.lit, order)), F.col("time_bucket")) - 1
     return rows.withColumn("sort_key", position.cast("long")).orderBy("sort_key")
 

@@ -494,7 +494,7 @@ EVW = ["calling_team", "opponent_team", "pts_for_pre", "pts_against_pre", "pts_f
 
 @register("event_windows", f"SELECT {KEY}, calling_team, opponent_team, {', '.join(c + '::BIGINT AS ' + c for c in EVW[2:-1])}, time_bucket, {R('ppp_for_pre', 'ppp_for_pre')}, {R('ppp_for_post', 'ppp_for_post')} FROM evw")
 def _(t):
-    rows = windows.event_windows(t.enriched, t.possessions)
+    rows = t.events
     rows = longs(rows, EVW[2:-1])
     return rows.select(*key, *EVW, r6("ppp_for_pre"), r6("ppp_for_post"))
 
@@ -504,7 +504,7 @@ BASE = ["calling_team_ppp", "opponent_team_ppp", "h2h_pt_diff_per_poss", "excess
 
 @register("attach_baselines", f"SELECT {KEY}, {', '.join(R(c, c) for c in BASE)} FROM evb")
 def _(t):
-    rows = windows.full_event_table(t.enriched, t.spine, t.possessions)
+    rows = t.event_table
     return rows.select(*key, *[r6(c) for c in BASE])
 
 
@@ -516,13 +516,13 @@ def pre_post_sql(by, pre, post, excess):
 
 @register("pre_post_summary_net", pre_post_sql("time_bucket", "net_pre", "net_post", {"excess_vs_baseline": "excess_net_post", "excess_vs_h2h": "excess_h2h_net_post"}))
 def _(t):
-    out = windows.pre_post_summary(windows.full_event_table(t.enriched, t.spine, t.possessions), ["time_bucket"]).drop("df")
+    out = windows.pre_post_summary(t.event_table, ["time_bucket"]).drop("df")
     return rounded(out, [c for c in out.columns if c not in ("time_bucket", "n")])
 
 
 @register("pre_post_summary_ppp", pre_post_sql("season_type", "ppp_for_pre", "ppp_for_post", {"excess_vs_baseline": "excess_ppp_for_post"}))
 def _(t):
-    out = windows.pre_post_summary(windows.full_event_table(t.enriched, t.spine, t.possessions), ["season_type"], "ppp").drop("df")
+    out = windows.pre_post_summary(t.event_table, ["season_type"], "ppp").drop("df")
     return rounded(out, [c for c in out.columns if c not in ("season_type", "n")])
 
 
@@ -531,7 +531,7 @@ OVER = {"net_pre_mean": "net_pre", "net_post_mean": "net_post", "delta_mean": "n
 
 @register("overall_table", f"SELECT g AS \"group\", count(*) AS n, {', '.join(R(f'avg({c})', o) for o, c in OVER.items())} FROM (SELECT 'all' AS g, * FROM evb UNION ALL SELECT CASE WHEN is_endogenous THEN 'endogenous' ELSE 'exogenous' END, * FROM evb) q GROUP BY g")
 def _(t):
-    out = windows.overall_table(windows.full_event_table(t.enriched, t.spine, t.possessions))
+    out = windows.overall_table(t.event_table)
     return rounded(out, list(OVER))
 
 

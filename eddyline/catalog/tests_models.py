@@ -120,7 +120,7 @@ ONE = f"count(*) AS n, {R('avg(x)', 'mean')}, {R('stddev_samp(x)', 'std')}, {R('
 
 @register("test_t1", f"SELECT season, {ONE} FROM (SELECT season, net_change AS x FROM evw) q GROUP BY season")
 def _(t):
-    rows = windows.event_windows(t.enriched, t.possessions)
+    rows = t.events
     return rounded(stats.one_sample(rows, ["season"], "net_change"), ["mean", "std", "t_stat"])
 
 
@@ -129,7 +129,7 @@ ONE_P = {"t1": "SELECT season, count(*) AS n, avg(net_change) AS mean, stddev_sa
 
 @register("test_t1_p", f"SELECT season, n, {R('mean', 'mean')}, {R('std', 'std')}, {R('t', 't_stat')}, {R('p', 'p_value')}, {sig('p')} FROM t1p", ONE_P)
 def _(t):
-    rows = windows.event_windows(t.enriched, t.possessions)
+    rows = t.events
     return rounded(stats.one_sample_p(stats.one_sample(rows, ["season"], "net_change")), ["mean", "std", "t_stat", "p_value"])
 
 
@@ -139,13 +139,13 @@ GLRT_COLS = ["mean", "std", "sigma2_h1", "sigma2_h0", "glrt_stat", "t_stat"]
 
 @register("glrt_zero_mean", f"SELECT {GLRT} FROM (SELECT net_post::DOUBLE AS x FROM evw) q")
 def _(t):
-    rows = windows.event_windows(t.enriched, t.possessions)
+    rows = t.events
     return rounded(stats.glrt_zero_mean(rows, [], "net_post"), GLRT_COLS)
 
 
 @register("glrt_groups", f"SELECT time_bucket, {GLRT} FROM (SELECT time_bucket, excess_net_post AS x FROM evb WHERE excess_net_post IS NOT NULL) q GROUP BY time_bucket HAVING count(*) >= 10")
 def _(t):
-    rows = windows.full_event_table(t.enriched, t.spine, t.possessions)
+    rows = t.event_table
     return rounded(stats.glrt_zero_mean(rows, ["time_bucket"], "excess_net_post", 10), GLRT_COLS)
 
 
@@ -157,7 +157,7 @@ GLRT_P = {
 
 @register("glrt_groups_p", f"SELECT time_bucket, n, {R('mean', 'mean')}, {R('std', 'std')}, {R('h1', 'sigma2_h1')}, {R('h0', 'sigma2_h0')}, {R('g', 'glrt_stat')}, {R('t', 't_stat')}, {R('pg', 'glrt_p')}, {R('pt', 't_p')}, {R('3.841458820694124', 'critical_value')}, g > 3.841458820694124 AS reject, {sig('pg')} FROM gp", GLRT_P)
 def _(t):
-    rows = windows.full_event_table(t.enriched, t.spine, t.possessions)
+    rows = t.event_table
     out = stats.glrt_zero_mean_p(stats.glrt_zero_mean(rows, ["time_bucket"], "excess_net_post", 10))
     # the interval needs quantiles for few degrees of freedom: see the unit tests
     return rounded(out.drop("ci_low", "ci_high"), [*GLRT_COLS, "glrt_p", "t_p", "critical_value"])
@@ -170,7 +170,7 @@ SWEEP = {
 
 
 def _sweep(t):
-    rows = windows.full_event_table(t.enriched, t.spine, t.possessions)
+    rows = t.event_table
     return stats.glrt_sweep(rows, ["net_change", "excess_net_post", "excess_h2h_net_post"], ["time_bucket", "season_type", "timeout_cause"], 10)
 
 
@@ -568,7 +568,7 @@ def _(t):
 
 def _fixed_added(t):
     scored = _fixed(winprob.as_features(_model(t)[0]).dropna(subset=winprob.FEATURES))
-    return winprob.wp_added(windows.event_windows(t.enriched, t.possessions), scored)
+    return winprob.wp_added(t.events, scored)
 
 
 @register("wp_added_fixed", f"SELECT gameId, orderNumber, {R('pre', 'wp_pre_calling')}, {R('post', 'wp_post_calling')}, {R('post - pre', 'wp_added_calling')} FROM wpa", SNAPS)
@@ -611,11 +611,11 @@ def _(t):
 
 @register("wp_added")
 def _(t):
-    rows = winprob.wp_added(windows.event_windows(t.enriched, t.possessions), _scored(t))
+    rows = winprob.wp_added(t.events, _scored(t))
     return rows.select(*key, "wp_pre_calling", "wp_post_calling", "wp_added_calling")
 
 
 @register("wp_added_summary")
 def _(t):
-    rows = winprob.wp_added(windows.event_windows(t.enriched, t.possessions), _scored(t))
+    rows = winprob.wp_added(t.events, _scored(t))
     return winprob.wp_added_summary(rows, ["time_bucket"])

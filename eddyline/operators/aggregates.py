@@ -86,9 +86,12 @@ ROWS_PER_BLOCK = 1_000_000
 
 
 def range_blocks(df: DataFrame, column: str, rows_per_block: int) -> DataFrame:
-    """``df`` staged with a block number that is ordered like the values: the partition
-    it falls into when dealt out by range. Equal values share a block."""
+    """``df``, a staged table, with a block number that is ordered like the values: the
+    partition it falls into when dealt out by range, and then staged again. Equal values
+    share a block. What fits one block is left as it is."""
     parts = max(1, -(-df.count() // rows_per_block))
+    if parts == 1:
+        return df.withColumn(BLOCK, F.lit(0).cast("long"))
     dealt = df.repartitionByRange(parts, column).withColumn(BLOCK, F.spark_partition_id().cast("long"))
     return stage(dealt, "blocks")
 

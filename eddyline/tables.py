@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from eddyline.config import SPINE
-from eddyline.plans import classify, impact, state
+from eddyline.plans import classify, impact, state, windows
 from eddyline.session import prepare, reuse_layout, stage
 from eddyline.sources import adapter, side_tables
 
@@ -80,6 +80,16 @@ class Tables:
     def possessions(self) -> DataFrame:
         return state.possessions(self.enriched)
 
+    @cached_property
+    def events(self) -> DataFrame:
+        """Interventions with the possessions before and after them."""
+        return stage(windows.event_windows(self.enriched, self.possessions), "events")
+
+    @cached_property
+    def event_table(self) -> DataFrame:
+        """The same with the teams' baselines."""
+        return stage(windows.with_baselines(self.events, self.spine, self.possessions), "event-table")
+
     @cached_property
     def stints(self) -> DataFrame:
         return stage(side_tables.stints(self.spine), "stints")
