@@ -18,7 +18,7 @@ from eddyline.llm.ordinal_toxicity import op7_ordinal_toxicity
 from eddyline.llm.quartile_digest import op10_quartile_digest
 from eddyline.llm.residue_negatives import OP11_SQL, op11_residue_negatives
 from eddyline.llm.secret_battery import op1_secret_battery
-from eddyline.llm.suffix_dedup import op5_suffix_dedup
+from eddyline.llm.suffix_dedup import OP5_SQL, op5_suffix_dedup
 from eddyline.llm.warc_bundles import OP8_SQL, op8_warc_bundles
 
 OPERATORS = (
@@ -36,7 +36,13 @@ OPERATORS = (
     op12_fast_similarity,
     op13_exact_whitening,
 )
-SQL = {"op8_warc_bundles": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_residue_negatives": OP11_SQL, "op12_fast_similarity": OP12_SQL}
+SQL = {
+    "op5_suffix_dedup": OP5_SQL,
+    "op8_warc_bundles": OP8_SQL,
+    "op9_ngram_join": OP9_SQL,
+    "op11_residue_negatives": OP11_SQL,
+    "op12_fast_similarity": OP12_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -545,3 +545,31 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), windows AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS w FROM texts, unnest(range(0, n - 99)) AS t(s) WHERE n >= 100
+), late AS MATERIALIZED (
+  SELECT doc_id, s FROM windows
+  QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1
+), edges AS (
+  SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS opens FROM late
+), numbered AS (
+  SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edges
+), spans AS MATERIALIZED (
+  SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, k
+), pieces AS (
+  SELECT t.doc_id, p.k, CASE WHEN p.k IS NULL THEN h ELSE substr(h, 2 * coalesce(lag(p.b) OVER w, 0) + 1, 2 * (p.a - coalesce(lag(p.b) OVER w, 0))) END AS piece
+  FROM texts t LEFT JOIN spans p USING (doc_id) WINDOW w AS (PARTITION BY t.doc_id ORDER BY p.k)
+), ends AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM spans GROUP BY doc_id
+), joined AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY k) AS body FROM pieces GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE body || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM texts LEFT JOIN ends USING (doc_id) LEFT JOIN joined USING (doc_id)
+"""
