@@ -59,3 +59,35 @@ def test_ids_of_other_types(spark):
         df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
         got = {int(r["doc_id"]): r["n_chars"] for r in q.edited_pairs(df).collect()}
         assert got == {i: len(t) for i, t in rows}
+
+
+def slow_digest(raw, buckets=256):
+    """The definition on Python integers."""
+    counts = [0] * buckets
+    for k, (i, j) in enumerate(((3, 7), (4, 9), (5, 11))):
+        for a in range(len(raw) - j):
+            h = (raw[a] * 2654435761 + raw[a + i] * 2246822519 + raw[a + j] * 3266489917 + 668265263 * (k + 1)) % 2**32
+            h = (h ^ h >> 15) * 2246822519 % 2**32
+            counts[h >> 24] += 1
+    ordered = sorted(counts)
+    quarter = [sum(c > ordered[buckets * k // 4 - 1] for k in (1, 2, 3)) for c in counts]
+    packed = [quarter[a] << 6 | quarter[a + 1] << 4 | quarter[a + 2] << 2 | quarter[a + 3] for a in range(0, buckets, 4)]
+    return [min(255, round(np.log2(1 + len(raw)) * 8)), *packed]
+
+
+def slow_likeness(a, b):
+    steps = sum(abs((x >> s & 3) - (y >> s & 3)) for x, y in zip(a[1:], b[1:]) for s in (0, 2, 4, 6))
+    return max(0.0, 1 - (steps + min(48.0, abs(a[0] - b[0]))) / (3 * 4 * (len(a) - 1) + 48.0))
+
+
+def test_digests_equal_the_definition(monkeypatch, documents):
+    texts = ["", "a", "abcdefghijkl", "é" * 40, "x" * 500, *[r["text"] or "" for r in documents.select("text").limit(25).collect()]]
+    raw = [t.encode()[:20_000] for t in texts]
+    want = [slow_digest(r) for r in raw]
+    for chunk in (q.CHUNK, 97):
+        monkeypatch.setattr(q, "CHUNK", chunk)
+        assert [q.digest(r).tolist() for r in raw] == want
+    for x in range(0, len(raw), 3):
+        for y in range(len(raw)):
+            got = q.likeness(np.array(want[x], np.uint8), np.array(want[y], np.uint8))
+            assert abs(got - slow_likeness(want[x], want[y])) < 1e-12
