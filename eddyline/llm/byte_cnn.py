@@ -32,6 +32,7 @@ WINDOW = 512
 WINDOWS = 2
 BATCH_WINDOWS = 128
 SAMPLE_DOCS = 20_000
+FEW_LANGS = 100_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -135,6 +136,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     if not known:
         return None
     wanted = min(docs_per_lang, max(1, SAMPLE_DOCS // known))
+    if known <= FEW_LANGS:  # a checked size: the texts need not move
+        sizes = F.broadcast(sizes)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
     share = (F.least(F.lit(1.0), wanted / F.col("labelled")) * (1 << 40)).cast("long")
     chosen = rows.withColumn("draw", draw).join(sizes, "lang").where(F.col("draw") < share).where(F.col("text").rlike("\\p{L}"))
