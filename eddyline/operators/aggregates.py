@@ -91,7 +91,7 @@ def range_blocks(df: DataFrame, column: str, rows_per_block: int) -> DataFrame:
     share a block. What fits one block is left as it is."""
     parts = max(1, -(-df.count() // rows_per_block))
     if parts == 1:
-        return df.withColumn(BLOCK, F.lit(0).cast("long"))
+        return df.withColumn(BLOCK, F.pmod(F.xxhash64(column), F.lit(parts)))
     dealt = df.repartitionByRange(parts, column).withColumn(BLOCK, F.spark_partition_id().cast("long"))
     return stage(dealt, "blocks")
 
