@@ -28,12 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from eddyline.llm.common import by_bytes, id_type, leave_no_memory, table, two_columns
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 64 << 20
 PIECE_BYTES = 160  # of an entry, besides its characters
 PART_BYTES = 512 << 10
 CUT_CHARS = 1 << 20
@@ -66,6 +67,8 @@ class ByteBpe:
     def __init__(self, model: str, pattern: str):
         self.tokenizer = Tokenizer.from_file(model)
         self.tokenizer.encode_special_tokens = True
+        # pieces come cut by the pattern: no second search inside them
+        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
         alphabet = byte_alphabet()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
