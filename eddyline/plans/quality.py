@@ -152,14 +152,22 @@ def check_alignment(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def check_containment(pieces: DataFrame, wholes: DataFrame, keys: Sequence[str], length: Column, whole_length: Column) -> DataFrame:
-    """Total length of pieces against the intervals they were cut from."""
-    a = pieces.groupBy(*keys).agg(F.sum(length).alias("_a"))
-    b = wholes.groupBy(*keys).agg(F.sum(whole_length).alias("_b"))
-    both = a.join(b, list(keys), "full")
-    return both.agg(
-        F.count("*").alias("n_keys"),
-        F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_disagree"),
+    """Total length of pieces against the intervals they were cut from.
+
+    A key without pieces has pieces of length 0, which agree with intervals that add up to 0
+    but not with intervals of unknown length. Both sides meet in one grouping, so that a
+    null key is one key.
+    """
+    unknown = F.lit(None)
+    a = pieces.select(*keys, length.alias("_a"), unknown.cast("long").alias("_b"), F.lit(True).alias("_piece"))
+    b = wholes.select(*keys, unknown.cast("long").alias("_a"), whole_length.alias("_b"), F.lit(False).alias("_piece"))
+    both = a.unionByName(b).groupBy(*keys).agg(
+        F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.bool_or("_piece").alias("_pieces"), F.bool_or(~F.col("_piece")).alias("_wholes")
     )
+    zero = F.lit(0)
+    same = F.coalesce("_a", zero) == F.coalesce("_b", zero)
+    alone = (~F.col("_pieces") & F.col("_b").isNull()) | (~F.col("_wholes") & F.col("_a").isNull())
+    return both.agg(F.count("*").alias("n_keys"), F.count_if(~same | alone).alias("n_disagree"))
 
 
 def check_report(checks: Mapping[str, tuple[DataFrame, str]], raise_errors: bool = False) -> DataFrame:

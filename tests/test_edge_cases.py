@@ -163,3 +163,12 @@ def test_report_counts_all_failures(spark):
     table = spark.createDataFrame([(f"c{i}", i + 1) for i in range(30)], '`check` string, n_bad long')
     with pytest.raises(quality.CheckError, match="30 checks failed"):
         quality.check_report({"g": (table, "error")}, raise_errors=True)
+
+
+def test_containment_takes_a_key_without_pieces_as_length_zero(spark):
+    # (key, length of the whole, of its piece or none): empty, lost, whole, unknown lengths, a null key
+    cases = [(1, 0, "no"), (2, 5, "no"), (3, 5, 5), (4, None, "no"), (5, None, None), (None, 7, 7)]
+    wholes = spark.createDataFrame([(k, b) for k, b, _ in cases], "k long, n long")
+    pieces = spark.createDataFrame([(k, a) for k, _, a in cases if a != "no"], "k long, n long")
+    got = quality.check_containment(pieces, wholes, ["k"], F.col("n"), F.col("n")).first()
+    assert (got["n_keys"], got["n_disagree"]) == (6, 2)
