@@ -42,6 +42,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+ADVISORY_KEY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+INITIAL_KEY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+TASK_BYTES = 8 << 20
+TASK_ROWS = 50_000
+_UNITS = {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+
+
+def _bytes(size: str) -> int:
+    """A size as the settings write it: 8m, 64MB, 67108864b."""
+    number = size.rstrip("bBkKmMgGtTpP")
+    return int(number) << _UNITS.get(size[len(number) :].lower()[:1], 0)
+
+
+def spread(spark: SparkSession, rows: int) -> None:
+    """Let shuffles start from as many partitions as ``rows`` ask for and merge small ones
+    only up to ``TASK_BYTES``. A task then works on a bounded part of the log however long
+    that grows, and its sorts and windows hold a bounded amount. Smaller settings stay."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(INITIAL_KEY, str(max(least, -(-rows // TASK_ROWS))))
+    present = spark.conf.get(ADVISORY_KEY, None)
+    if present is None or _bytes(present) > TASK_BYTES:
+        spark.conf.set(ADVISORY_KEY, f"{TASK_BYTES}b")
+
+
 _LOCAL: dict[str, str] = {}
 
 

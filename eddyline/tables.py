@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eddyline.config import SPINE
 from eddyline.plans import classify, impact, state, windows
-from eddyline.session import prepare, reuse_layout, stage
+from eddyline.session import prepare, reuse_layout, spread, stage
 from eddyline.sources import adapter, side_tables
 
 _OPEN: dict[tuple[str, str], "Tables"] = {}
@@ -25,12 +25,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
+        self.rows = 0
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Tables":
         key = (spark.sparkContext.applicationId, folder.rstrip("/"))
         if key not in _OPEN:
             _OPEN[key] = cls(spark, folder)
+        spread(spark, _OPEN[key].rows)
         return _OPEN[key]
 
     @classmethod
@@ -40,7 +42,11 @@ class Tables:
         return cls.open(spark, folder)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table. The largest one opened says how many tasks its folder asks for."""
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.rows = max(self.rows, table.count())
+        spread(self.spark, self.rows)
+        return table
 
     @cached_property
     def spine(self) -> DataFrame:

@@ -172,3 +172,21 @@ def test_containment_takes_a_key_without_pieces_as_length_zero(spark):
     pieces = spark.createDataFrame([(k, a) for k, _, a in cases if a != "no"], "k long, n long")
     got = quality.check_containment(pieces, wholes, ["k"], F.col("n"), F.col("n")).first()
     assert (got["n_keys"], got["n_disagree"]) == (6, 2)
+
+
+def test_shuffles_start_from_as_many_partitions_as_the_rows_ask_for(spark):
+    kept = {k: spark.conf.get(k, None) for k in (session.INITIAL_KEY, session.ADVISORY_KEY)}
+    try:
+        spark.conf.set(session.ADVISORY_KEY, "64MB")
+        session.spread(spark, 400_000)
+        rows = spark.range(400_000).withColumn("v", F.sha2(F.col("id").cast("string"), 256))
+        tasks = rows.repartition("id").groupBy(F.spark_partition_id()).count()
+        assert tasks.agg(F.max("count")).first()[0] <= 2 * session.TASK_ROWS
+        assert session._bytes(spark.conf.get(session.ADVISORY_KEY)) == session.TASK_BYTES
+        spark.conf.set(session.ADVISORY_KEY, "2m")
+        session.spread(spark, 10)
+        assert spark.conf.get(session.ADVISORY_KEY) == "2m"
+        assert spark.conf.get(session.INITIAL_KEY) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
