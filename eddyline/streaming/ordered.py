@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,57 +28,78 @@ PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Groups of keys a stream is dealt over; a group goes through the state store as one.
+GROUPS = 1024
+
+
 class OrderedFold(StatefulProcessor):
-    """Keeps rows until the watermark has passed them and folds them in order."""
+    """Keeps rows until the watermark has passed them and folds them in order, key by key.
+
+    A group holds many keys: a call of the state store costs far more than a row, and a log
+    of many small keys would else make several calls a key and trigger.
+    """
 
-    def __init__(self, order: str, time: str, kept: StructType, state: StructType, start: tuple, fold: Callable, out: Sequence[str]):
-        self.order, self.time, self.kept, self.state_type = order, time, kept, state
+    def __init__(self, n_keys: int, kept: StructType, state: StructType, start: tuple, fold: Callable, out: Sequence[str]):
+        self.n_keys, self.kept, self.state_type = n_keys, kept, state
         self.start, self.fold, self.out = start, fold, list(out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.kept)
-        self.current = handle.getValueState("current", self.state_type)
+        self.current = handle.getListState("current", self.state_type)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # pandas holds whole numbers beside nulls as floats
         whole = [isinstance(f.dataType, IntegralType) for f in self.kept.fields]
-        kept = lambda r: tuple(None if pd.isna(v) else int(v) if w else _plain(v) for v, w in zip(r, whole))
-        fresh = [kept(r) for pdf in rows for r in pdf[self.kept.names].itertuples(index=False, name=None)]
-        at, mark = self.kept.names.index(self.time), timerValues.getCurrentWatermarkInMs()
-        yield from self._release(key, [r for r in fresh if r[at] > mark], timerValues)
+        at, mark = self.n_keys + 1, timerValues.getCurrentWatermarkInMs()
+        fresh = []
+        for pdf in rows:
+            columns = [_values(pdf[c], w) for c, w in zip(self.kept.names, whole)]
+            fresh += [r for r in zip(*columns) if r[at] > mark]
+        yield from self._release(fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, [], timerValues)
+        yield from self._release([], timerValues)
 
-    def _release(self, key, fresh: list[tuple], timerValues) -> Iterator[pd.DataFrame]:
-        names = self.kept.names
-        o, t = names.index(self.order), names.index(self.time)
+    def _release(self, fresh: list[tuple], timerValues) -> Iterator[pd.DataFrame]:
+        k, t = self.n_keys, self.n_keys + 1
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = [*self.waiting.get(), *fresh] if self.waiting.exists() else fresh
-        rows = [tuple(r) for r in rows]
-        ready = sorted((r for r in rows if r[t] <= mark), key=lambda r: r[o])
-        rest = [r for r in rows if r[t] > mark]
+        waited = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = waited + fresh
+        ready = sorted((r for r in rows if r[t] <= mark), key=itemgetter(k))
+        rest = [r for r in rows if r[t] > mark] if ready else rows
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if rest:
-            self.waiting.put(rest)
+            if ready or not waited:
+                self.waiting.put(rest)
+            elif fresh:
+                self.waiting.appendList(fresh)
             self.handle.registerTimer(min(r[t] for r in rest))
-        elif self.waiting.exists():
+        elif waited:
             self.waiting.clear()
         if ready:
-            state = tuple(self.current.get()) if self.current.exists() else self.start
-            out = []
+            held = (tuple(r) for r in self.current.get()) if self.current.exists() else ()
+            states, out = {r[:k]: r[k:] for r in held}, []
             for row in ready:
-                state, result = self.fold(state, dict(zip(names, row)))
-                out.append((*key, row[o], *result))
-            self.current.update(state)
+                key = row[:k]
+                states[key], result = self.fold(states.get(key, self.start), row[t + 1 :])
+                out.append(row[: k + 1] + tuple(result))
+            self.current.put([key + tuple(state) for key, state in states.items()])
             yield pd.DataFrame(out, columns=self.out)
 
     def close(self) -> None:
         pass
 
 
+def _values(column: pd.Series, whole: bool) -> list:
+    """The values as Python's own, which the state's schema asks for; missing ones as None."""
+    absent = column.isna()
+    if not absent.any():
+        return [int(v) for v in column] if whole else [_plain(v) for v in column]
+    return [None if gone else int(v) if whole else _plain(v) for v, gone in zip(column, absent)]
+
+
 def _plain(value):
     """Numpy scalars as Python's own, which the state's schema asks for."""
     return value.item() if hasattr(value, "item") else value
@@ -96,20 +118,21 @@ def state_in_rocksdb(spark: SparkSession):
 def ordered_fold(
     rows: DataFrame, keys: Sequence[str], order: str, time: str, delay: str, values: Sequence[str], state: StructType, start: tuple, fold: Callable, results: Sequence[StructField]
 ) -> DataFrame:
-    """(keys, order, results) of a streaming frame. ``fold(state, row)`` gives the next state and
+    """(keys, order, results) of a streaming frame. ``fold(state, values)`` gives the next state and
     the result values of a row; ``time`` is a timestamp that does not fall along ``order``.
     Rows without a key or a time are dropped."""
     kinds = {f.name: f for f in rows.schema.fields}
     millis = f"{time}_ms"
-    kept = StructType([StructField(order, LongType()), StructField(millis, LongType()), *[StructField(v, kinds[v].dataType) for v in values]])
+    own = [StructField(k, kinds[k].dataType) for k in keys]
+    kept = StructType([*own, StructField(order, LongType()), StructField(millis, LongType()), *[StructField(f"{v}_v", kinds[v].dataType) for v in values]])
     out = StructType([*[kinds[k] for k in keys], StructField(order, LongType()), *results])
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     # names the time, so that the filter stays above the watermark: rows without a key move it on
     stream = rows.withWatermark(time, delay).where(F.when(F.col(time).isNotNull(), known).otherwise(False))
     # rounded up: a row waits until the watermark has passed its last microsecond
-    stream = stream.select(*keys, time, F.col(order).cast("long").alias(order), F.ceil(F.unix_micros(F.col(time).cast("timestamp")) / 1000).cast("long").alias(millis), *values)
-    processor = OrderedFold(order, millis, kept, state, start, fold, out.names)
-    return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventtime")
+    stream = stream.select(*keys, time, F.col(order).cast("long").alias(order), F.ceil(F.unix_micros(F.col(time).cast("timestamp")) / 1000).cast("long").alias(millis), *[F.col(v).alias(f"{v}_v") for v in values], F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("_group"))
+    processor = OrderedFold(len(keys), kept, StructType([*own, *state.fields]), start, fold, out.names)
+    return stream.groupBy("_group").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventtime")
 
 
 def segment_ids(rows: DataFrame, keys: Sequence[str], order: str, time: str, value: str, delay: str) -> DataFrame:
@@ -118,8 +141,8 @@ def segment_ids(rows: DataFrame, keys: Sequence[str], order: str, time: str, val
 
     def fold(state, row):
         count, previous = state
-        count += count == 0 or previous != row[value]
-        return (count, row[value]), (count,)
+        count += count == 0 or previous != row[0]
+        return (count, row[0]), (count,)
 
     state = StructType([StructField("count", LongType()), StructField("previous", kind)])
     return ordered_fold(rows, keys, order, time, delay, [value], state, (0, None), fold, [StructField("segment", LongType())])
@@ -135,9 +158,9 @@ def sprt(
 
     def fold(state, row):
         n, llr, at, decision = state
-        if row[value] is None:
+        if row[0] is None:
             return state, state
-        n, llr = n + 1, llr + (theta_1 - theta_0) / sigma2 * (row[value] - (theta_0 + theta_1) / 2)
+        n, llr = n + 1, llr + (theta_1 - theta_0) / sigma2 * (row[0] - (theta_0 + theta_1) / 2)
         if at is None and (llr >= upper or llr <= lower):
             at, decision = n, "reject" if llr >= upper else "accept"
         return (n, llr, at, decision), (n, llr, at, decision)

@@ -50,3 +50,14 @@ def test_rows_later_than_the_delay_are_left_out(spark, log):
     stream = ordered.as_arrivals(log, "at", "test", chunks=3, late=4, files=1)
     got = ordered.run_available(ordered.segment_ids(stream, ["gameId"], "orderNumber", "at", "teamId", "1 second"), "test")
     assert 0 < got.count() < log.count()
+
+
+def test_many_small_keys_share_groups(spark, log):
+    assert ordered.GROUPS < 2000
+    many = log.withColumn("gameId", F.col("gameId") + 5 * (F.col("orderNumber") % 400))
+    stream = ordered.as_arrivals(many, "at", "test", chunks=2, late=4, files=1)
+    out = ordered.segment_ids(stream, ["gameId"], "orderNumber", "at", "teamId", "3 days")
+    assert "_group" in out._jdf.queryExecution().analyzed().toString()
+    batch = scan(many, ["gameId"], ["orderNumber"], SPINE.order_block(), [Changes("segment", F.col("teamId"), F.lit(True))])
+    got = ordered.run_available(out, "test")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select("gameId", "orderNumber", "segment").collect()))
