@@ -190,3 +190,27 @@ def test_shuffles_start_from_as_many_partitions_as_the_rows_ask_for(spark):
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_side_that_grows_with_the_log_is_shuffled_not_broadcast(spark):
+    keys = (*session.BROADCAST_KEYS, session.SCAN_KEY, session.INITIAL_KEY, session.ADVISORY_KEY)
+    kept = {k: spark.conf.get(k, None) for k in keys}
+
+    def plan(rows):
+        side = spark.range(rows).withColumn("v", F.sha2(F.col("id").cast("string"), 256))
+        joined = spark.range(2_000).join(side, "id", "left")
+        assert joined.agg(F.count("v")).first()[0] == min(rows, 2_000)
+        return joined._jdf.queryExecution().executedPlan().toString()
+
+    try:
+        for k in keys[:3]:
+            spark.conf.unset(k)
+        session.spread(spark, 10)
+        assert "SortMergeJoin" in plan(100_000) and "BroadcastHashJoin" in plan(100)
+        assert session._bytes(spark.conf.get(session.SCAN_KEY)) == session.SCAN_BYTES
+        spark.conf.set(session.BROADCAST_KEYS[0], "-1")
+        session.spread(spark, 10)
+        assert spark.conf.get(session.BROADCAST_KEYS[0]) == "-1"
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
