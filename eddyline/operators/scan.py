@@ -9,7 +9,8 @@ here works in three steps that never do:
    in which each block starts. There are ``order range / block width`` of them.
 3. ``finish``: the carried state is joined back on (keys, block) and combined.
 
-The join in step 3 meets the layout of step 1, so only the block summaries move.
+The join in step 3 meets the layout of step 1, so only the block summaries move. Where they are
+hashed (``session.spread``) the rows keep their order, and a later step on it sorts nothing again.
 A null key is a key of its own. A join drops nulls, so keys that may be null are laid out by
 (is null, value or a default). These columns stay on the rows together with the block number
 (``keep_block``), and later scans and joins in the same layout use them.
@@ -314,9 +315,10 @@ class SegmentTotal(Step):
     keys: Sequence[str]
 
     def layers(self, w):
+        # after the layers of all other steps: its rows are sorted by segment
         own = Window.partitionBy(*self.keys, BLOCK, self.segment)
         part = F.when(F.col(self.segment).isNotNull(), F.sum(self.value).over(own))
-        return [{f"_{self.out}_l": part}]
+        return [{}, {}, {}, {f"_{self.out}_l": part}]
 
     def totals(self, rank):
         o, seg = self.out, F.col(self.segment)

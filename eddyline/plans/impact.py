@@ -19,8 +19,10 @@ EXOGENOUS = ["tv_mandatory", "coach_absorb"]
 
 def clock_states(spine: DataFrame, s: Spine = SPINE) -> DataFrame:
     """Score after the last event at each clock value: one row per (entity, clock)."""
-    state = F.max_by(F.struct(F.col(s.home).alias("h"), F.col(s.away).alias("a"), F.col(s.order).alias("o")), s.order)
-    return spine.groupBy(s.entity, s.clock).agg(state.alias("_st")).select(s.entity, s.clock, "_st.*")
+    # one plain column each: a struct in the aggregation would have the whole log sorted
+    return spine.groupBy(s.entity, s.clock).agg(
+        F.max_by(s.home, s.order).alias("h"), F.max_by(s.away, s.order).alias("a"), F.max(s.order).alias("o")
+    )
 
 
 def forward_scores(
@@ -83,7 +85,8 @@ def candidate_rows(
     one sign with only short runs between them count as one segment. Each run size
     is its own key, so a sweep is one pass.
     """
-    rows = enriched.where(F.abs("streak") >= min(run_sizes))
+    # a few percent of the log; each phase of the scans reads them
+    rows = stage(enriched.where(F.abs("streak") >= min(run_sizes)), "long-runs")
     sizes = F.array(*[F.lit(n) for n in run_sizes])
     rows = rows.withColumn("run_size", F.explode(sizes)).where(F.abs("streak") >= F.col("run_size"))
     rows = rows.withColumn("group", coarse_group(challenge_apart, s)).withColumn("subtype_fine", fine_subtype(s))

@@ -226,11 +226,14 @@ def enrich(spine: DataFrame, labels: DataFrame, teams_of: DataFrame, s: Spine =
 
     Both scans, the possession totals and the entity's teams (``teams_of``) work in
     that layout; ``labels`` (role and cause of the sparse intervention rows) is
-    joined on it too, when the write runs inside ``session.reuse_layout``.
+    joined on it too, when the write runs inside ``session.reuse_layout``. Columns that no
+    step reads travel in one struct, which each window copies as a whole.
     """
     block = s.order_block()
+    used = [s.entity, s.order, s.clock, s.action, s.sub, s.possession, s.points, s.home, s.away]
+    spare = [c for c in spine.columns if c not in used]
     rows = scan(
-        spine,
+        spine.select(*used, F.struct(*spare).alias("_spare")) if spare else spine,
         [s.entity],
         [s.order],
         block,
@@ -262,6 +265,8 @@ def enrich(spine: DataFrame, labels: DataFrame, teams_of: DataFrame, s: Spine =
     )
     own = into_layout(labels, rows, [s.entity], block)
     rows = drop_layout(rows.join(own, [*layout_of(rows, [s.entity]), s.order], "left"))
+    added = [c for c in rows.columns if c not in (*used, "_spare")]
+    rows = rows.select(*[F.col(f"_spare.{c}") if c in spare else F.col(c) for c in spine.columns], *added)
     return rows.withColumn("timeout_role", F.coalesce("timeout_role", F.lit(""))).withColumn(
         "timeout_cause", F.coalesce("timeout_cause", F.lit(""))
     )

@@ -6,7 +6,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eddyline.config import SPINE
 from eddyline.plans import classify, impact, state, windows
 from eddyline.session import prepare, reuse_layout, spread, stage
 from eddyline.sources import adapter, side_tables
@@ -65,8 +64,8 @@ class Tables:
     @cached_property
     def enriched(self) -> DataFrame:
         with reuse_layout(self.spark):
-            rows = state.enrich(self.spine, self.labels, self.sides)
-            return stage(rows, "enriched", (SPINE.season, SPINE.season_type))
+            # not by folders of a season: every task would sort for them and write a sliver to each
+            return stage(state.enrich(self.spine, self.labels, self.sides), "enriched")
 
     @cached_property
     def impact(self) -> DataFrame:

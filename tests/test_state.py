@@ -136,3 +136,31 @@ def test_rows_without_an_entity_keep_their_state(spark, tables):
             assert known.count() > 0 and same_rows(known, null)
         assert state.with_streak(nameless).count() == nameless.count()
         assert _exchanges(state.with_streak(nameless)) <= 7
+
+
+def _final_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_enriched_log_is_not_sorted_for_its_joins(spark, tables):
+    """Shuffled block summaries and labels are hashed, so the rows keep their order (21 sorts before)."""
+    from eddyline.session import BROADCAST_KEYS, reuse_layout
+
+    before = {key: spark.conf.get(key, None) for key in BROADCAST_KEYS}
+    rows, labels, sides = tables.spine, tables.labels, tables.sides
+    try:
+        for key in BROADCAST_KEYS:
+            spark.conf.set(key, "-1")
+        with reuse_layout(spark):
+            plan = _final_plan(state.enrich(rows, labels, sides))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert plan.count("ShuffledHashJoin") >= 4 and plan.count("Sort [") <= 12
+
+
+def test_enriched_log_is_staged_without_slivers(tables):
+    """One file a task, none for each season in each task."""
+    assert tables.enriched.where("season_type = 'rg'").count() > 0
+    assert not [f for f in tables.enriched.inputFiles() if "season=" in f]
