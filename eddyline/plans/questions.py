@@ -38,26 +38,24 @@ def fatigue_by_stint_minute(rows: DataFrame, stints: DataFrame, min_minutes: flo
     spell = [s.entity, s.person, s.team, "_in", "_out"]
     long = stints.where((F.col("stint_duration_minutes") >= min_minutes) & (F.col("in_game_seconds") < F.col("out_game_seconds")))
     long = long.select(s.entity, s.person, s.team, F.col("in_game_seconds").alias("_in"), F.col("out_game_seconds").alias("_out")).groupBy(*spell).agg(F.count("*").alias("_w"))
+    # one plain column each: a struct in the aggregation would have the whole log sorted
     starts = rows.where("possession_id is not null").groupBy(s.entity, "possession_id").agg(
-        F.min_by(F.struct(F.col(s.possession).alias("t"), F.col(s.clock).alias("c")), s.order).alias("f")
+        F.min_by(s.possession, s.order).alias("_who"), F.min_by(s.clock, s.order).alias(s.clock)
     )
-    starts = starts.select(s.entity, F.col("f.t").alias("_who"), F.col("f.c").alias(s.clock), F.lit("team").alias("_kind"), F.lit(1).cast("long").alias("n"))
-    scored = rows.where("possession_id is not null").select(s.entity, F.col(s.person).alias("_who"), s.clock, F.lit("person").alias("_kind"), F.col(s.points).alias("n"))
+    starts = starts.select(s.entity, "_who", s.clock, F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("n"))
+    scored = rows.where("possession_id is not null").select(s.entity, F.col(s.person).alias("_who"), s.clock, F.lit(1).alias("_kind"), F.col(s.points).alias("n"))
     edges = F.array(*[F.struct(F.lit(m).alias("m"), F.least(F.col("_in") + 60 * m, F.col("_out")).alias("at")) for m in range(top + 1)])
-    asked = long.withColumn("_e", F.explode(edges)).withColumn("_q", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("who")) for k, c in (("team", s.team), ("person", s.person))])))
-    asked = asked.select(*spell, "_w", F.col("_e.m").alias("_m"), F.col("_e.at").alias("_at"), F.col("_q.kind").alias("_kind"), F.col("_q.who").alias("_who"))
+    asked = long.withColumn("_e", F.explode(edges)).withColumn("_q", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("who")) for k, c in enumerate((s.team, s.person))])))
+    asked = asked.select(s.entity, s.person, "_in", "_w", F.col("_e.m").alias("_m"), F.col("_e.at").alias("_at"), F.col("_q.kind").alias("_kind"), F.col("_q.who").alias("_who"))
     before = joins.total_before(asked, starts.unionByName(scored), [s.entity, "_kind", "_who"], s.clock, "n", "_at", s.clock_span)
-    sums = [F.sum(F.when((F.col("_kind") == k) & (F.col("_m") == m), F.col("before"))).alias(f"{k}{m}") for k in ("team", "person") for m in range(top + 1)]
-    per = before.groupBy(*spell, "_w").agg(*sums)
+    # spells of a player that start together add up edge by edge
+    sums = [F.sum(F.when((F.col("_kind") == k) & (F.col("_m") == m), F.col("before") * F.col("_w"))).alias(f"{name}{m}") for k, name in enumerate(("team", "person")) for m in range(top + 1)]
+    per = before.groupBy(s.entity, s.person, "_in").agg(*sums)
     minutes = [
-        F.struct(
-            F.lit(m).cast("long").alias("stint_minute"),
-            *[((F.col(f"{k}{m}") - F.col(f"{k}{m - 1}")) * F.col("_w")).alias(k) for k in ("team", "person")],
-        )
+        F.struct(F.lit(m).cast("long").alias("stint_minute"), *[(F.col(f"{k}{m}") - F.col(f"{k}{m - 1}")).alias(k) for k in ("team", "person")])
         for m in range(1, top + 1)
     ]
-    both = per.select(s.entity, s.person, "_in", F.explode(F.array(*minutes)).alias("v")).select(s.entity, s.person, "_in", "v.*")
-    both = both.groupBy(s.entity, s.person, "_in", "stint_minute").agg(F.sum("team").alias("team"), F.sum("person").alias("person")).where("team > 0")
+    both = per.select(F.explode(F.array(*minutes)).alias("v")).select("v.*").where("team > 0")
     out = both.groupBy("stint_minute").agg(F.sum("team").alias("total_possessions"), F.sum("person").alias("total_player_pts"))
     return out.withColumn("pts_per_poss", F.try_divide("total_player_pts", "total_possessions"))
 

@@ -164,3 +164,12 @@ def test_enriched_log_is_staged_without_slivers(tables):
     """One file a task, none for each season in each task."""
     assert tables.enriched.where("season_type = 'rg'").count() > 0
     assert not [f for f in tables.enriched.inputFiles() if "season=" in f]
+
+
+def test_clock_states_and_possession_starts_do_not_sort_the_log(tables):
+    from eddyline.plans import impact, questions
+
+    assert "SortAggregate" not in _final_plan(impact.clock_states(tables.spine))
+    plan = _final_plan(questions.fatigue_by_stint_minute(tables.enriched, tables.stints, min_minutes=1))
+    # the totals of a scan are boxed, those of the log are not
+    assert "partial_min_by(struct" not in plan and "partial_min_by" in plan
