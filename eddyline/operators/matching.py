@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from eddyline.config import SPINE, Spine
 from eddyline.operators.asof import asof
+from eddyline.session import shuffle_tasks
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,10 @@ def matched_twins(
     lookup = controls.groupBy(*state).agg(best_control)
     lookup = lookup.withColumnsRenamed({"streak": "_cs", "suffering_margin": "_cm", rule.clock: "_t"})
 
-    asked = treated.select(*state).distinct()
+    # a fixed number of tasks, not merged by size: each state grows to one row per offset of the
+    # bands, and the task that writes them to the next shuffle holds them all
+    tasks = -(-shuffle_tasks(treated.sparkSession) // 4)
+    asked = treated.select(*state).repartition(tasks, *state).distinct()
     asked = asked.withColumn("_ds", F.explode(_span(rule.streak_band))).withColumn("_cs", F.col("streak") + F.col("_ds"))
     asked = asked.where(F.signum("_cs") == F.signum("streak"))
     asked = asked.withColumn("_dm", F.explode(_span(rule.margin_band))).withColumn("_cm", F.col("suffering_margin") + F.col("_dm"))

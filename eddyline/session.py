@@ -79,6 +79,11 @@ def spread(spark: SparkSession, rows: int) -> None:
         _at_most(spark, key, BROADCAST_BYTES)
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """How many partitions shuffles start from, before small ones are merged."""
+    return int(spark.conf.get(INITIAL_KEY, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _at_most(spark: SparkSession, key: str, limit: int) -> None:
     present = spark.conf.get(key, None)
     if present is None or _bytes(present) > limit:

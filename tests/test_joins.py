@@ -1,11 +1,13 @@
 import itertools
 import random
+import re
 from dataclasses import replace
 
 import pytest
 from frames import same_rows
 from pyspark.sql import functions as F
 
+from eddyline import session
 from eddyline.config import SPINE
 from eddyline.operators import aggregates as A
 from eddyline.operators import joins, matching
@@ -138,6 +140,23 @@ def test_matching_against_brute_force(spark, rule, span):
     assert len(want) > 10
 
 
+def test_states_of_a_large_log_are_not_merged_before_they_are_multiplied(spark):
+    rng = random.Random(5)
+    treated, controls = (spark.createDataFrame(states(rng, 200, start), COLS) for start in (0, 1000))
+    kept = {k: spark.conf.get(k, None) for k in (session.INITIAL_KEY, session.ADVISORY_KEY)}
+    try:
+        want = matching.matched_twins(treated, controls).collect()
+        session.spread(spark, 40 * session.TASK_ROWS)
+        pairs = matching.matched_twins(treated, controls)
+        assert sorted(pairs.collect()) == sorted(want) and want
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        # what is exploded comes from tasks that are not merged, a quarter of those of the log
+        assert re.search(r"hashpartitioning\([^)]*, 10\), REPARTITION_BY_NUM", plan)
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("span", [41, 300])
 def test_run_impact_does_not_depend_on_block_width(tables, span):
     small = replace(SPINE, block_span=span, clock_span=64)
